@@ -1,0 +1,26 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A lookup side is broadcast only when it has at most this many rows.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Materialise a data-derived lookup table once, count it, and mark it
+    for broadcast only if the count is within the bound.  Beyond the bound
+    the plain join is left to the planner (sort-merge, or AQE's runtime
+    choice)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def broadcast_bounded(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose size is bounded by construction (a fixed code
+    table, or a table filtered to one)."""
+    return F.broadcast(df)

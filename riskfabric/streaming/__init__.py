@@ -1,0 +1,6 @@
+"""Streaming.
+
+The modelled system has no streams: no watermarks, windows, state or late
+data.  Its "stream ingestion" wording is a batch read.  Nothing is built
+here on purpose; every job in this package is a batch DataFrame job.
+"""
