@@ -113,6 +113,51 @@ LEFT JOIN (SELECT * FROM med_edu WHERE n >= {fixed.MIN_GROUP_N_FOR_MEDIAN}) e
 }
 
 
+TARGET_DISPLAY = _case_map("target", fixed.TARGET_DISPLAY_NAMES, quote_keys=True)
+QUARTILE_LABEL = _case_map("quartile", dict(enumerate(fixed.QUARTILE_LABELS, start=1)))
+
+
+def _ref_score(i: int) -> str:
+    return (f"CAST((age_code * 3 + smoker_code * 2 + income_code * 5 + educa_code + race_code * 7 + {5 * i}) % 64 AS DOUBLE)"
+            " / 64.0::DOUBLE")
+
+
+CTES.update({
+    "ev": """
+SELECT m.* EXCLUDE (r, n_total),
+  CASE WHEN n_total <= 1 THEN 1 ELSE CAST(greatest(1, (4 * (r - 1) + n_total - 2) // (n_total - 1)) AS INTEGER) END AS quartile,
+  ((resp_id % 2147483648) * 1103515245 + 12345) % 2147483648 % 5 = 0 AS is_test
+FROM (SELECT *, row_number() OVER (ORDER BY spatial_lack_insurance, resp_id) AS r,
+             count(*) OVER () AS n_total FROM model_frame) m""",
+    "scores": "\nUNION ALL\n".join(
+        f"SELECT resp_id, quartile, is_test, '{t}' AS target, CAST({t} AS INTEGER) AS y, {_ref_score(i)} AS p FROM ev"
+        for i, t in enumerate(TARGETS)),
+    "heldout": "SELECT * FROM scores WHERE is_test",
+    "sc": """
+SELECT target, p, CAST(sum(y) AS BIGINT) AS pos, CAST(count(*) - sum(y) AS BIGINT) AS neg
+FROM heldout GROUP BY target, p""",
+    "pr": """
+SELECT target, p AS threshold, pos, CAST(sum(pos) OVER w AS BIGINT) AS cum_pos,
+       CAST(sum(neg) OVER w AS BIGINT) AS cum_neg, CAST(sum(pos) OVER (PARTITION BY target) AS BIGINT) AS n_pos
+FROM sc WINDOW w AS (PARTITION BY target ORDER BY p DESC ROWS UNBOUNDED PRECEDING)""",
+    "pr_pts": """
+SELECT target, threshold, pos, cum_pos, cum_neg, n_pos,
+  CAST(cum_pos AS DOUBLE) / CAST(cum_pos + cum_neg AS DOUBLE) AS precision,
+  CASE WHEN n_pos > 0 THEN CAST(cum_pos AS DOUBLE) / CAST(n_pos AS DOUBLE) ELSE 1.0::DOUBLE END AS recall
+FROM pr""",
+    "conf": """
+SELECT target, quartile, count(*) AS n,
+  count_if(y = 0 AND p <= 0.5) AS tn, count_if(y = 0 AND p > 0.5) AS fp,
+  count_if(y = 1 AND p <= 0.5) AS fn, count_if(y = 1 AND p > 0.5) AS tp
+FROM heldout GROUP BY GROUPING SETS ((target), (target, quartile))""",
+    "prev": "SELECT target, count(*) AS n, round_even(avg(y), 4) AS prevalence FROM heldout GROUP BY target",
+    "ap": """
+SELECT target, round_even(CASE WHEN max(n_pos) > 0
+  THEN sum(CAST(pos * cum_pos AS DOUBLE) / CAST(cum_pos + cum_neg AS DOUBLE)) / CAST(max(n_pos) AS DOUBLE)
+  ELSE 0.0 END, 4) AS pr_auc FROM pr GROUP BY target""",
+})
+
+
 def with_ctes(select: str) -> str:
     body = ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items())
     return f"WITH {body}\n{select}"
