@@ -158,6 +158,101 @@ SELECT target, round_even(CASE WHEN max(n_pos) > 0
 })
 
 
+ZIP2_STATE = _case_map("substr(" + _zfill5("ZCTA") + ", 1, 2)", fixed.ZIP2_TO_STATE, quote_keys=True)
+
+
+def _values_cte(src: str, with_state: bool) -> str:
+    st = ", stateabbr" if with_state else ""
+    return (f"SELECT {_zfill5('trim(CAST(locationid AS VARCHAR))')} AS ZCTA, measureid, "
+            f"TRY_CAST(data_value AS DOUBLE) AS value, data_value{st}, seq FROM {src}")
+
+
+def _first_cte(values: str) -> str:
+    return f"""
+SELECT ZCTA, measureid, value FROM (
+  SELECT ZCTA, measureid, value,
+         row_number() OVER (PARTITION BY ZCTA, measureid ORDER BY seq, value) AS rn
+  FROM {values} WHERE value IS NOT NULL AND measureid IS NOT NULL) t WHERE rn = 1"""
+
+
+def _wide_cte(first: str) -> str:
+    return f"""
+SELECT ZCTA,
+    max(CASE WHEN measureid = 'ACCESS2' THEN value END) AS spatial_lack_insurance,
+    max(CASE WHEN measureid = 'MHLTH' THEN value END) AS spatial_poor_mental_health,
+    max(CASE WHEN measureid = 'OBESITY' THEN value END) AS OBESITY,
+    max(CASE WHEN measureid = 'OTHER4' THEN value END) AS OTHER4,
+    max(CASE WHEN measureid = 'OTHER5' THEN value END) AS OTHER5,
+    max(CASE WHEN measureid = 'OTHER6' THEN value END) AS OTHER6,
+    max(CASE WHEN measureid = 'OTHER7' THEN value END) AS OTHER7
+FROM {first} GROUP BY ZCTA"""
+
+
+MISSING_FEATURES_EXCEPT_INCOME = [f for f in FEATURES if f != "income_code"]
+
+CTES.update({
+    "pz_values": _values_cte("places_zcta", False),
+    "pz_first": _first_cte("pz_values"),
+    "pz_wide": _wide_cte("pz_first"),
+    "zcta_prefix": f"""
+SELECT *, {ZIP2_STATE} AS stateabbr,
+  CASE WHEN ({ZIP2_STATE}) IS NOT NULL THEN 'zip_prefix' END AS state_source FROM pz_wide""",
+    "zcta_tbl": "SELECT ZCTA, stateabbr, spatial_lack_insurance, spatial_poor_mental_health FROM zcta_prefix",
+    "crosswalk": standins.crosswalk_sql("part"),
+    "req": standins.REQUESTS_SQL.replace("{orders}", "orders"),
+    "res": f"""
+SELECT r.* EXCLUDE (v, req_state), r.v AS zip_valid,
+  CASE WHEN r.lookup_mode = 'zip' AND NOT r.v THEN 'malformed'
+       WHEN r.lookup_mode = 'zip' AND z.ZCTA IS NULL THEN 'not_found'
+       WHEN r.lookup_mode <> 'zip' AND s.stateabbr IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+  CASE WHEN r.lookup_mode = 'zip' AND z.ZCTA IS NOT NULL
+         THEN 'ZIP ' || trim(r.zip_text) || CASE WHEN z.stateabbr IS NOT NULL THEN ' (' || z.stateabbr || ')' ELSE '' END
+       WHEN r.lookup_mode <> 'zip' AND s.stateabbr IS NOT NULL THEN s.stateabbr ELSE 'N/A' END AS region_label,
+  CASE WHEN r.lookup_mode = 'zip' THEN z.spatial_lack_insurance ELSE s.spatial_lack_insurance END AS spatial_lack_insurance,
+  CASE WHEN r.lookup_mode = 'zip' THEN z.spatial_poor_mental_health ELSE s.spatial_poor_mental_health END AS spatial_poor_mental_health
+FROM (SELECT *, coalesce(regexp_matches(trim(zip_text), '^[0-9]{{5}}$'), false) AS v,
+             {STATE_ABBR} AS req_state FROM req) r
+LEFT JOIN (SELECT * FROM zcta_tbl WHERE regexp_matches(ZCTA, '^[0-9]{{5}}$')) z
+  ON r.lookup_mode = 'zip' AND r.v AND trim(r.zip_text) = z.ZCTA
+LEFT JOIN (SELECT * FROM state_avg WHERE stateabbr IN ({KNOWN_STATES})) s
+  ON r.lookup_mode = 'state' AND r.req_state = s.stateabbr""",
+    "fallback": "\nUNION ALL\n".join(
+        "SELECT request_id, '" + t + "' AS target, '" + fixed.TARGET_DISPLAY_NAMES[t] + "' AS condition, "
+        + "least(greatest(" + "".join([
+            f"{a!r}::DOUBLE"] + [
+            (" + " if c > 0 else " - ") + f"CAST({col} AS DOUBLE) * {abs(c)!r}::DOUBLE"
+            for c, col in ((b1, "age_code"), (b2, "income_code"),
+                           (b3, "coalesce(spatial_lack_insurance, 0.0::DOUBLE)"),
+                           (b4, "coalesce(spatial_poor_mental_health, 0.0::DOUBLE)")) if c != 0])
+        + f", {fixed.FALLBACK_CLIP[0]!r}::DOUBLE), {fixed.FALLBACK_CLIP[1]!r}::DOUBLE) AS score, "
+        + "'placeholder_not_model' AS score_kind FROM res"
+        for t, (a, b1, b2, b3, b4) in fixed.FALLBACK_SCORE.items()),
+    "national": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{k}', {v!r}::DOUBLE)" for k, v in fixed.NATIONAL_PREVALENCE.items())
+        + ") t(condition, national_prevalence)",
+    "preds": "SELECT resp_id, stateabbr, age_code, income_code, educa_code, race_code, " + ", ".join(
+        f"{_ref_score(i)} AS pred_{t}" for i, t in enumerate(TARGETS)) + " FROM model_frame",
+    "ledger_flags": f"""
+SELECT c.*, s.stateabbr IS NOT NULL AS matched, s.spatial_lack_insurance, s.spatial_poor_mental_health
+FROM clean_all c LEFT JOIN (SELECT * FROM state_avg WHERE stateabbr IN ({KNOWN_STATES})) s USING (stateabbr)""",
+})
+
+
+def missing_rows(table: str, cols) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS n_missing, "
+        f"CAST(count_if({c} IS NULL) AS DOUBLE) * 100 / count(*) AS pct_missing, count(*) AS n_rows FROM {table}"
+        for c in cols)
+
+
+def worst_check(table: str, cols) -> str:
+    m = missing_rows(table, cols)
+    return f"""
+SELECT (SELECT column_name FROM ({m}) a ORDER BY pct_missing DESC, column_name DESC LIMIT 1) AS worst_column,
+  (SELECT max(pct_missing) FROM ({m}) b) AS worst_pct,
+  COALESCE((SELECT pct_missing FROM ({m}) c ORDER BY pct_missing DESC LIMIT 1 OFFSET 1), 0.0) AS next_pct"""
+
+
 def with_ctes(select: str) -> str:
     body = ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items())
     return f"WITH {body}\n{select}"

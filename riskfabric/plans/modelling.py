@@ -39,3 +39,28 @@ def modelling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = imputed_frame(spark, sf_dir)
     recode.require_columns(frame, fixed.FEATURE_COLUMNS + fixed.TARGET_COLUMNS, "joined frame")
     return frame.dropna(subset=fixed.FEATURE_COLUMNS + fixed.TARGET_COLUMNS)
+
+
+def attrition_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before and after each deletion step from one pass over the
+    cleaned rows (A7): outcome listwise deletion, the inner state join, and
+    feature listwise deletion after imputation (income counts as present
+    when any matched row has an income to take a median from)."""
+    from ..operators import quality
+
+    clean_all = recode.clean_survey(standins.respondents(spark, sf_dir), drop_missing_targets=False)
+    st = places.known_states(state_table(spark, sf_dir)).withColumn("_matched", F.lit(True))
+    base = clean_all.join(broadcast_bounded(st), "stateabbr", "left")
+    t_ok = F.lit(True)
+    for t in fixed.TARGET_COLUMNS:
+        t_ok = t_ok & F.col(t).isNotNull()
+    j_ok = t_ok & F.coalesce(F.col("_matched"), F.lit(False))
+    has_income = base.filter(j_ok & F.col("income_code").isNotNull()).select(
+        F.count(F.lit(1)) > 0).scalar()
+    f_ok = j_ok & (F.col("income_code").isNotNull() | has_income)
+    for c in fixed.FEATURE_COLUMNS:
+        if c != "income_code":
+            f_ok = f_ok & F.col(c).isNotNull()
+    flagged = base.select(t_ok.alias("t_ok"), j_ok.alias("j_ok"), f_ok.alias("f_ok"))
+    return quality.attrition_ledger(
+        [("target_listwise", "t_ok"), ("state_join", "j_ok"), ("feature_listwise", "f_ok")], flagged)

@@ -118,3 +118,15 @@ def places_zcta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     return spark.sql(REQUESTS_SQL, orders=orders)
+
+
+def crosswalk_sql(source: str = "{part}") -> str:
+    """A ZCTA -> state crosswalk with unpadded keys (one row per part);
+    unmapped FIPS codes give rows without a state."""
+    return (f"SELECT CAST((p_partkey * 7919) % 100000 AS VARCHAR(10)) AS zcta, "
+            f"{_fips_case('CAST(1 + (p_partkey * 3) % 57 AS INT)')} AS stateabbr FROM {source}")
+
+
+def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read_table(spark, sf_dir, "part", ["p_partkey"])
+    return spark.sql(crosswalk_sql(), part=part)
