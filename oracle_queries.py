@@ -253,6 +253,57 @@ SELECT (SELECT column_name FROM ({m}) a ORDER BY pct_missing DESC, column_name D
   COALESCE((SELECT pct_missing FROM ({m}) c ORDER BY pct_missing DESC LIMIT 1 OFFSET 1), 0.0) AS next_pct"""
 
 
+FEATURE_DISPLAY = _case_map("feature", fixed.FEATURE_DISPLAY_NAMES, quote_keys=True)
+FEATURE_ORDER = "CASE feature " + " ".join(
+    f"WHEN '{f}' THEN {i}" for i, f in enumerate(FEATURES, start=1)) + " END"
+REPEATS = fixed.PERMUTATION_REPEATS
+
+
+def _ref_score_cols(i: int, cols: dict) -> str:
+    c = {k: cols.get(k, k) for k in ("age_code", "smoker_code", "income_code", "educa_code", "race_code")}
+    return (f"CAST(({c['age_code']} * 3 + {c['smoker_code']} * 2 + {c['income_code']} * 5 + {c['educa_code']}"
+            f" + {c['race_code']} * 7 + {5 * i}) % 64 AS DOUBLE) / 64.0::DOUBLE")
+
+
+def permutation_sql() -> str:
+    return "SELECT * FROM perm_imp"
+
+
+def _perm_ctes() -> dict:
+    feats = ", ".join(FEATURES)
+    tg = ", ".join(TARGETS)
+    donor_feats = ", ".join(f"{f} AS d_{f}" for f in FEATURES)
+    variant_sel = []
+    for f in FEATURES:
+        correct = ", ".join(
+            f"count_if(CAST({_ref_score_cols(i, {f: 'd_' + f})} > 0.5 AS INTEGER) = {t}) AS c_{t}"
+            for i, t in enumerate(TARGETS))
+        variant_sel.append(f"SELECT '{f}' AS feature, {correct} FROM perm_paired")
+    base = ", ".join(f"count_if(CAST({_ref_score_cols(i, {})} > 0.5 AS INTEGER) = {t}) AS b_{t}"
+                     for i, t in enumerate(TARGETS))
+    unp = "\nUNION ALL\n".join(
+        f"SELECT v.feature, '{t}' AS target, CAST({REPEATS} * b.b_{t} - v.c_{t} AS DOUBLE) / "
+        f"CAST({REPEATS} * b.n AS DOUBLE) AS importance, 'permutation_reference_score' AS method "
+        f"FROM perm_variants v, perm_base b" for t in TARGETS)
+    return {
+        "perm_h": f"SELECT resp_id, {feats}, {tg} FROM ev WHERE is_test",
+        "perm_recv": "SELECT *, row_number() OVER (ORDER BY resp_id) AS r_id FROM perm_h",
+        "perm_ks": f"SELECT range AS k FROM range({REPEATS})",
+        "perm_donor": f"""
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY ((resp_id % 2147483648) * (1103515245 + 96542 * k) + 12345) % 2147483648, resp_id) AS r_id,
+  {donor_feats} FROM perm_h CROSS JOIN perm_ks""",
+        "perm_paired": """
+SELECT r.*, d.* EXCLUDE (k, r_id), d.k FROM perm_recv r CROSS JOIN perm_ks ks
+JOIN perm_donor d ON d.k = ks.k AND d.r_id = r.r_id""",
+        "perm_variants": "\nUNION ALL\n".join(variant_sel),
+        "perm_base": f"SELECT count(*) AS n, {base} FROM perm_h",
+        "perm_imp": unp,
+    }
+
+
+CTES.update(_perm_ctes())
+
+
 def with_ctes(select: str) -> str:
     body = ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items())
     return f"WITH {body}\n{select}"

@@ -44,10 +44,12 @@ def demographic_risk_by_state(pred: DataFrame, traits: list[str] | None = None,
                        (F.col("n") >= min_n).alias("enough"))
 
 
-def importance_summary(imp: DataFrame) -> DataFrame:
+def importance_summary(imp: DataFrame, digits: int = 12) -> DataFrame:
     """Mean importance over outcomes per (feature, method), highest first,
-    with display names (A15, P24)."""
-    out = imp.groupBy("feature", "method").agg(F.avg("importance").alias("importance"))
+    with display names (A15, P24).  The mean is rounded to ``digits``
+    decimals so it does not depend on summation order."""
+    out = imp.groupBy("feature", "method").agg(
+        X.round_half_even(F.avg("importance"), digits).alias("importance"))
     return out.withColumn("feature_display", F.coalesce(
         X.literal_lookup("feature", fixed.FEATURE_DISPLAY_NAMES), F.col("feature"))
     ).orderBy(F.desc("importance"), "feature")
