@@ -9,7 +9,7 @@ median enters as a scalar subquery.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -51,8 +51,9 @@ def impute_income(df: DataFrame, min_n: int = fixed.MIN_GROUP_N_FOR_MEDIAN,
         AGE, EDUCA, F.col("median").alias("_cell_median"))
     edu = usable.filter(F.col("tier") == fixed.TIER_EDUCATION).select(
         EDUCA, F.col("median").alias("_edu_median"))
-    overall = usable.filter(F.col("tier") == fixed.TIER_OVERALL).select(
-        F.max("median")).scalar()
+    # one value from the materialised, size-checked table
+    overall_row = usable.filter(F.col("tier") == fixed.TIER_OVERALL).select("median").first()
+    overall = F.lit(overall_row[0] if overall_row else None).cast("double")
     missing = F.col(INCOME).isNull()
     chosen = F.coalesce(F.col("_cell_median"), F.col("_edu_median"), overall)
     tier = (F.when(F.col("_cell_median").isNotNull(), F.lit(fixed.TIER_CELL))
@@ -70,9 +71,12 @@ def impute_income(df: DataFrame, min_n: int = fixed.MIN_GROUP_N_FOR_MEDIAN,
 
 
 def tier_usage(imputed: DataFrame) -> DataFrame:
-    """How many rows each tier filled, and the share of all rows (A4)."""
-    total = imputed.select(F.count(F.lit(1))).scalar()
-    return (imputed.filter(F.col("income_code_imputed"))
-            .groupBy(F.col("imputation_tier").alias("tier"))
-            .agg(F.count(F.lit(1)).alias("n_imputed"))
-            .withColumn("share_of_rows", F.col("n_imputed") / total))
+    """How many rows each tier filled, and the share of all rows (A4).
+    One aggregation; the total comes from the (at most four-row) result."""
+    counts = imputed.groupBy(F.col("imputation_tier").alias("tier")).agg(
+        F.count(F.lit(1)).alias("n_imputed"))
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (counts.withColumn("_total", F.sum("n_imputed").over(everything))
+            .filter(F.col("tier").isNotNull())
+            .select("tier", "n_imputed",
+                    (F.col("n_imputed") / F.col("_total")).alias("share_of_rows")))

@@ -33,10 +33,15 @@ def assembler(features: list[str] = FEATURES) -> VectorAssembler:
 
 def train_models(train: DataFrame, rounds: int = fixed.GBT_ROUNDS, depth: int = fixed.GBT_DEPTH,
                  seed: int = fixed.SEED, targets: list[str] = TARGETS,
-                 features: list[str] = FEATURES, parallel: bool = True) -> dict[str, PipelineModel]:
+                 features: list[str] = FEATURES, parallel: bool = True,
+                 rows_per_partition: int = 250_000) -> dict[str, PipelineModel]:
     """Fit one GBT per outcome (M2).  Returns {target: PipelineModel}."""
     asm = assembler(features)
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_rows = train.count()
+    # partitions sized by rows, so small inputs are not split into many
+    # tiny tasks (each boosting round is several jobs) and large inputs
+    # spread over the cluster
+    parts = max(1, -(-n_rows // rows_per_partition))
     data = (asm.transform(train).select("features", *[F.col(t).cast("double").alias(t) for t in targets])
             .repartition(parts).persist(StorageLevel.MEMORY_AND_DISK))
     data.count()
@@ -168,10 +173,11 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
     base = base_scored.agg(F.count(F.lit(1)).alias("_n"), *[
         F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
         .alias(f"_b_{t}") for t in targets])
-    # the baseline counts enter as scalar subqueries (one value each)
-    n_rows = base.select("_n").scalar()
+    # the baseline is one row of counts: computed once, used as literals
+    b = base.first()
+    n_rows = F.lit(int(b["_n"]))
     items = [F.struct(F.lit(t).alias("target"), F.col(f"_c_{t}").alias("_c"),
-                      base.select(f"_b_{t}").scalar().alias("_b"))
+                      F.lit(int(b[f"_b_{t}"])).alias("_b"))
              for t in targets]
     out = perm.select(F.col("_feature").alias("feature"), F.explode(F.array(*items)).alias("_s"))
     imp = ((F.lit(repeats) * F.col("_s._b") - F.col("_s._c")).cast("double")

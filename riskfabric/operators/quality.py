@@ -51,10 +51,14 @@ def attrition_ledger(steps: list[tuple[str, str]], flagged: DataFrame) -> DataFr
     Columns: step_no, step, rows_before, rows_after, pct_lost, warn."""
     aggs = [F.count(F.lit(1)).alias("_start")]
     aggs += [F.count_if(F.col(flag)).alias(f"_s{i}") for i, (_, flag) in enumerate(steps)]
-    one = flagged.agg(*aggs)
+    return ledger_from_counts(flagged.agg(*aggs), [s for s, _ in steps])
+
+
+def ledger_from_counts(one: DataFrame, steps: list[str]) -> DataFrame:
+    """A one-row table of counts (_start, _s0, _s1, ...) -> ledger rows."""
     names = ["_start"] + [f"_s{i}" for i in range(len(steps))]
     rows = []
-    for i, (step, _) in enumerate(steps):
+    for i, step in enumerate(steps):
         rows.append(F.struct(F.lit(i + 1).alias("step_no"), F.lit(step).alias("step"),
                              F.col(names[i]).alias("rows_before"),
                              F.col(names[i + 1]).alias("rows_after")))

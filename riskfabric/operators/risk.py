@@ -3,7 +3,7 @@ P24)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -66,8 +66,9 @@ def importance_by_target(imp: DataFrame) -> DataFrame:
 def distinct_states(df: DataFrame) -> DataFrame:
     """Sorted distinct states and their count."""
     states = df.filter(F.col("stateabbr").isNotNull()).select("stateabbr").distinct()
-    n = states.select(F.count(F.lit(1))).scalar()
-    return states.withColumn("n_states", n).orderBy("stateabbr")
+    # the distinct list is bounded by the state code table
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return states.withColumn("n_states", F.count(F.lit(1)).over(everything)).orderBy("stateabbr")
 
 
 def equal_width_bins(df: DataFrame, value_col: str, bins: int = fixed.MAP_BINS) -> DataFrame:
@@ -75,16 +76,16 @@ def equal_width_bins(df: DataFrame, value_col: str, bins: int = fixed.MAP_BINS)
     ``linspace(min, max, bins + 1)``; the top edge falls in the last bin;
     no bins when min = max or all values are null (A17).  Adds bin,
     bin_lo, bin_hi."""
-    mm = df.agg(F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"))
-    lo = mm.select("_lo").scalar()
-    hi = mm.select("_hi").scalar()
+    mm = df.agg(F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi")).first()
+    lo = F.lit(mm["_lo"]).cast("double")
+    hi = F.lit(mm["_hi"]).cast("double")
     step = (hi - lo) / F.lit(float(bins))
     v = F.col(value_col)
     edge = [lo + F.lit(i) * step for i in range(bins)] + [hi]
     b = F.lit(1)
     for i in range(1, bins):
         b = b + F.when(v >= edge[i], 1).otherwise(0)
-    ok = (lo.isNotNull() & hi.isNotNull() & (lo != hi)) if hasattr(lo, "isNotNull") else None
+    ok = lo.isNotNull() & hi.isNotNull() & (lo != hi)
     lo_edge = F.lit(None).cast("double")
     hi_edge = F.lit(None).cast("double")
     for i in range(bins):

@@ -55,12 +55,17 @@ def attrition_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in fixed.TARGET_COLUMNS:
         t_ok = t_ok & F.col(t).isNotNull()
     j_ok = t_ok & F.coalesce(F.col("_matched"), F.lit(False))
-    has_income = base.filter(j_ok & F.col("income_code").isNotNull()).select(
-        F.count(F.lit(1)) > 0).scalar()
-    f_ok = j_ok & (F.col("income_code").isNotNull() | has_income)
+    rest_ok = j_ok
     for c in fixed.FEATURE_COLUMNS:
         if c != "income_code":
-            f_ok = f_ok & F.col(c).isNotNull()
-    flagged = base.select(t_ok.alias("t_ok"), j_ok.alias("j_ok"), f_ok.alias("f_ok"))
-    return quality.attrition_ledger(
-        [("target_listwise", "t_ok"), ("state_join", "j_ok"), ("feature_listwise", "f_ok")], flagged)
+            rest_ok = rest_ok & F.col(c).isNotNull()
+    inc = F.col("income_code").isNotNull()
+    # one pass: income counts as present after imputation when any matched
+    # row has an observed income (the overall median then exists)
+    one = base.agg(F.count(F.lit(1)).alias("_start"), F.count_if(t_ok).alias("_s0"),
+                   F.count_if(j_ok).alias("_s1"), F.count_if(j_ok & inc).alias("_has_income"),
+                   F.count_if(rest_ok).alias("_rest"), F.count_if(rest_ok & inc).alias("_rest_inc"))
+    one = one.select("_start", "_s0", "_s1", F.when(F.col("_has_income") > 0, F.col("_rest"))
+                     .otherwise(F.col("_rest_inc")).alias("_s2"))
+    return quality.ledger_from_counts(
+        one, ["target_listwise", "state_join", "feature_listwise"])
