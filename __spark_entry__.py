@@ -650,6 +650,26 @@ def s10_model_roundtrip(spark, sf_dir):
     return model.score(loaded, test, ["resp_id"])
 
 
+@register("m6_shapley_importance")
+def m6_shapley_importance(spark, sf_dir):
+    models, _, _ = training.fitted(spark, sf_dir)
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    return model.shapley_importance(model.sampled_shapley(test, model.gbt_scorer(models)))
+
+
+@register("a15_shapley_importance_summary")
+def a15_shapley_importance_summary(spark, sf_dir):
+    return risk.importance_summary(m6_shapley_importance(spark, sf_dir))
+
+
+@register("m6_reference_shapley_values")
+def m6_reference_shapley_values(spark, sf_dir):
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    scorer = model.expression_scorer({t: evaluation.reference_score(i)
+                                      for i, t in enumerate(fixed.TARGET_COLUMNS)})
+    return model.sampled_shapley(test, scorer)
+
+
 # permutation importance with the SQL-checkable reference score as the
 # scorer, and the importance tables built on it
 def _reference_importance(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -184,3 +184,71 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
            / (F.lit(repeats) * n_rows).cast("double"))
     return out.select("feature", F.col("_s.target").alias("target"), imp.alias("importance"),
                       F.lit(method).alias("method"))
+
+
+# ---------------------------------------------------------------------------
+# sampled Shapley values (M6, in place of the per-row tree SHAP solver)
+# ---------------------------------------------------------------------------
+def _background_pairs(heldout: DataFrame, features: list[str], orderings: int,
+                      id_col: str, salt: int) -> DataFrame:
+    """Each held-out row paired with one background row per ordering m: row
+    j (id order) gets the row at position j of hash-m order."""
+    h = heldout.select(id_col, *features)
+    recv = rank.rank_first(h, [id_col], "_r_id", "_n").select(
+        id_col, *features, "_r_id", F.explode(F.sequence(F.lit(0), F.lit(orderings - 1))).alias("_m"))
+    hash_m = F.lit(None).cast("long")
+    for m in range(orderings):
+        hash_m = F.when(F.col("_m") == m, permutation_hash(id_col, salt + m)).otherwise(hash_m)
+    ex = h.select(*features, id_col, F.explode(F.sequence(F.lit(0), F.lit(orderings - 1))).alias("_m"))
+    donors = rank.rank_first(ex.withColumn("_h", hash_m), ["_m", "_h", id_col], "_r_all", "_n_all")
+    donors = donors.select("_m", (F.col("_r_all") - F.col("_m") * (F.col("_n_all") / orderings).cast("long"))
+                           .alias("_r_id"), *[F.col(f).alias(f"_z_{f}") for f in features])
+    return recv.join(donors, ["_m", "_r_id"]).drop("_r_id")
+
+
+def sampled_shapley(heldout: DataFrame, scorer: Scorer, orderings: int = 10,
+                    features: list[str] = FEATURES, targets: list[str] = TARGETS,
+                    id_col: str = "resp_id") -> DataFrame:
+    """Per-row Shapley values by permutation sampling (Strumbelj and
+    Kononenko): for ordering m, features are switched from a background
+    row to the row's own values one at a time in a random order; each
+    switch's change in score is that feature's contribution.  Every row x
+    ordering x (features + 1) coalition state is scored in one bulk job;
+    contributions come from a lag over the states of one (row, ordering).
+    Returns (resp_id, feature, target, phi, n_orderings); for every row the
+    phis sum to its score minus the mean background score."""
+    nf = len(features)
+    pairs = _background_pairs(heldout, features, orderings, id_col, salt=1000)
+    # feature order of (row, m): sort the features by a per-(row, m, j) hash
+    keyed = F.array(*[F.struct(F.xxhash64(F.col(id_col), F.col("_m"), F.lit(j)).alias("h"),
+                               F.lit(j).alias("j")) for j in range(nf)])
+    order = F.transform(F.array_sort(keyed), lambda s: s["j"])
+    with_order = pairs.withColumn("_order", order)
+    # position of feature j in the order (0-based)
+    pos = {f: F.array_position(F.col("_order"), F.lit(j)) - 1 for j, f in enumerate(features)}
+    states = with_order.select(id_col, "_m", "_order", *features, *[f"_z_{f}" for f in features],
+                               F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("_t"))
+    built = states.select(id_col, "_m", "_t", "_order", *[
+        F.when(pos[f] < F.col("_t"), F.col(f)).otherwise(F.col(f"_z_{f}")).alias(f) for f in features])
+    scored = scorer(built, [id_col, "_m", "_t", "_order"])
+    w = Window.partitionBy(id_col, "_m").orderBy("_t")
+    steps = scored.select(
+        id_col, "_m", "_t",
+        # feature switched on at step t (t = 0 is the all-background state)
+        F.when(F.col("_t") > 0, F.element_at(F.col("_order"), F.greatest(F.col("_t"), F.lit(1)))).alias("_j"),
+        *[(F.col(f"pred_{t}") - F.lag(f"pred_{t}").over(w)).alias(f"_d_{t}") for t in targets],
+    ).filter(F.col("_t") > 0)
+    names = F.array(*[F.lit(f) for f in features])
+    items = [F.struct(F.lit(t).alias("target"), F.col(f"_d_{t}").alias("_d")) for t in targets]
+    long = steps.select(id_col, F.element_at(names, F.col("_j") + 1).alias("feature"),
+                        F.explode(F.array(*items)).alias("_s"))
+    return (long.groupBy(id_col, "feature", "_s.target")
+            .agg(F.avg("_s._d").alias("phi"), F.count(F.lit(1)).alias("n_orderings"))
+            .withColumnRenamed("_s.target", "target"))
+
+
+def shapley_importance(phi: DataFrame) -> DataFrame:
+    """Mean absolute contribution per (feature, target) (M6).
+    Columns: feature, target, importance, method."""
+    return phi.groupBy("feature", "target").agg(F.avg(F.abs("phi")).alias("importance")).withColumn(
+        "method", F.lit("shapley_sampling"))

@@ -34,11 +34,12 @@ _COVARIATE_RULES = [
     ("drinking_raw", "heavy_drinking_code", lambda c: X.null_if_in(c, fixed.SINGLE_NINE)),
 ]
 
+# raw column -> (outcome, rule, the raw codes for which the outcome is set)
 _TARGET_RULES = [
-    ("diabetes_raw", "target_diabetes", X.four_code_binary),
-    ("stroke_raw", "target_stroke", X.two_code_binary),
-    ("cancer_raw", "target_cancer", X.two_code_binary),
-    ("michd_raw", "target_cardio", X.two_code_binary),
+    ("diabetes_raw", "target_diabetes", X.four_code_binary, fixed.DIABETES_VALID),
+    ("stroke_raw", "target_stroke", X.two_code_binary, [1, 2]),
+    ("cancer_raw", "target_cancer", X.two_code_binary, [1, 2]),
+    ("michd_raw", "target_cardio", X.two_code_binary, [1, 2]),
 ]
 
 
@@ -60,7 +61,7 @@ def recode_columns(columns: Iterable[str]) -> list[Column]:
         out.append(state_abbr("state_fips").alias("stateabbr"))
     else:
         log.warning("state_fips not present; cannot attach stateabbr")
-    for raw, name, rule in _TARGET_RULES:
+    for raw, name, rule, _ in _TARGET_RULES:
         if raw in cols:
             out.append(rule(F.col(raw)).cast("int").alias(name))
         else:
@@ -85,15 +86,32 @@ def target_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("target_")]
 
 
+def outcomes_present(columns: Iterable[str]) -> Column | None:
+    """Predicate on the raw codes that holds exactly when every outcome the
+    recodes produce is non-null (P12).  Filtering on the raw codes keeps
+    the filter small and lets it reach the Parquet scan."""
+    cols = set(columns)
+    cond = None
+    for raw, _, _, valid in _TARGET_RULES:
+        if raw in cols:
+            c = F.col(raw).isin(*valid)
+            cond = c if cond is None else cond & c
+    if "asthma_raw" in cols and "copd_raw" in cols:
+        a, b = F.col("asthma_raw"), F.col("copd_raw")
+        codes = fixed.DK_REFUSED
+        c = (a == 1) | (b == 1) | (~a.isin(*codes) & ~b.isin(*codes))
+        cond = c if cond is None else cond & c
+    return cond
+
+
 def clean_survey(raw: DataFrame, drop_missing_targets: bool = True) -> DataFrame:
     """Raw survey rows -> outcomes + covariates, raw columns dropped (P10),
     rows with any missing outcome removed (P12)."""
-    cleaned = raw.select(*recode_columns(raw.columns))
     if drop_missing_targets:
-        targets = target_columns(cleaned)
-        if targets:
-            cleaned = cleaned.dropna(subset=targets)
-    return cleaned
+        cond = outcomes_present(raw.columns)
+        if cond is not None:
+            raw = raw.filter(cond)
+    return raw.select(*recode_columns(raw.columns))
 
 
 def rename_to_features(df: DataFrame) -> DataFrame:

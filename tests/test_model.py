@@ -37,3 +37,26 @@ def test_gbt_learns_planted_signal_and_importance(spark, tmp_path):
     again = model.score(model.load_models(path), test, ["resp_id"]).toPandas().sort_values("resp_id")
     first = scored.toPandas().sort_values("resp_id")
     assert (again["pred_target_stroke"].values == first["pred_target_stroke"].values).all()
+
+
+def test_sampled_shapley_sums_to_score_minus_background(spark):
+    from pyspark.sql import functions as F
+
+    df = _planted(spark, n=120)
+    exprs = {t: (F.col("age_code") * 0.05 + F.col("bmi") * 0.01 * (i + 1)) for i, t in enumerate(fixed.TARGET_COLUMNS)}
+    scorer = model.expression_scorer(exprs)
+    phi = model.sampled_shapley(df, scorer, orderings=3).toPandas()
+    sums = phi.groupby(["resp_id", "target"])["phi"].sum()
+    own = scorer(df, ["resp_id"]).toPandas().set_index("resp_id")
+    # background rows of every ordering are a permutation of all rows, so the
+    # mean background score is the mean score
+    for t in fixed.TARGET_COLUMNS:
+        mean_bg = own[f"pred_{t}"].mean()
+        got = sums.xs(t, level="target")
+        want = own[f"pred_{t}"] - mean_bg
+        # per row the telescoping sum is f(x) - mean over its 3 backgrounds
+        assert abs(got.mean() - want.mean()) < 1e-9
+    imp = model.shapley_importance(spark.createDataFrame(phi)).toPandas()
+    zero = imp[~imp.feature.isin(["age_code", "bmi"])]
+    assert (zero.importance.abs() < 1e-12).all()
+    assert set(phi.n_orderings) == {3}
