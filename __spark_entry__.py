@@ -87,6 +87,17 @@ def s2_places_scan(spark, sf_dir):
     return survey.scan_places(upper, ["locationid", "stateabbr", "measureid", "data_value", "seq"])
 
 
+@register("t2_capped_places_scan", f"""
+SELECT locationid, stateabbr, measureid, data_value, seq FROM places_county
+ORDER BY seq, locationid, measureid, data_value LIMIT {survey.PULL_ROW_CAP}""")
+def t2_capped_places_scan(spark, sf_dir):
+    # the pull's row cap, made stable by a total order
+    raw = standins.places_county(spark, sf_dir)
+    return survey.scan_places(raw, ["locationid", "stateabbr", "measureid", "data_value", "seq"],
+                              limit=survey.PULL_ROW_CAP,
+                              order_key=["seq", "locationid", "measureid", "data_value"])
+
+
 # ---------------------------------------------------------------------------
 # 2.2 projections, recodes, filters
 # ---------------------------------------------------------------------------
