@@ -9,6 +9,7 @@ median enters as a scalar subquery.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ def impute_income(df: DataFrame, min_n: int = fixed.MIN_GROUP_N_FOR_MEDIAN,
     the same rule, else the overall median; round half to even, clip to
     1..8.  Adds ``income_code_imputed`` (always) and ``imputation_tier``.
     ``fit_on`` computes the medians on another frame (e.g. training rows)."""
+    # the frame is read twice (medians, then the fill): keep it, spilling to
+    # disk when it does not fit in memory
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     medians = income_medians(fit_on if fit_on is not None else df, min_n)
     usable = broadcast_if_small(medians.filter("usable"))
     cell = usable.filter(F.col("tier") == fixed.TIER_CELL).select(
