@@ -48,7 +48,7 @@ def train_models(train: DataFrame, rounds: int = fixed.GBT_ROUNDS, depth: int =
 
     def fit(target: str) -> tuple[str, PipelineModel]:
         gbt = GBTClassifier(labelCol=target, featuresCol="features", maxDepth=depth, maxIter=rounds,
-                            seed=seed, cacheNodeIds=True, checkpointInterval=10)
+                            seed=seed, cacheNodeIds=False, checkpointInterval=10)
         return target, PipelineModel(stages=[asm, gbt.fit(data)])
 
     if parallel:
