@@ -69,10 +69,11 @@ def flagship_state_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXTRACT_NAMES = {ours: extract for extract, ours in fixed.SURVEY_COLUMNS.items()}
 
 
-@register("s1_survey_scan", """
-SELECT resp_id, state_fips, diabetes_raw, stroke_raw, asthma_raw, copd_raw, cancer_raw, michd_raw,
-  age_raw, sex_raw, income_raw, race_raw, educa_raw, bmi_x100, smoker_raw, activity_raw, drinking_raw
-FROM respondents""")
+@register("s1_survey_scan", "SELECT resp_id, " + ", ".join(
+    f"CAST({c} AS INTEGER) AS {c}" for c in [
+        "state_fips", "diabetes_raw", "stroke_raw", "asthma_raw", "copd_raw", "cancer_raw", "michd_raw",
+        "age_raw", "sex_raw", "income_raw", "race_raw", "educa_raw", "bmi_x100", "smoker_raw",
+        "activity_raw", "drinking_raw"]) + " FROM respondents")
 def s1_survey_scan(spark, sf_dir):
     # the extract carries its own column names; the scan maps them to ours
     raw = standins.respondents(spark, sf_dir)
@@ -151,9 +152,9 @@ def p6_respiratory_either(spark, sf_dir):
 
 
 @register("p7_rule_violations", f"""
-SELECT count_if(sex_raw IS NULL OR sex_raw NOT IN (1, 2)) AS bad_sex,
-       count_if(CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE < 12 OR CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE > 100) AS bad_bmi,
-       count_if(({OQ.STATE_ABBR}) IS NULL) AS unmapped_state,
+SELECT CAST(count_if(sex_raw IS NULL OR sex_raw NOT IN (1, 2)) AS BIGINT) AS bad_sex,
+       CAST(count_if(CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE < 12 OR CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE > 100) AS BIGINT) AS bad_bmi,
+       CAST(count_if(({OQ.STATE_ABBR}) IS NULL) AS BIGINT) AS unmapped_state,
        count(*) AS n_rows
 FROM respondents""")
 def p7_rule_violations(spark, sf_dir):
@@ -418,7 +419,7 @@ def j3_crosswalk_state(spark, sf_dir):
 
 
 @register("a8_zip_key_shape", """
-SELECT count(*) AS n_rows, count_if(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false)) AS n_zip_like,
+SELECT count(*) AS n_rows, CAST(count_if(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false)) AS BIGINT) AS n_zip_like,
   avg(CAST(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false) AS DOUBLE)) AS zip_like_share,
   avg(CAST(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false) AS DOUBLE)) < 0.9 AS warn_low_share
 FROM places_zcta""")
@@ -427,7 +428,7 @@ def a8_zip_key_shape(spark, sf_dir):
 
 
 @register("a8_unresolved_states", """
-SELECT count(*) AS n_zcta, count_if(stateabbr IS NULL) AS n_unresolved FROM zcta_prefix""")
+SELECT count(*) AS n_zcta, CAST(count_if(stateabbr IS NULL) AS BIGINT) AS n_unresolved FROM zcta_prefix""")
 def a8_unresolved_states(spark, sf_dir):
     t = places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir)))
     return t.agg(F.count(F.lit(1)).alias("n_zcta"),

@@ -240,7 +240,7 @@ FROM clean_all c LEFT JOIN (SELECT * FROM state_avg WHERE stateabbr IN ({KNOWN_S
 
 def missing_rows(table: str, cols) -> str:
     return "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS n_missing, "
+        f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS n_missing, "
         f"CAST(count_if({c} IS NULL) AS DOUBLE) * 100 / count(*) AS pct_missing, count(*) AS n_rows FROM {table}"
         for c in cols)
 

@@ -62,3 +62,15 @@ def test_entry_runs(spark):
 def test_every_query_has_a_callable():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", _names())
+def test_query_types_match_oracle(spark, con, name):
+    import __spark_entry__ as E
+    s = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+         for f in E.queries()[name](spark, SF).schema}
+    d = {r[0]: r[1] for r in con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    assert s == d
