@@ -79,3 +79,15 @@ def test_rule_violation_counts(spark):
     assert r.bad_sex == 2  # nulls count as bad for sex
     assert r.bad_metro == 1  # but not for metro
     assert r.bad_bmi == 1
+
+
+def test_outcome_filter_reaches_parquet_scan(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 2, 1, 2, 1, 2), (2, 9, 2, 1, 2, 2, 2)],
+                               "resp_id long, diabetes_raw int, stroke_raw int, cancer_raw int, "
+                               "michd_raw int, asthma_raw int, copd_raw int")
+    path = str(tmp_path / "survey")
+    df.write.parquet(path)
+    cleaned = recode.clean_survey(spark.read.parquet(path))
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(diabetes_raw" in plan or "In(diabetes_raw, [1,2,3,4])" in plan
+    assert [r.resp_id for r in cleaned.collect()] == [1]
