@@ -435,6 +435,16 @@ def a8_unresolved_states(spark, sf_dir):
                  F.count_if(F.col("stateabbr").isNull()).alias("n_unresolved"))
 
 
+@register("a8_crosswalk_unmatched", f"""
+SELECT count(*) AS n_zcta, CAST(count_if(x.stateabbr IS NULL) AS BIGINT) AS n_unmatched
+FROM pz_wide w LEFT JOIN (SELECT {OQ._zfill5('zcta')} AS ZCTA, stateabbr FROM crosswalk) x USING (ZCTA)""")
+def a8_crosswalk_unmatched(spark, sf_dir):
+    t = places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir)),
+                             standins.crosswalk(spark, sf_dir))
+    return t.agg(F.count(F.lit(1)).alias("n_zcta"),
+                 F.count_if(F.col("stateabbr").isNull()).alias("n_unmatched"))
+
+
 # ---------------------------------------------------------------------------
 # 2.1 scans and sinks through the shared folder
 # ---------------------------------------------------------------------------
@@ -636,21 +646,24 @@ def s6_predictions_scan(spark, sf_dir):
     return survey.read_predictions(spark, path).select(*preds.columns)
 
 
-def _metrics_document(spark, sf_dir):
-    scores = training.heldout_model_scores(spark, sf_dir)
-    return sinks.metrics_document(metrics.summary(scores))
-
-
 @register("s9_metrics_document")
 def s9_metrics_document(spark, sf_dir):
-    return _metrics_document(spark, sf_dir)
+    _, _, n_train = training.fitted(spark, sf_dir)
+    scores = training.heldout_model_scores(spark, sf_dir)
+    n_test = training.eval_frame(spark, sf_dir).filter(F.col("is_test")).count()
+    op = metrics.operating_point(metrics.pr_curve(scores)).first()
+    return sinks.eval_document(metrics.summary(scores), op, n_train, n_test,
+                               "spark.ml GBTClassifier", fixed.TARGET_DISPLAY_NAMES[fixed.PRIMARY_TARGET])
 
 
 @register("s7_eval_artifacts")
 def s7_eval_artifacts(spark, sf_dir):
     base = shared_path(spark, "eval")
-    _metrics_document(spark, sf_dir).write.mode("overwrite").json(f"{base}/eval_metrics")
-    sinks.write_table(metrics.equity_audit(training.heldout_model_scores(spark, sf_dir)), f"{base}/equity")
+    s9_metrics_document(spark, sf_dir).write.mode("overwrite").text(f"{base}/eval_metrics")
+    scores = training.heldout_model_scores(spark, sf_dir)
+    sinks.write_table(metrics.equity_audit(scores), f"{base}/equity")
+    curve = metrics.pr_curve(scores).filter(F.col("target") == fixed.PRIMARY_TARGET)
+    sinks.write_table(curve, f"{base}/precision_recall")
     return survey.read_eval_artifacts(spark, base)["eval_metrics"]
 
 

@@ -33,3 +33,32 @@ def metrics_document(df: DataFrame, key: str = "target") -> DataFrame:
     """Long metric rows -> one JSON document per key."""
     value_cols = [c for c in df.columns if c != key]
     return df.select(F.col(key), F.to_json(F.struct(*value_cols)).alias("metrics_json"))
+
+
+def eval_document(summary: DataFrame, operating_point_row, n_train: int, n_test: int,
+                  backend: str, primary_display: str) -> DataFrame:
+    """The evaluation document as one JSON row (S9): counts, one map per
+    metric keyed by outcome display name, the curve's outcome and the
+    operating point.  The maps aggregate the five-row summary; the PR
+    curve itself stays a long table (written next to the document) rather
+    than an array collected into one row."""
+    from ..functions import exprs as X
+    from ..functions import fixed
+
+    keyed = summary.withColumn("_k", X.literal_lookup("target", fixed.TARGET_DISPLAY_NAMES))
+    maps = keyed.agg(*[
+        F.map_from_entries(F.collect_list(F.struct("_k", F.col(m)))).alias(f"{m}_by_target")
+        for m in ("macro_f1", "roc_auc", "pr_auc", "prevalence")])
+    op = operating_point_row
+    op_struct = F.struct(
+        F.lit(primary_display).alias("target"),
+        F.lit(op["threshold"] if op else None).cast("double").alias("threshold"),
+        F.lit(op["precision"] if op else None).cast("double").alias("precision"),
+        F.lit(op["recall"] if op else None).cast("double").alias("recall"),
+        F.lit(op["f1"] if op else None).cast("double").alias("f1"))
+    doc = F.struct(F.lit(backend).alias("model_backend"), F.lit(int(n_train)).alias("n_train"),
+                   F.lit(int(n_test)).alias("n_test"),
+                   *[F.col(f"{m}_by_target") for m in ("macro_f1", "roc_auc", "pr_auc", "prevalence")],
+                   F.lit(primary_display).alias("precision_recall_target"),
+                   op_struct.alias("operating_point"))
+    return maps.select(F.to_json(doc).alias("document"))
