@@ -14,6 +14,7 @@ and an executor loss cannot change positions.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,16 @@ from ..functions import fixed
 from ..session import ensure_checkpoint_dir
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint to the shared folder.  The frame is held in
+    memory/disk while the checkpoint files are written, so the plan is
+    computed once rather than once for the count and again for the write."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -40,7 +51,7 @@ def rank_first(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
              .withColumn("_pid", pid)
              .withColumn("_pos", F.monotonically_increasing_id()
                          - F.shiftleft(pid.cast("long"), 33)))
-    local = local.checkpoint(eager=True)
+    local = checkpointed(local)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding,
@@ -133,7 +144,7 @@ def running_totals(df: DataFrame, part_cols: list[str], order_col: str,
     schema = T.StructType(parted.schema.fields + [
         T.StructField(f"_loc_{c}", T.LongType()) for c in sum_cols])
     local = parted.mapInPandas(_local_cumsum(sum_cols, part_cols), schema)
-    local = local.checkpoint(eager=True)
+    local = checkpointed(local)
     tot = local.groupBy("_pid", *part_cols).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     w = Window.partitionBy(*part_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
         if part_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import lookup, model
+from ..operators import lookup, model, rank
 from ..session import shared_path
 from . import evaluation, modelling
 from . import requests as requests_plan
@@ -34,7 +34,7 @@ def eval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (id(spark), sf_dir)
     if key not in _FRAMES:
         ev = evaluation.evaluation_frame(modelling.modelling_frame(spark, sf_dir))
-        _FRAMES[key] = ev.checkpoint(eager=True)
+        _FRAMES[key] = rank.checkpointed(ev)
     return _FRAMES[key]
 
 
