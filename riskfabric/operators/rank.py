@@ -33,8 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _range_partition(df: DataFrame, n: int | None, *keys) -> DataFrame:
+    """Range-partition on the keys.  Without an explicit count the shuffle
+    uses the session's partition count and AQE may merge neighbouring
+    ranges, which keeps partition order equal to key order."""
+    return df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
 
 
 def rank_first(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
@@ -44,9 +47,8 @@ def rank_first(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
     Equivalent to ``row_number() OVER (ORDER BY order_cols)`` without a
     single-task window."""
     ensure_checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, num_partitions)
     pid = F.spark_partition_id()
-    local = (df.repartitionByRange(n, *order_cols)
+    local = (_range_partition(df, num_partitions, *order_cols)
              .sortWithinPartitions(*order_cols)
              .withColumn("_pid", pid)
              .withColumn("_pos", F.monotonically_increasing_id()
@@ -136,10 +138,9 @@ def running_totals(df: DataFrame, part_cols: list[str], order_col: str,
     ``descending``).  Adds ``cum_<col>`` columns.  ``order_col`` must be
     unique within a group (e.g. a table already grouped by it)."""
     ensure_checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, num_partitions)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     keys = [F.col(c) for c in part_cols] + [order]
-    parted = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    parted = (_range_partition(df, num_partitions, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(parted.schema.fields + [
         T.StructField(f"_loc_{c}", T.LongType()) for c in sum_cols])
