@@ -639,6 +639,13 @@ def m7_request_model_scores(spark, sf_dir):
     return training.request_model_scores(spark, sf_dir)
 
 
+@register("j7_model_prevalence_comparison")
+def j7_model_prevalence_comparison(spark, sf_dir):
+    scores = training.request_model_scores(spark, sf_dir)
+    sample = metrics.prevalence(training.heldout_model_scores(spark, sf_dir))
+    return lookup.compare_to_prevalence(scores, sample)
+
+
 @register("s6_predictions_scan")
 def s6_predictions_scan(spark, sf_dir):
     preds = training.scored_respondents(spark, sf_dir)
