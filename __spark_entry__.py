@@ -213,8 +213,8 @@ def p16_lowercase_names(spark, sf_dir):
 
 @register("p17_first_state", "SELECT ZCTA, stateabbr FROM pc_state")
 def p17_first_state(spark, sf_dir):
-    return places.pivot_places(standins.places_county(spark, sf_dir)) .select("ZCTA", "stateabbr") \
-        .unionByName(_states_of_all_null(spark, sf_dir))
+    wide = places.pivot_places(standins.places_county(spark, sf_dir)).select("ZCTA", "stateabbr")
+    return wide.unionByName(_states_of_all_null(spark, sf_dir))
 
 
 def _states_of_all_null(spark, sf_dir):

@@ -9,7 +9,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 
 
 def missingness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -69,5 +68,3 @@ def ledger_from_counts(one: DataFrame, steps: list[str]) -> DataFrame:
     return long.withColumn("pct_lost", pct).withColumn(
         "warn", F.col("pct_lost") > F.lit(15))
 
-
-MODEL_COLUMNS = fixed.FEATURE_COLUMNS + fixed.TARGET_COLUMNS

@@ -29,12 +29,6 @@ def round_trip(spark: SparkSession, df: DataFrame, name: str,
     return spark.read.parquet(path)
 
 
-def metrics_document(df: DataFrame, key: str = "target") -> DataFrame:
-    """Long metric rows -> one JSON document per key."""
-    value_cols = [c for c in df.columns if c != key]
-    return df.select(F.col(key), F.to_json(F.struct(*value_cols)).alias("metrics_json"))
-
-
 def eval_document(summary: DataFrame, operating_point_row, n_train: int, n_test: int,
                   backend: str, primary_display: str) -> DataFrame:
     """The evaluation document as one JSON row (S9): counts, one map per
