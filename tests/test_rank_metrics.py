@@ -122,3 +122,17 @@ def test_macro_f1_and_lift(spark):
     s = _scores(spark, rows)
     lf = metrics.lift(metrics.average_precision(s), metrics.prevalence(s)).first()
     assert lf.lift == lf.pr_auc / lf.prevalence
+
+
+def test_hot_value_is_split_across_range_partitions(spark):
+    from pyspark.sql import functions as F
+
+    # a third of the rows share one value
+    rows = [(i, 5.0 if i % 3 == 0 else float(i % 97)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "resp_id long, v double")
+    parted = rank._range_partition(df, 8, "v", "resp_id").withColumn("_pid", F.spark_partition_id())
+    per_part = {r._pid: r["count"] for r in parted.filter("v = 5.0").groupBy("_pid").count().collect()}
+    assert len(per_part) >= 3  # the hot value spans several tasks
+    assert max(per_part.values()) < 1000
+    ranks = {r.resp_id: r.rank for r in rank.rank_first(df, ["v", "resp_id"], num_partitions=8).collect()}
+    assert sorted(ranks.values()) == list(range(1, 3001))
