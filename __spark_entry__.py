@@ -283,7 +283,10 @@ def a4_tier_usage(spark, sf_dir):
 # 2.5 windows, 2.11 split, 2.4 metrics on the held-out rows (reference score)
 # ---------------------------------------------------------------------------
 def _heldout_scores(spark, sf_dir):
-    return evaluation.heldout_reference_scores(modelling.modelling_frame(spark, sf_dir))
+    # the evaluation frame (quartiles cut on all rows, then the split) is
+    # built once per session and input, as one training run builds it once
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    return evaluation.long_scores(test)
 
 
 @register("w1_disadvantage_quartile", """
