@@ -155,6 +155,7 @@ def p6_respiratory_either(spark, sf_dir):
 SELECT CAST(count_if(sex_raw IS NULL OR sex_raw NOT IN (1, 2)) AS BIGINT) AS bad_sex,
        CAST(count_if(CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE < 12 OR CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE > 100) AS BIGINT) AS bad_bmi,
        CAST(count_if(({OQ.STATE_ABBR}) IS NULL) AS BIGINT) AS unmapped_state,
+       CAST(count_if(income_raw NOT IN (77, 99) AND income_raw > {fixed.INCOME_MAX}) AS BIGINT) AS income_above_scale,
        count(*) AS n_rows
 FROM respondents""")
 def p7_rule_violations(spark, sf_dir):

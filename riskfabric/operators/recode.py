@@ -131,7 +131,8 @@ def require_columns(df: DataFrame, required: Iterable[str], what: str = "table")
 def rule_violations(raw: DataFrame) -> DataFrame:
     """One-pass counts behind the cleaning warnings (P7, P8, P1): sex outside
     {1, 2} with nulls counted as bad, metro outside 1-5 with nulls not
-    counted, implausible BMI, and unmapped state codes."""
+    counted, implausible BMI, unmapped state codes, and incomes above the
+    1-8 scale (left as they are)."""
     aggs = []
     cols = set(raw.columns)
     if "sex_raw" in cols:
@@ -144,5 +145,9 @@ def rule_violations(raw: DataFrame) -> DataFrame:
         aggs.append(F.count_if((bmi < fixed.BMI_MIN) | (bmi > fixed.BMI_MAX)).alias("bad_bmi"))
     if "state_fips" in cols:
         aggs.append(F.count_if(state_abbr("state_fips").isNull()).alias("unmapped_state"))
+    if "income_raw" in cols:
+        # kept as they are (never nulled or clipped), but reported
+        inc = X.null_if_in("income_raw", fixed.INCOME_INVALID)
+        aggs.append(F.count_if(inc > fixed.INCOME_MAX).alias("income_above_scale"))
     aggs.append(F.count(F.lit(1)).alias("n_rows"))
     return raw.agg(*aggs)

@@ -54,3 +54,11 @@ def test_tier_usage(spark):
          impute.tier_usage(impute.impute_income(_frame(spark, rows))).collect()}
     assert u["age_x_education_group"][0] == 1 and u["overall_median"][0] == 1
     assert abs(u["overall_median"][1] - 1 / 32) < 1e-12
+
+
+def test_fit_on_other_rows(spark):
+    train = _frame(spark, [(i, 1, 1, 2) for i in range(40)])
+    frame = _frame(spark, [(100, 1, 1, 7), (101, 1, 1, 7), (102, 1, 1, None)])
+    own = {r.resp_id: r.income_code for r in impute.impute_income(frame).collect()}
+    fitted = {r.resp_id: r.income_code for r in impute.impute_income(frame, fit_on=train).collect()}
+    assert own[102] == 7 and fitted[102] == 2

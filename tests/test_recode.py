@@ -91,3 +91,10 @@ def test_outcome_filter_reaches_parquet_scan(spark, tmp_path):
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(diabetes_raw" in plan or "In(diabetes_raw, [1,2,3,4])" in plan
     assert [r.resp_id for r in cleaned.collect()] == [1]
+
+
+def test_income_above_scale_is_kept_and_counted(spark):
+    df = spark.createDataFrame([(1, 9), (2, 77), (3, 5), (4, 12)], "resp_id long, income_raw int")
+    assert recode.rule_violations(df).first().income_above_scale == 2
+    kept = {r.resp_id: r.income_code for r in recode.clean_survey(df, False).collect()}
+    assert kept == {1: 9, 2: None, 3: 5, 4: 12}
