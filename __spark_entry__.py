@@ -628,9 +628,7 @@ def a9_model_demographic_risk(spark, sf_dir):
 
 @register("m5_permutation_importance")
 def m5_permutation_importance(spark, sf_dir):
-    models, _, _ = training.fitted(spark, sf_dir)
-    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
-    return model.permutation_importance(test, model.gbt_scorer(models))
+    return training.model_importance(spark, sf_dir, "permutation")
 
 
 @register("a15_model_importance_summary")
@@ -688,9 +686,7 @@ def s10_model_roundtrip(spark, sf_dir):
 
 @register("m6_shapley_importance")
 def m6_shapley_importance(spark, sf_dir):
-    models, _, _ = training.fitted(spark, sf_dir)
-    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
-    return model.shapley_importance(model.sampled_shapley(test, model.gbt_scorer(models)))
+    return training.model_importance(spark, sf_dir, "shapley_sampling")
 
 
 @register("a15_shapley_importance_summary")

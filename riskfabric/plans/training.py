@@ -85,3 +85,22 @@ def request_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col(f"pred_{t}").alias("score")) for t in fixed.TARGET_COLUMNS]
     return scored.select("request_id", "place_imputed", F.explode(F.array(*items)).alias("_s")).select(
         "request_id", "_s.*", F.lit("model").alias("score_kind"), "place_imputed")
+
+
+_IMPORTANCE: dict = {}
+
+
+def model_importance(spark: SparkSession, sf_dir: str, method: str = "permutation") -> DataFrame:
+    """Per (feature, target) importance of the fitted models on the held-out
+    rows (M5 permutation or M6 sampled Shapley), computed once per session
+    and input and checkpointed, since the summary tables read it again."""
+    key = (id(spark), sf_dir, method, gbt_rounds())
+    if key not in _IMPORTANCE:
+        models, _, _ = fitted(spark, sf_dir)
+        test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
+        if method == "permutation":
+            imp = model.permutation_importance(test, model.gbt_scorer(models))
+        else:
+            imp = model.shapley_importance(model.sampled_shapley(test, model.gbt_scorer(models)))
+        _IMPORTANCE[key] = rank.checkpointed(imp)
+    return _IMPORTANCE[key]
