@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as OQ  # noqa: E402
+from riskfabric.functions import exprs as X  # noqa: E402
 from riskfabric.functions import fixed  # noqa: E402
 from riskfabric.operators import impute, lookup, metrics, model, places, quality, rank, recode, risk  # noqa: E402
 from riskfabric.plans import evaluation, modelling  # noqa: E402
@@ -110,7 +111,6 @@ def p1_state_abbr(spark, sf_dir):
 
 @register("p2_sentinel_codes", "SELECT resp_id, income_code, age_code, race_code, educa_code FROM clean_all")
 def p2_sentinel_codes(spark, sf_dir):
-    from riskfabric.functions import exprs as X
     raw = standins.respondents(spark, sf_dir)
     return raw.select(
         "resp_id",
@@ -144,7 +144,6 @@ def p5_cardio_binary(spark, sf_dir):
 SELECT r.resp_id, r.asthma_raw, r.copd_raw, c.target_chronic_respiratory
 FROM respondents r JOIN clean_all c USING (resp_id)""")
 def p6_respiratory_either(spark, sf_dir):
-    from riskfabric.functions import exprs as X
     raw = standins.respondents(spark, sf_dir)
     return raw.select("resp_id", "asthma_raw", "copd_raw",
                       X.either_target("asthma_raw", "copd_raw").cast("int")
@@ -164,7 +163,6 @@ def p7_rule_violations(spark, sf_dir):
 
 @register("p8_bmi_range", "SELECT r.resp_id, r.bmi_x100, c.bmi FROM respondents r JOIN clean_all c USING (resp_id)")
 def p8_bmi_range(spark, sf_dir):
-    from riskfabric.functions import exprs as X
     raw = standins.respondents(spark, sf_dir)
     return raw.select("resp_id", "bmi_x100", X.bmi_from_x100("bmi_x100").alias("bmi"))
 
@@ -499,7 +497,6 @@ def j6_state_lookup(spark, sf_dir):
 
 @register("p20_zip_validity", "SELECT request_id, zip_text, zip_valid FROM res")
 def p20_zip_validity(spark, sf_dir):
-    from riskfabric.functions import exprs as X
     return standins.requests(spark, sf_dir).select(
         "request_id", "zip_text", X.is_zip5("zip_text").alias("zip_valid"))
 
