@@ -54,6 +54,7 @@ WHEN 1 THEN substr(lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0'
 WHEN 2 THEN substr(lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0'), 1, 4) || 'A'
 WHEN 3 THEN ''
 WHEN 4 THEN NULL
+WHEN 5 THEN lpad(CAST((o_custkey * 7919 + 1) % 100000 AS VARCHAR(10)), 5, '0')
 ELSE lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0') END AS zip_text,
 CAST(1 + o_custkey % 57 AS INT) AS state_fips,
 CAST(1 + (o_orderkey * 31) % 13 AS INT) AS age_code,
