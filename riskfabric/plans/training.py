@@ -8,6 +8,7 @@ folder, so every query that needs them reuses one fit.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.ml import PipelineModel
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import lookup, model, rank
-from ..session import shared_path
+from ..session import shared_base, shared_path
 from . import evaluation, modelling
 from . import requests as requests_plan
 
@@ -38,16 +39,51 @@ def eval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _FRAMES[key]
 
 
+def _model_dir(spark: SparkSession, sf_dir: str, rounds: int, depth: int) -> str:
+    """Where the models for this input and these settings live in the
+    shared folder: keyed by the input location, its files' sizes and
+    times, and the settings, so another process reuses a finished fit."""
+    parts = [os.path.abspath(sf_dir), str(rounds), str(depth), str(fixed.SEED)]
+    for t in ("orders", "lineitem"):
+        try:
+            st = os.stat(os.path.join(sf_dir, f"{t}.parquet"))
+            parts += [str(st.st_size), str(int(st.st_mtime))]
+        except OSError:
+            pass
+    key = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+    return f"{shared_base(spark).rstrip('/')}/models/{key}"
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _fs_touch(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 def fitted(spark: SparkSession, sf_dir: str, rounds: int | None = None,
            depth: int = fixed.GBT_DEPTH) -> tuple[dict[str, PipelineModel], str, int]:
-    """(models, saved path, n_train) for this input, fitted once."""
+    """(models, saved path, n_train) for this input, fitted once.  A fit
+    saved earlier for the same input and settings (marked complete) is
+    loaded instead of refitted (S10)."""
     rounds = rounds or gbt_rounds()
     key = (id(spark), sf_dir, rounds, depth)
     if key not in _MODELS:
         train = eval_frame(spark, sf_dir).filter(~F.col("is_test"))
         n_train = train.count()
-        models = model.train_models(train, rounds=rounds, depth=depth)
-        path = model.save_models(models, shared_path(spark, "models"))
+        path = _model_dir(spark, sf_dir, rounds, depth)
+        done = f"{path}/_COMPLETE"
+        if _fs_exists(spark, done):
+            models = model.load_models(path)
+        else:
+            models = model.train_models(train, rounds=rounds, depth=depth)
+            model.save_models(models, path)
+            _fs_touch(spark, done)
         _MODELS[key] = (models, path, n_train)
     return _MODELS[key]
 

@@ -52,3 +52,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder itself (``spark.checkpoint.dir`` as configured),
+    which is the same for every application on the cluster; Spark adds a
+    per-application subfolder to the checkpoint directory it uses."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or \
+        spark.conf.get("spark.checkpoint.dir", None)
+    return conf or ensure_checkpoint_dir(spark)
