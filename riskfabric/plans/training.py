@@ -43,7 +43,9 @@ def _model_dir(spark: SparkSession, sf_dir: str, rounds: int, depth: int) -> str
     """Where the models for this input and these settings live in the
     shared folder: keyed by the input location, its files' sizes and
     times, and the settings, so another process reuses a finished fit."""
-    parts = [os.path.abspath(sf_dir), str(rounds), str(depth), str(fixed.SEED)]
+    from .. import __version__
+
+    parts = [__version__, os.path.abspath(sf_dir), str(rounds), str(depth), str(fixed.SEED)]
     for t in ("orders", "lineitem"):
         try:
             st = os.stat(os.path.join(sf_dir, f"{t}.parquet"))
