@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -60,18 +61,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 class TwoGenerations(dict):
-    """A bounded cache: when ``limit`` entries are in, they become the old
-    generation and the one before goes; what is used again moves over."""
+    """A bounded cache.  ``begin()``, called before each slice of work, makes the
+    entries the old generation once there are ``limit`` of them, and the old
+    generation goes; what is asked for again moves over."""
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def put(self, key, value) -> None:
+    def begin(self) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = value
 
     def missing(self, keys) -> list:
         """The keys in neither generation; those of the old one are taken over."""
@@ -85,6 +86,18 @@ class TwoGenerations(dict):
         return out
 
 
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def chunks(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes that end before white space."""
+    start = 0
+    while len(text) - start > size and (m := _BREAK.search(text, start + size)):
+        yield text[start:m.start()]
+        start = m.start()
+    yield text[start:]
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 

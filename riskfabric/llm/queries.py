@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, token_binary, token_counts
 from ._common import ship_package
 
 
@@ -17,6 +17,8 @@ def _registered(fn):
 
 
 QUERIES = {name: _registered(fn) for name, fn in {
+    "op3_token_counts": token_counts.query,
+    "op8_token_binary": token_binary.query,
     "op9_line_dedup": line_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }.items()}
