@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -63,10 +64,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def word_pattern() -> regex.Pattern:
-    """The pre-tokenizer's pattern.  The two pattern engines may know different versions of
-    Unicode; code points that tiktoken's engine doesn't count as letters or numbers are taken
-    out of those classes here, so that both cut every text alike."""
+def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
+    """The pre-tokenizer's pattern; the same without the code points that only this engine counts
+    as letters or numbers; and these code points.  The two engines may know different versions of
+    Unicode; texts that hold such code points need the second, slower pattern to be cut alike."""
+    odd = ""
     codes = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
     pattern = public_tokenizers.PATTERN
     for name in (r"\p{L}", r"\p{N}"):
@@ -82,7 +84,8 @@ def word_pattern() -> regex.Pattern:
         if ranges:
             without = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
             pattern = pattern.replace(name, f"[{name}--[{without}]]")
-    return regex.compile(pattern, regex.V1)
+            odd += without
+    return regex.compile(public_tokenizers.PATTERN), regex.compile(pattern, regex.V1), re.compile(f"[{odd}]" if odd else r"(?!)")
 
 
 class Bpe:
@@ -90,7 +93,7 @@ class Bpe:
 
     def __init__(self, path: str):
         self.ranks = ranks = load_ranks(path)
-        self.pattern = word_pattern()
+        self.pattern, self.careful, self.odd = word_patterns()
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, token = [], [], []
         for word, rank in ranks.items():
@@ -199,14 +202,17 @@ class Bpe:
         cells = self.digits[ids].view(np.uint8)
         return cells[cells != 0].tobytes()
 
+    def cut(self, text: str) -> regex.Pattern:
+        return self.pattern if text.isascii() or not self.odd.search(text) else self.careful
+
     def rounds(self, texts: list[str]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         """(documents, their ids): short texts together, a long one in several rounds."""
         if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
-            found = (m[0] for m in self.pattern.finditer(texts[0]))
+            found = (m[0] for m in self.cut(texts[0]).finditer(texts[0]))
             while part := list(itertools.islice(found, ROUND_WORDS)):
                 yield [0], self.encode([part])
         else:
-            yield list(range(len(texts))), self.encode([self.pattern.findall(t) for t in texts])
+            yield list(range(len(texts))), self.encode([self.cut(t).findall(t) for t in texts])
 
 
 _BPE: dict[str, Bpe] = {}
