@@ -42,8 +42,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into slices of about ``SLICE_BYTES`` of ``column`` (a
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of about ``size`` bytes of ``column`` (a
     longer single text is a slice of its own), so that what a task holds
     doesn't follow the batch size."""
     for batch in batches:
@@ -53,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         sizes = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i in range(n):
-            if i > start and total + sizes[i] > SLICE_BYTES:
+            if i > start and total + sizes[i] > size:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += sizes[i]

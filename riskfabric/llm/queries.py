@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import byte_bpe, exact_dedup, line_dedup, token_binary, token_counts
+from . import byte_bpe, exact_dedup, language_id, line_dedup, token_binary, token_counts
 from ._common import ship_package
 
 
@@ -18,6 +18,7 @@ def _registered(fn):
 
 QUERIES = {name: _registered(fn) for name, fn in {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_language_id": language_id.query,
     "op3_token_counts": token_counts.query,
     "op8_token_binary": token_binary.query,
     "op9_line_dedup": line_dedup.query,
