@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,6 +208,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return base.mapInArrow(run, "doc_id long, lang_pred string, score double" + (", " + fields if fields else ""))
 
 
+def language_of(docs: DataFrame, model: Model):
+    """A function of a text column that gives the language as a column, for filters on ``docs``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def lang(texts: pd.Series) -> pd.Series:
+        out: list[str] = []
+        for b in slices([pa.RecordBatch.from_arrays([pa.array(texts.fillna(""), pa.string())], names=["text"])], size=2 << 20):
+            out += held.value.predict(b.column("text").to_pylist())[0]
+        return pd.Series(out, dtype=object)
+    return lang
+
+
 def fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_score, ngram_join, token_binary, token_counts
+from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_score, ngram_join, quality, token_binary, token_counts
 from ._common import ship_package
 
 
@@ -21,6 +21,7 @@ QUERIES = {name: _registered(fn) for name, fn in {
     "op2_language_id": language_id.query,
     "op3_token_counts": token_counts.query,
     "op4_lm_score": lm_score.query,
+    "op5_quality": quality.query,
     "op6_decontaminate": decontaminate.query,
     "op7_ngram_join": ngram_join.query,
     "op8_token_binary": token_binary.query,
