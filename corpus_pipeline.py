@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfabric.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join
-from riskfabric.llm._common import ship_package, written
+from riskfabric.llm._common import packed, ship_package, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated with one id, one.  Rows without an id, and texts without words, stay."""
     ship_package(spark)
     found = ngram_join.near_duplicate_components(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    first = rows.groupBy("doc_id").agg(F.min("__row").alias("__first")).where("doc_id is not null")
-    keep = first.join(stay, F.col("doc_id") == F.col("__id")).select("__first")
-    return rows.join(keep, F.col("__row") == F.col("__first"), "left") \
-        .where("doc_id is null or __first is not null").select(*docs.columns)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    rows = packed(docs).withColumn("doc_id", F.col("doc.doc_id")).withColumn("row", F.monotonically_increasing_id())
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).join(stay, "doc_id", "left_semi")
+    return rows.join(first.select("row", F.lit(True).alias("first")), "row", "left") \
+        .where("doc_id is null or first").select("doc.*")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,11 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``doc``, so that names of ours beside it can't clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the lineage
     is cut, the plan runs once, and a lost executor takes nothing with it."""
@@ -98,10 +103,6 @@ def chunks(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
     yield text[start:]
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that the
     functions of Python stages import there wherever the driver was started."""

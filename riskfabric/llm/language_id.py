@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import slices, text_of
+from ._common import id_and_text, slices
 
 SEGMENT = 256
 PART = 1 << 20  # characters of a long text that are worked on at once
@@ -190,22 +190,18 @@ def train(labelled: DataFrame, **bounds) -> Model:
     return Model(references(labelled, **bounds))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row's whole text (``carry``: further
-    columns that go along).  A null text, or one without a letter, is ``und``
-    with score 0.  Repeated rows each have a row."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score`` for every row's whole text.  A null text, or one
+    without a letter, is ``und`` with score 0.  Repeated rows each have a row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), *carry)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, size=2 << 20):
             lang, score = held.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *[b.column(c) for c in carry]],
-                names=["doc_id", "lang_pred", "score", *carry])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             names=["doc_id", "lang_pred", "score"])
 
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double" + (", " + fields if fields else ""))
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def language_of(docs: DataFrame, model: Model):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE_BYTES, id_and_text, slices, written
+from ._common import WHITE_BYTES, id_and_text, packed, slices, written
 
 _MASK = (1 << 63) - 1
 
@@ -181,13 +181,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines gone from its text; all columns and rows stay.
     Texts that lose nothing, null ones included, stay as they are."""
-    b = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"),
-                                              F.col("n_lines").alias("__n"), F.col("keep_bitmap").alias("__map"))
-    joined = docs.join(b, (F.col(id_col).cast("long") == F.col("__id"))
-                       & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__tkey")), "left")
     cut = F.udf(keep_lines, "string", useArrow=True)
-    return joined.withColumn(text_col, F.when(F.col("__map").isNull(), F.col(text_col)).otherwise(
-        cut(F.col(text_col), F.col("__map"), F.col("__n")))).select(*docs.columns)
+    rows = packed(docs).withColumn("doc_id", F.col(f"doc.`{id_col}`").cast("long")) \
+        .withColumn("tkey", F.xxhash64(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))))
+    joined = rows.join(bitmaps.where("n_dropped > 0"), ["doc_id", "tkey"], "left")
+    text = F.col(f"doc.`{text_col}`")
+    text = F.when(F.col("keep_bitmap").isNull(), text).otherwise(cut(text, F.col("keep_bitmap"), F.col("n_lines")))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
