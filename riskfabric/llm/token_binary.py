@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,10 @@ class Image:
 #: of ISO 8859-1 have one composed form and one lower case, so a core may be lower-cased first.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*]*)")
 
+#: The tokenizer's character for each byte: printable ones stand for themselves, the rest follow from 256 on.
+_SAME = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: b if b in _SAME else 256 + k - len([x for x in _SAME if x < b]) for k, b in enumerate(range(256))}
+
 
 class WordEncoder:
     """Encodes white-space-separated words, each once while it stays cached.
@@ -119,19 +124,25 @@ class WordEncoder:
     def learn(self, words: set[bytes]) -> None:
         self.words.begin()
         self.pieces.begin()
-        cut = {}
+        cut, other = {}, []
         for w in self.words.missing(words):
             text = w.decode()
             m = _PLAIN.fullmatch(text)
-            cut[w] = (m[1].lower(), m[2]) if m else (text, "")
-        new = self.pieces.missing({p for pair in cut.values() for p in pair if p})
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        pieces = self.pieces
+            if m:
+                cut[w] = (m[1].lower(), m[2])
+            else:
+                other.append((w, text))
+        pieces, model = self.pieces, self.tokenizer.model
+        for p in pieces.missing({p for pair in cut.values() for p in pair if p}):
+            # nothing is left to normalise or to cut in such a piece: it goes to the tokenizer's model
+            found = model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))
+            pieces[p] = array("I", [t.id for t in found]).tobytes()
         for w, (core, marks) in cut.items():
             self.words[w] = pieces[core] + pieces[marks] if marks else pieces[core]
+        for i in range(0, len(other), 4096):
+            coded = self.tokenizer.encode_batch_fast([t for _, t in other[i:i + 4096]], add_special_tokens=False)
+            for (w, _), e in zip(other[i:i + 4096], coded):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
