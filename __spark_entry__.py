@@ -74,7 +74,7 @@ _EXTRACT_NAMES = {ours: extract for extract, ours in fixed.SURVEY_COLUMNS.items(
     f"CAST({c} AS INTEGER) AS {c}" for c in [
         "state_fips", "diabetes_raw", "stroke_raw", "asthma_raw", "copd_raw", "cancer_raw", "michd_raw",
         "age_raw", "sex_raw", "income_raw", "race_raw", "educa_raw", "bmi_x100", "smoker_raw",
-        "activity_raw", "drinking_raw"]) + " FROM respondents")
+        "activity_raw", "drinking_raw", "metro_raw", "genhlth_raw"]) + " FROM respondents")
 def s1_survey_scan(spark, sf_dir):
     # the extract carries its own column names; the scan maps them to ours
     raw = standins.respondents(spark, sf_dir)
@@ -89,17 +89,6 @@ def s2_places_scan(spark, sf_dir):
     return survey.scan_places(upper, ["locationid", "stateabbr", "measureid", "data_value", "seq"])
 
 
-@register("t2_capped_places_scan", f"""
-SELECT locationid, stateabbr, measureid, data_value, seq FROM places_county
-ORDER BY seq, locationid, measureid, data_value LIMIT {survey.PULL_ROW_CAP}""")
-def t2_capped_places_scan(spark, sf_dir):
-    # the pull's row cap, made stable by a total order
-    raw = standins.places_county(spark, sf_dir)
-    return survey.scan_places(raw, ["locationid", "stateabbr", "measureid", "data_value", "seq"],
-                              limit=survey.PULL_ROW_CAP,
-                              order_key=["seq", "locationid", "measureid", "data_value"])
-
-
 # ---------------------------------------------------------------------------
 # 2.2 projections, recodes, filters
 # ---------------------------------------------------------------------------
@@ -155,6 +144,7 @@ SELECT CAST(count_if(sex_raw IS NULL OR sex_raw NOT IN (1, 2)) AS BIGINT) AS bad
        CAST(count_if(CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE < 12 OR CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE > 100) AS BIGINT) AS bad_bmi,
        CAST(count_if(({OQ.STATE_ABBR}) IS NULL) AS BIGINT) AS unmapped_state,
        CAST(count_if(income_raw NOT IN (77, 99) AND income_raw > {fixed.INCOME_MAX}) AS BIGINT) AS income_above_scale,
+       CAST(count_if(metro_raw NOT BETWEEN 1 AND 5) AS BIGINT) AS bad_metro,
        count(*) AS n_rows
 FROM respondents""")
 def p7_rule_violations(spark, sf_dir):
@@ -169,11 +159,11 @@ def p8_bmi_range(spark, sf_dir):
 
 @register("p9_covariate_codes", """
 SELECT resp_id, income_code, age_code, race_code, educa_code, sex_code, smoker_code,
-       physical_activity_code, heavy_drinking_code, bmi FROM clean_all""")
+       physical_activity_code, heavy_drinking_code, general_health_code, metro_code, bmi FROM clean_all""")
 def p9_covariate_codes(spark, sf_dir):
     return _clean_all(spark, sf_dir).select(
         "resp_id", "income_code", "age_code", "race_code", "educa_code", "sex_code",
-        "smoker_code", "physical_activity_code", "heavy_drinking_code", "bmi")
+        "smoker_code", "physical_activity_code", "heavy_drinking_code", "general_health_code", "metro_code", "bmi")
 
 
 @register("p10_drop_raw_columns", "SELECT * FROM clean_all")
@@ -183,10 +173,29 @@ def p10_drop_raw_columns(spark, sf_dir):
 
 @register("p11_feature_names", "SELECT * FROM clean")
 def p11_feature_names(spark, sf_dir):
-    # extract-named survey -> scan -> recodes; outputs carry feature names
-    raw = standins.respondents(spark, sf_dir)
-    extract = raw.withColumnsRenamed({c: _EXTRACT_NAMES[c] for c in raw.columns if c in _EXTRACT_NAMES})
-    return recode.rename_to_features(recode.clean_survey(survey.scan_survey(extract)))
+    # a cleaned table under the extract's names -> the model's names
+    back = {ours: extract for extract, ours in fixed.FEATURE_RENAME.items()}
+    cleaned = recode.clean_survey(standins.respondents(spark, sf_dir)).withColumnsRenamed(back)
+    return recode.rename_to_features(cleaned)
+
+
+_ASKED = fixed.FEATURE_COLUMNS + fixed.TARGET_COLUMNS
+
+
+@register("p14_required_columns", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, FALSE AS present, CAST(NULL AS BIGINT) AS n_filled" if c.startswith("spatial")
+    else f"SELECT '{c}', TRUE, count({c}) FROM clean_all"
+    for c in sorted(_ASKED, key=lambda c: not c.startswith("spatial"))))
+def p14_required_columns(spark, sf_dir):
+    # what the modelling frame needs, before the place join: which columns the cleaned survey lacks
+    df = _clean_all(spark, sf_dir)
+    missing = recode.missing_columns(df, _ASKED)
+    there = [c for c in _ASKED if c not in missing]
+    found = df.agg(*[F.count(c).alias(c) for c in there]).withColumn("_k", F.lit(True)) \
+        .unpivot("_k", there, "column_name", "n_filled")
+    absent = spark.createDataFrame([(c,) for c in missing], "column_name string") \
+        .select("column_name", F.lit(False).alias("present"), F.lit(None).cast("long").alias("n_filled"))
+    return found.select("column_name", F.col("_k").alias("present"), "n_filled").unionByName(absent)
 
 
 @register("p12_listwise_targets", "SELECT * FROM clean")
@@ -201,7 +210,7 @@ def p13_modelling_frame(spark, sf_dir):
 
 @register("p15_drop_rollup", "SELECT * FROM pc_wide WHERE stateabbr IS NOT NULL AND stateabbr <> 'US'")
 def p15_drop_rollup(spark, sf_dir):
-    return places.drop_rollup(places.pivot_places(standins.places_county(spark, sf_dir)))
+    return places.drop_rollup(places.pivot_places(standins.places_county(spark, sf_dir), standins.MEASURES))
 
 
 @register("p16_lowercase_names", "SELECT locationid, stateabbr, measureid, data_value, seq FROM places_county")
@@ -212,7 +221,7 @@ def p16_lowercase_names(spark, sf_dir):
 
 @register("p17_first_state", "SELECT ZCTA, stateabbr FROM pc_state")
 def p17_first_state(spark, sf_dir):
-    wide = places.pivot_places(standins.places_county(spark, sf_dir)).select("ZCTA", "stateabbr")
+    wide = places.pivot_places(standins.places_county(spark, sf_dir), standins.MEASURES).select("ZCTA", "stateabbr")
     return wide.unionByName(_states_of_all_null(spark, sf_dir))
 
 
@@ -237,7 +246,7 @@ def p18_numeric_coercion(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("a2_pivot_places", "SELECT * FROM pc_wide")
 def a2_pivot_places(spark, sf_dir):
-    return places.pivot_places(standins.places_county(spark, sf_dir))
+    return places.pivot_places(standins.places_county(spark, sf_dir), standins.MEASURES)
 
 
 @register("a1_state_means", "SELECT * FROM state_avg")
@@ -252,7 +261,7 @@ def j1_join_states(spark, sf_dir):
 
 @register("j2_pivot_with_state", "SELECT ZCTA, stateabbr, spatial_lack_insurance, spatial_poor_mental_health FROM pc_wide")
 def j2_pivot_with_state(spark, sf_dir):
-    return places.pivot_places(standins.places_county(spark, sf_dir)).select(
+    return places.pivot_places(standins.places_county(spark, sf_dir), standins.MEASURES).select(
         "ZCTA", "stateabbr", places.INSURANCE, places.MENTAL)
 
 
@@ -383,13 +392,13 @@ def a5_missingness(spark, sf_dir):
 @register("a6_target_missingness_check", OQ.worst_check("clean_all", fixed.TARGET_COLUMNS))
 def a6_target_missingness_check(spark, sf_dir):
     rep = quality.missingness(_clean_all(spark, sf_dir), fixed.TARGET_COLUMNS)
-    return quality.worst_column_checks(rep).select("worst_column", "worst_pct", "next_pct")
+    return quality.worst_column_checks(rep)
 
 
 @register("a6_feature_missingness_check", OQ.worst_check("imputed", _REQUIRED))
 def a6_feature_missingness_check(spark, sf_dir):
     rep = quality.missingness(modelling.imputed_frame(spark, sf_dir), _REQUIRED)
-    return quality.worst_column_checks(rep).select("worst_column", "worst_pct", "next_pct")
+    return quality.worst_column_checks(rep)
 
 
 @register("a7_attrition_ledger", """
@@ -409,21 +418,24 @@ def a7_attrition_ledger(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("j4_zip_prefix_state", "SELECT * FROM zcta_prefix")
 def j4_zip_prefix_state(spark, sf_dir):
-    return places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir)))
+    return places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir), standins.MEASURES))
 
 
 @register("j3_crosswalk_state", f"""
 SELECT w.*, x.stateabbr, CASE WHEN x.stateabbr IS NOT NULL THEN 'crosswalk' END AS state_source
-FROM pz_wide w LEFT JOIN (SELECT {OQ._zfill5('zcta')} AS ZCTA, stateabbr FROM crosswalk) x USING (ZCTA)""")
+FROM pz_wide w LEFT JOIN crosswalk_one x USING (ZCTA)""")
 def j3_crosswalk_state(spark, sf_dir):
-    return places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir)),
+    return places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir), standins.MEASURES),
                                 standins.crosswalk(spark, sf_dir))
 
 
-@register("a8_zip_key_shape", """
-SELECT count(*) AS n_rows, CAST(count_if(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false)) AS BIGINT) AS n_zip_like,
-  avg(CAST(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false) AS DOUBLE)) AS zip_like_share,
-  avg(CAST(coalesce(regexp_matches(trim(locationid), '^[0-9]{5}$'), false) AS DOUBLE)) < 0.9 AS warn_low_share
+_ZIP_LIKE = f"coalesce(regexp_matches({OQ._strip('locationid')}, '^[0-9]{{5}}$'), false)"
+
+
+@register("a8_zip_key_shape", f"""
+SELECT count(*) AS n_rows, CAST(count_if({_ZIP_LIKE}) AS BIGINT) AS n_zip_like,
+  avg(CAST({_ZIP_LIKE} AS DOUBLE)) AS zip_like_share,
+  avg(CAST({_ZIP_LIKE} AS DOUBLE)) < 0.9 AS warn_low_share
 FROM places_zcta""")
 def a8_zip_key_shape(spark, sf_dir):
     return places.zip_shape_report(standins.places_zcta(spark, sf_dir))
@@ -432,16 +444,16 @@ def a8_zip_key_shape(spark, sf_dir):
 @register("a8_unresolved_states", """
 SELECT count(*) AS n_zcta, CAST(count_if(stateabbr IS NULL) AS BIGINT) AS n_unresolved FROM zcta_prefix""")
 def a8_unresolved_states(spark, sf_dir):
-    t = places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir)))
+    t = places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir), standins.MEASURES))
     return t.agg(F.count(F.lit(1)).alias("n_zcta"),
                  F.count_if(F.col("stateabbr").isNull()).alias("n_unresolved"))
 
 
 @register("a8_crosswalk_unmatched", f"""
 SELECT count(*) AS n_zcta, CAST(count_if(x.stateabbr IS NULL) AS BIGINT) AS n_unmatched
-FROM pz_wide w LEFT JOIN (SELECT {OQ._zfill5('zcta')} AS ZCTA, stateabbr FROM crosswalk) x USING (ZCTA)""")
+FROM pz_wide w LEFT JOIN crosswalk_one x USING (ZCTA)""")
 def a8_crosswalk_unmatched(spark, sf_dir):
-    t = places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir)),
+    t = places.resolve_state(places.pivot_places(standins.places_zcta(spark, sf_dir), standins.MEASURES),
                              standins.crosswalk(spark, sf_dir))
     return t.agg(F.count(F.lit(1)).alias("n_zcta"),
                  F.count_if(F.col("stateabbr").isNull()).alias("n_unmatched"))
@@ -450,17 +462,19 @@ def a8_crosswalk_unmatched(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # 2.1 scans and sinks through the shared folder
 # ---------------------------------------------------------------------------
-@register("s3_crosswalk_scan", f"SELECT {OQ._zfill5('zcta')} AS ZCTA, stateabbr FROM crosswalk")
+@register("s3_crosswalk_scan", f"SELECT {OQ._zfill5(OQ._strip('zcta'))} AS ZCTA, stateabbr FROM crosswalk")
 def s3_crosswalk_scan(spark, sf_dir):
     path = shared_path(spark, "crosswalk_csv")
-    standins.crosswalk(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(path)
+    # columns in another order than the schema's: the header decides
+    standins.crosswalk(spark, sf_dir).select("stateabbr", "zcta").write.mode("overwrite").option("header", "true").csv(path)
     return survey.read_crosswalk(spark, path)
 
 
 @register("s4_state_aggregate_scan", "SELECT * FROM state_avg")
 def s4_state_aggregate_scan(spark, sf_dir):
     path = shared_path(spark, "state_aggregate_csv")
-    modelling.state_table(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(path)
+    modelling.state_table(spark, sf_dir).select(places.MENTAL, "stateabbr", places.INSURANCE) \
+        .write.mode("overwrite").option("header", "true").csv(path)
     return survey.read_state_aggregate(spark, path, fmt="csv")
 
 

@@ -1,7 +1,8 @@
 """DuckDB twins of the registered queries.
 
-Written independently of the Spark code as plain SQL over the driver's
-views.  Shared building blocks are CTEs; each query is ``WITH <all CTEs>
+Plain SQL over the driver's views; code books, labels and the stand-in inputs
+are the same fixed values as on the Spark side (tests compare these with
+literal entries).  Shared building blocks are CTEs; each query is ``WITH <all CTEs>
 SELECT ...``.  Doubles are produced by the same single IEEE operations as on
 the Spark side, so values agree exactly.
 """
@@ -25,6 +26,15 @@ def _zfill5(x: str) -> str:
     return f"(CASE WHEN length({x}) < 5 THEN lpad({x}, 5, '0') ELSE {x} END)"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\x09-\\x0D\\x20]+|[\\x09-\\x0D\\x20]+$', '', 'g')"
+
+
+def _number(x: str) -> str:
+    return (f"CASE WHEN regexp_matches({_strip(x)}, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') "
+            f"THEN CAST({_strip(x)} AS DOUBLE) END")
+
+
 def _not_null(cols) -> str:
     return " AND ".join(f"{c} IS NOT NULL" for c in cols)
 
@@ -50,6 +60,8 @@ SELECT resp_id, {STATE_ABBR} AS stateabbr,
   CAST(CASE WHEN smoker_raw <> 9 THEN smoker_raw END AS INTEGER) AS smoker_code,
   CAST(CASE WHEN activity_raw <> 9 THEN activity_raw END AS INTEGER) AS physical_activity_code,
   CAST(CASE WHEN drinking_raw <> 9 THEN drinking_raw END AS INTEGER) AS heavy_drinking_code,
+  CAST(CASE WHEN metro_raw BETWEEN 1 AND 5 THEN metro_raw END AS INTEGER) AS metro_code,
+  CAST(CASE WHEN genhlth_raw NOT IN (7, 9) THEN genhlth_raw END AS INTEGER) AS general_health_code,
   CASE WHEN CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE BETWEEN 12 AND 100
        THEN CAST(bmi_x100 AS DOUBLE) / 100.0::DOUBLE END AS bmi
 FROM respondents""",
@@ -57,9 +69,9 @@ FROM respondents""",
     "places_county": standins.places_county_sql("lineitem"),
     "places_zcta": standins.places_zcta_sql("lineitem"),
     "pc_values": f"""
-SELECT {_zfill5('trim(CAST(locationid AS VARCHAR))')} AS ZCTA, measureid,
-       TRY_CAST(data_value AS DOUBLE) AS value, data_value, stateabbr, seq
-FROM places_county""",
+SELECT {_zfill5(_strip('locationid'))} AS ZCTA, measureid,
+       {_number('data_value')} AS value, data_value, stateabbr, seq
+FROM places_county WHERE locationid IS NOT NULL""",
     "pc_first": """
 SELECT ZCTA, measureid, value FROM (
   SELECT ZCTA, measureid, value,
@@ -163,8 +175,8 @@ ZIP2_STATE = _case_map("substr(" + _zfill5("ZCTA") + ", 1, 2)", fixed.ZIP2_TO_ST
 
 def _values_cte(src: str, with_state: bool) -> str:
     st = ", stateabbr" if with_state else ""
-    return (f"SELECT {_zfill5('trim(CAST(locationid AS VARCHAR))')} AS ZCTA, measureid, "
-            f"TRY_CAST(data_value AS DOUBLE) AS value, data_value{st}, seq FROM {src}")
+    return (f"SELECT {_zfill5(_strip('locationid'))} AS ZCTA, measureid, "
+            f"{_number('data_value')} AS value, data_value{st}, seq FROM {src} WHERE locationid IS NOT NULL")
 
 
 def _first_cte(values: str) -> str:
@@ -188,8 +200,6 @@ SELECT ZCTA,
 FROM {first} GROUP BY ZCTA"""
 
 
-MISSING_FEATURES_EXCEPT_INCOME = [f for f in FEATURES if f != "income_code"]
-
 CTES.update({
     "pz_values": _values_cte("places_zcta", False),
     "pz_first": _first_cte("pz_values"),
@@ -199,6 +209,7 @@ SELECT *, {ZIP2_STATE} AS stateabbr,
   CASE WHEN ({ZIP2_STATE}) IS NOT NULL THEN 'zip_prefix' END AS state_source FROM pz_wide""",
     "zcta_tbl": "SELECT ZCTA, stateabbr, spatial_lack_insurance, spatial_poor_mental_health FROM zcta_prefix",
     "crosswalk": standins.crosswalk_sql("part"),
+    "crosswalk_one": f"SELECT {_zfill5(_strip('zcta'))} AS ZCTA, min(stateabbr) AS stateabbr FROM crosswalk GROUP BY 1",
     "req": standins.REQUESTS_SQL.replace("{orders}", "orders"),
     "res": f"""
 SELECT r.* EXCLUDE (v, req_state), r.v AS zip_valid,
@@ -206,14 +217,14 @@ SELECT r.* EXCLUDE (v, req_state), r.v AS zip_valid,
        WHEN r.lookup_mode = 'zip' AND z.ZCTA IS NULL THEN 'not_found'
        WHEN r.lookup_mode <> 'zip' AND s.stateabbr IS NULL THEN 'not_found' ELSE 'ok' END AS status,
   CASE WHEN r.lookup_mode = 'zip' AND z.ZCTA IS NOT NULL
-         THEN 'ZIP ' || trim(r.zip_text) || CASE WHEN z.stateabbr IS NOT NULL THEN ' (' || z.stateabbr || ')' ELSE '' END
+         THEN 'ZIP ' || {_strip('r.zip_text')} || CASE WHEN z.stateabbr IS NOT NULL THEN ' (' || z.stateabbr || ')' ELSE '' END
        WHEN r.lookup_mode <> 'zip' AND s.stateabbr IS NOT NULL THEN s.stateabbr ELSE 'N/A' END AS region_label,
   CASE WHEN r.lookup_mode = 'zip' THEN z.spatial_lack_insurance ELSE s.spatial_lack_insurance END AS spatial_lack_insurance,
   CASE WHEN r.lookup_mode = 'zip' THEN z.spatial_poor_mental_health ELSE s.spatial_poor_mental_health END AS spatial_poor_mental_health
-FROM (SELECT *, coalesce(regexp_matches(trim(zip_text), '^[0-9]{{5}}$'), false) AS v,
+FROM (SELECT *, coalesce(regexp_matches({_strip('zip_text')}, '^[0-9]{{5}}$'), false) AS v,
              {STATE_ABBR} AS req_state FROM req) r
 LEFT JOIN (SELECT * FROM zcta_tbl WHERE regexp_matches(ZCTA, '^[0-9]{{5}}$')) z
-  ON r.lookup_mode = 'zip' AND r.v AND trim(r.zip_text) = z.ZCTA
+  ON r.lookup_mode = 'zip' AND r.v AND {_strip('r.zip_text')} = z.ZCTA
 LEFT JOIN (SELECT * FROM state_avg WHERE stateabbr IN ({KNOWN_STATES})) s
   ON r.lookup_mode = 'state' AND r.req_state = s.stateabbr""",
     "fallback": "\nUNION ALL\n".join(
@@ -232,9 +243,6 @@ LEFT JOIN (SELECT * FROM state_avg WHERE stateabbr IN ({KNOWN_STATES})) s
         + ") t(condition, national_prevalence)",
     "preds": "SELECT resp_id, stateabbr, age_code, income_code, educa_code, race_code, " + ", ".join(
         f"{_ref_score(i)} AS pred_{t}" for i, t in enumerate(TARGETS)) + " FROM model_frame",
-    "ledger_flags": f"""
-SELECT c.*, s.stateabbr IS NOT NULL AS matched, s.spatial_lack_insurance, s.spatial_poor_mental_health
-FROM clean_all c LEFT JOIN (SELECT * FROM state_avg WHERE stateabbr IN ({KNOWN_STATES})) s USING (stateabbr)""",
 })
 
 
@@ -246,11 +254,12 @@ def missing_rows(table: str, cols) -> str:
 
 
 def worst_check(table: str, cols) -> str:
-    m = missing_rows(table, cols)
+    m = f"SELECT column_name, round_even(pct_missing, 1) AS pct FROM ({missing_rows(table, cols)}) r"
     return f"""
-SELECT (SELECT column_name FROM ({m}) a ORDER BY pct_missing DESC, column_name DESC LIMIT 1) AS worst_column,
-  (SELECT max(pct_missing) FROM ({m}) b) AS worst_pct,
-  COALESCE((SELECT pct_missing FROM ({m}) c ORDER BY pct_missing DESC LIMIT 1 OFFSET 1), 0.0) AS next_pct"""
+SELECT *, worst_pct > 25 AND worst_pct > next_pct * 2 AS outcome_coding_warning, worst_pct > 30 AS dominant_column_warning FROM (
+SELECT (SELECT column_name FROM ({m}) a ORDER BY pct DESC, column_name DESC LIMIT 1) AS worst_column,
+  (SELECT max(pct) FROM ({m}) b) AS worst_pct,
+  COALESCE((SELECT pct FROM ({m}) c ORDER BY pct DESC LIMIT 1 OFFSET 1), 0.0) AS next_pct) w"""
 
 
 FEATURE_DISPLAY = _case_map("feature", fixed.FEATURE_DISPLAY_NAMES, quote_keys=True)
@@ -309,10 +318,6 @@ def with_ctes(select: str) -> str:
     return f"WITH {body}\n{select}"
 
 
-def add_cte(name: str, sql: str) -> None:
-    CTES[name] = sql
-
-
 SELECTS: dict[str, str] = {}
 
 

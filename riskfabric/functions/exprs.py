@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+WHITE_ENDS = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -78,9 +82,21 @@ def zfill5(c: str | Column) -> Column:
     return F.when(F.length(c) < 5, F.lpad(c, 5, "0")).otherwise(c)
 
 
+def strip(c: str | Column) -> Column:
+    """Text without white space (blank, tab, line ends) at both ends."""
+    return F.regexp_replace(col(c), WHITE_ENDS, "")
+
+
+def numeric_text(c: str | Column) -> Column:
+    """Text that is a plain decimal number, white space at its ends allowed, as
+    a double; anything else, ``NaN`` and suffixed numbers included, is null."""
+    text = strip(col(c).cast("string"))
+    return F.when(text.rlike(NUMBER), text.cast("double"))
+
+
 def is_zip5(c: str | Column) -> Column:
     """Trimmed text is exactly five digits; null is not a ZIP (P20)."""
-    return F.coalesce(F.trim(col(c)).rlike("^[0-9]{5}$"), F.lit(False))
+    return F.coalesce(strip(c).rlike("^[0-9]{5}$"), F.lit(False))
 
 
 def bmi_from_height_weight(height_in: str | Column, weight_lb: str | Column) -> Column:

@@ -2,20 +2,18 @@
 
 One grouping-sets aggregation computes the exact medians and counts for
 (age, education), (education) and the whole table in a single pass; null
-keys are excluded per set through ``grouping_id``.  The two small lookup
-tables are joined back (broadcast after a size check) and the overall
-median enters as a scalar subquery.
+keys are excluded per set through ``grouping_id``.  The medians are written
+and joined back; the overall one enters as a literal.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
-from ..plans.joins import broadcast_if_small
+from ..sources.sinks import materialised
 
 AGE, EDUCA, INCOME = "age_code", "educa_code", "income_code"
 
@@ -46,16 +44,13 @@ def impute_income(df: DataFrame, min_n: int = fixed.MIN_GROUP_N_FOR_MEDIAN,
     the same rule, else the overall median; round half to even, clip to
     1..8.  Adds ``income_code_imputed`` (always) and ``imputation_tier``.
     ``fit_on`` computes the medians on another frame (e.g. training rows)."""
-    # the frame is read twice (medians, then the fill): keep it, spilling to
-    # disk when it does not fit in memory
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    medians = income_medians(fit_on if fit_on is not None else df, min_n)
-    usable = broadcast_if_small(medians.filter("usable"))
+    # a row per code pair; its written size lets Spark choose the join
+    usable = materialised(income_medians(fit_on if fit_on is not None else df, min_n).filter("usable"), "medians")
     cell = usable.filter(F.col("tier") == fixed.TIER_CELL).select(
         AGE, EDUCA, F.col("median").alias("_cell_median"))
     edu = usable.filter(F.col("tier") == fixed.TIER_EDUCATION).select(
         EDUCA, F.col("median").alias("_edu_median"))
-    # one value from the materialised, size-checked table
+    # one value
     overall_row = usable.filter(F.col("tier") == fixed.TIER_OVERALL).select("median").first()
     overall = F.lit(overall_row[0] if overall_row else None).cast("double")
     missing = F.col(INCOME).isNull()

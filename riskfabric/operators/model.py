@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -33,18 +33,12 @@ def assembler(features: list[str] = FEATURES) -> VectorAssembler:
 
 def train_models(train: DataFrame, rounds: int = fixed.GBT_ROUNDS, depth: int = fixed.GBT_DEPTH,
                  seed: int = fixed.SEED, targets: list[str] = TARGETS,
-                 features: list[str] = FEATURES, parallel: bool = True,
-                 rows_per_partition: int = 250_000) -> dict[str, PipelineModel]:
-    """Fit one GBT per outcome (M2).  Returns {target: PipelineModel}."""
+                 features: list[str] = FEATURES, parallel: bool = True) -> dict[str, PipelineModel]:
+    """Fit one GBT per outcome (M2), on the partitions that the training table
+    has.  Returns {target: PipelineModel}."""
     asm = assembler(features)
-    n_rows = train.count()
-    # partitions sized by rows, so small inputs are not split into many
-    # tiny tasks (each boosting round is several jobs) and large inputs
-    # spread over the cluster
-    parts = max(1, -(-n_rows // rows_per_partition))
     data = (asm.transform(train).select("features", *[F.col(t).cast("double").alias(t) for t in targets])
-            .repartition(parts).persist(StorageLevel.MEMORY_AND_DISK))
-    data.count()
+            .persist(StorageLevel.MEMORY_AND_DISK))
 
     def fit(target: str) -> tuple[str, PipelineModel]:
         gbt = GBTClassifier(labelCol=target, featuresCol="features", maxDepth=depth, maxIter=rounds,
@@ -106,11 +100,16 @@ def model_summary(spark, models: dict[str, PipelineModel], n_train: int) -> Data
         rows, "target string, n_train long, num_trees int, max_depth int, total_nodes int, step_size double")
 
 
-def fit_place_imputer(train: DataFrame) -> ImputerModel:
-    """Training means of the two place measures, for requests whose place
-    lookup failed (M7)."""
-    cols = ["spatial_lack_insurance", "spatial_poor_mental_health"]
-    return Imputer(inputCols=cols, outputCols=cols, strategy="mean").fit(train.select(cols))
+MEASURED = ["bmi", "spatial_lack_insurance", "spatial_poor_mental_health"]
+
+
+def fit_imputers(train: DataFrame) -> list[ImputerModel]:
+    """Training means of the measured inputs and medians of the coded ones, for
+    requests that lack some (M7)."""
+    coded = [c for c in FEATURES if c not in MEASURED]
+    data = train.select(*[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return [Imputer(inputCols=cols, outputCols=cols, strategy=how).fit(data.select(*cols))
+            for cols, how in ((MEASURED, "mean"), (coded, "median"))]
 
 
 # ---------------------------------------------------------------------------
@@ -213,8 +212,7 @@ def sampled_shapley(heldout: DataFrame, scorer: Scorer, orderings: int = 10,
     Kononenko): for ordering m, features are switched from a background
     row to the row's own values one at a time in a random order; each
     switch's change in score is that feature's contribution.  Every row x
-    ordering x (features + 1) coalition state is scored in one bulk job;
-    contributions come from a lag over the states of one (row, ordering).
+    ordering x (features + 1) coalition state is scored in one bulk job.
     Returns (resp_id, feature, target, phi, n_orderings); for every row the
     phis sum to its score minus the mean background score."""
     nf = len(features)
@@ -231,24 +229,25 @@ def sampled_shapley(heldout: DataFrame, scorer: Scorer, orderings: int = 10,
     built = states.select(id_col, "_m", "_t", "_order", *[
         F.when(pos[f] < F.col("_t"), F.col(f)).otherwise(F.col(f"_z_{f}")).alias(f) for f in features])
     scored = scorer(built, [id_col, "_m", "_t", "_order"])
-    w = Window.partitionBy(id_col, "_m").orderBy("_t")
-    steps = scored.select(
-        id_col, "_m", "_t",
-        # feature switched on at step t (t = 0 is the all-background state)
-        F.when(F.col("_t") > 0, F.element_at(F.col("_order"), F.greatest(F.col("_t"), F.lit(1)))).alias("_j"),
-        *[(F.col(f"pred_{t}") - F.lag(f"pred_{t}").over(w)).alias(f"_d_{t}") for t in targets],
-    ).filter(F.col("_t") > 0)
+    # a state's score counts for the feature that it switched on and against the one switched on
+    # next; the sums of both per row combine before the shuffle, and no window over states is needed
     names = F.array(*[F.lit(f) for f in features])
-    items = [F.struct(F.lit(t).alias("target"), F.col(f"_d_{t}").alias("_d")) for t in targets]
-    long = steps.select(id_col, F.element_at(names, F.col("_j") + 1).alias("feature"),
-                        F.explode(F.array(*items)).alias("_s"))
-    return (long.groupBy(id_col, "feature", "_s.target")
-            .agg(F.avg("_s._d").alias("phi"), F.count(F.lit(1)).alias("n_orderings"))
-            .withColumnRenamed("_s.target", "target"))
+
+    def switched(t):
+        return F.try_element_at(names, F.try_element_at(F.col("_order"), t) + 1)
+    here, after = switched(F.greatest(F.col("_t"), F.lit(1))), switched(F.col("_t") + 1)
+    signed = F.array(F.struct(F.when(F.col("_t") > 0, here).alias("feature"), F.lit(1.0).alias("sign")),
+                     F.struct(after.alias("feature"), F.lit(-1.0).alias("sign")))
+    parts = scored.select(id_col, *[f"pred_{t}" for t in targets], F.explode(signed).alias("_s")).where("_s.feature is not null")
+    sums = parts.groupBy(id_col, "_s.feature").agg(
+        *[F.sum(F.col("_s.sign") * F.col(f"pred_{t}")).alias(f"_d_{t}") for t in targets])
+    items = [F.struct(F.lit(t).alias("target"), (F.col(f"_d_{t}") / orderings).alias("phi")) for t in targets]
+    return sums.select(id_col, "feature", F.explode(F.array(*items)).alias("_s")).select(
+        id_col, "feature", "_s.*", F.lit(orderings).cast("long").alias("n_orderings"))
 
 
 def shapley_importance(phi: DataFrame) -> DataFrame:
     """Mean absolute contribution per (feature, target) (M6).
-    Columns: feature, target, importance, method."""
-    return phi.groupBy("feature", "target").agg(F.avg(F.abs("phi")).alias("importance")).withColumn(
-        "method", F.lit("shapley_sampling"))
+    Columns: feature, target, importance, method, n_orderings."""
+    return phi.groupBy("feature", "target").agg(F.avg(F.abs("phi")).alias("importance"), F.min("n_orderings").alias("n_orderings")) \
+        .withColumn("method", F.lit("shapley_sampling"))

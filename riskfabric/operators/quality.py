@@ -26,14 +26,15 @@ def missingness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def worst_column_checks(report: DataFrame) -> DataFrame:
-    """The three warning rules over a missingness report (A6): one column
-    over 25% and more than twice the next one (outcome coding bug), one
-    column over 30% alone (dominant driver of attrition).  The report has
-    one row per column, so this runs on a handful of rows."""
-    ranked = report.agg(
-        F.max_by("column_name", F.struct("pct_missing", F.col("column_name"))).alias("worst_column"),
-        F.max("pct_missing").alias("worst_pct"),
-        F.collect_list("pct_missing").alias("_all"),
+    """The warning rules over a missingness report (A6), on percentages of one
+    decimal: one column over 25 % and more than twice the next one (an outcome
+    coding bug), one column over 30 % (it drives the attrition alone).  The
+    report has one row per column, so this runs on a handful of rows."""
+    pct = F.bround("pct_missing", 1)
+    ranked = report.select("column_name", pct.alias("pct")).agg(
+        F.max_by("column_name", F.struct("pct", F.col("column_name"))).alias("worst_column"),
+        F.max("pct").alias("worst_pct"),
+        F.collect_list("pct").alias("_all"),
     )
     second = F.coalesce(F.try_element_at(F.sort_array("_all", asc=False), F.lit(2)), F.lit(0.0))
     return ranked.select(
@@ -43,16 +44,6 @@ def worst_column_checks(report: DataFrame) -> DataFrame:
     )
 
 
-def attrition_ledger(steps: list[tuple[str, str]], flagged: DataFrame) -> DataFrame:
-    """Rows kept after each step, from boolean flag columns computed on one
-    frame, in one aggregation (A7).  ``steps`` is [(step_name, flag_col)];
-    each flag says the row survives that step (flags are cumulative).
-    Columns: step_no, step, rows_before, rows_after, pct_lost, warn."""
-    aggs = [F.count(F.lit(1)).alias("_start")]
-    aggs += [F.count_if(F.col(flag)).alias(f"_s{i}") for i, (_, flag) in enumerate(steps)]
-    return ledger_from_counts(flagged.agg(*aggs), [s for s, _ in steps])
-
-
 def ledger_from_counts(one: DataFrame, steps: list[str]) -> DataFrame:
     """A one-row table of counts (_start, _s0, _s1, ...) -> ledger rows."""
     names = ["_start"] + [f"_s{i}" for i in range(len(steps))]

@@ -69,13 +69,15 @@ def rank_first(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
             .drop("_pid", "_pos", "_off"))
 
 
+def _bucket_sql(rank: str, n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 1 ELSE CAST(greatest(1, (4 * ({rank} - 1) + {n} - 2) div ({n} - 1)) AS INT) END"
+
+
 def quartile_bucket(rank: str = "rank", n: str = "n_total") -> Column:
     """qcut of ranks 1..n into 4 equal-frequency bins, in closed integer
     form: ceil(4 (r - 1) / (n - 1)) with bin 1 at the bottom; n = 1 gives
     bin 1.  ``ntile(4)`` is a different rule."""
-    return F.expr(
-        f"CASE WHEN {n} <= 1 THEN 1 "
-        f"ELSE CAST(greatest(1, (4 * ({rank} - 1) + {n} - 2) div ({n} - 1)) AS INT) END")
+    return F.expr(_bucket_sql(rank, n))
 
 
 def quartile_label(bucket: str | Column = "quartile") -> Column:
@@ -90,12 +92,30 @@ def disadvantage_quartile(df: DataFrame, value_col: str = "spatial_lack_insuranc
                           id_col: str = "resp_id") -> DataFrame:
     """Quartile of ``value_col`` over the whole frame, ranking ties by
     ``id_col`` (file order) as ``rank(method='first')`` does (W1).  Adds
-    ``quartile`` (1-4) and ``quartile_label``."""
-    ranked = rank_first(df, [value_col, id_col], "_rank", "_n")
-    q = quartile_bucket("_rank", "_n")
-    return (ranked.withColumn("quartile", q)
-            .withColumn("quartile_label", quartile_label("quartile"))
-            .drop("_rank", "_n"))
+    ``quartile`` (1-4) and ``quartile_label``.
+
+    The value is a state mean, so there are few distinct ones: rows are
+    counted per value, running totals over these counts place each value, and
+    only the values that a quartile's edge cuts (three at most) need a rank
+    of their rows, on (value, id).  ``df`` is read three times, so it should
+    be a written table."""
+    counts = df.groupBy(F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_totals(counts, [], "_v", ["_c"])
+    total = placed.agg(F.max("cum__c").alias("n")).first()["n"] or 0
+    n = F.lit(total).cast("long").alias("_n")
+    placed = placed.select("_v", (F.col("cum__c") - F.col("_c")).alias("_before"), F.col("cum__c").alias("_last"), n)
+    placed = placed.withColumn("_first_q", F.expr(_bucket_sql("_before + 1", "_n"))) \
+        .withColumn("_last_q", F.expr(_bucket_sql("_last", "_n")))
+    joined = df.join(placed, F.col(value_col) == F.col("_v"))
+    whole = joined.where("_first_q = _last_q").withColumn("quartile", F.col("_first_q"))
+    ranked = rank_first(joined.where("_first_q <> _last_q").select(F.col(id_col).alias("_id"), F.col("_v").alias("_rv"), "_before", "_n"),
+                        ["_rv", "_id"], "_rank", "_m")
+    start = ranked.groupBy("_rv").agg(F.min("_rank").alias("_start"))  # a row per cut value
+    ranked = ranked.join(start, "_rv").select(
+        "_id", F.expr(_bucket_sql("_before + _rank - _start + 1", "_n")).alias("quartile"))
+    cut = df.join(ranked, F.col(id_col) == F.col("_id")).select(*df.columns, "quartile")
+    return whole.select(*df.columns, "quartile").unionByName(cut) \
+        .withColumn("quartile_label", quartile_label("quartile"))
 
 
 def _local_cumsum(sum_cols: list[str], part_cols: list[str]):

@@ -60,32 +60,27 @@ def recode_columns(columns: Iterable[str]) -> list[Column]:
     if "state_fips" in cols:
         out.append(state_abbr("state_fips").alias("stateabbr"))
     else:
-        log.warning("state_fips not present; cannot attach stateabbr")
+        log.warning("no state_fips: rows get no stateabbr")
     for raw, name, rule, _ in _TARGET_RULES:
         if raw in cols:
             out.append(rule(F.col(raw)).cast("int").alias(name))
         else:
-            log.warning("%s not found; %s will not be created", raw, name)
+            log.warning("without %s there is no %s", raw, name)
     if "asthma_raw" in cols and "copd_raw" in cols:
         out.append(X.either_target("asthma_raw", "copd_raw").cast("int")
                    .alias("target_chronic_respiratory"))
     else:
-        log.warning("asthma_raw and/or copd_raw not found; "
-                    "target_chronic_respiratory will not be created")
+        log.warning("target_chronic_respiratory needs both asthma_raw and copd_raw")
     for raw, name, rule in _COVARIATE_RULES:
         if raw in cols:
             out.append(rule(F.col(raw)).cast("int").alias(name))
     if "bmi_x100" in cols:
         out.append(X.bmi_from_x100("bmi_x100").alias("bmi"))
     else:
-        log.warning("bmi_x100 not found; bmi will not be created")
+        log.warning("without bmi_x100 there is no bmi")
     return out
 
 
-def target_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("target_")]
-
-
 def outcomes_present(columns: Iterable[str]) -> Column | None:
     """Predicate on the raw codes that holds exactly when every outcome the
     recodes produce is non-null (P12).  Filtering on the raw codes keeps
@@ -115,16 +110,21 @@ def clean_survey(raw: DataFrame, drop_missing_targets: bool = True) -> DataFrame
 
 
 def rename_to_features(df: DataFrame) -> DataFrame:
-    """Cleaned survey names -> model feature names."""
-    present = {k: v for k, v in fixed.FEATURE_RENAME.items() if k in df.columns}
-    return df.withColumnsRenamed(present) if present else df
+    """Extract names of cleaned columns -> model feature names (P11); other
+    columns keep theirs."""
+    return df.withColumnsRenamed({k: v for k, v in fixed.FEATURE_RENAME.items() if k in df.columns})
+
+
+def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
+    """Required columns that the table lacks, in the order asked for."""
+    return [c for c in required if c not in df.columns]
 
 
 def require_columns(df: DataFrame, required: Iterable[str], what: str = "table") -> DataFrame:
     """Raise before any job runs when required columns are missing."""
-    missing = [c for c in required if c not in df.columns]
+    missing = missing_columns(df, required)
     if missing:
-        raise KeyError(f"{what} is missing expected columns: {missing}")
+        raise KeyError(f"{what} has no {', '.join(missing)}")
     return df
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import rank
+from ..sources.sinks import materialised
 
 
 def holdout_flag(resp_id: str = "resp_id", modulus: int = fixed.TEST_SHARE_MODULUS) -> Column:
@@ -23,7 +24,7 @@ def holdout_flag(resp_id: str = "resp_id", modulus: int = fixed.TEST_SHARE_MODUL
 
 def evaluation_frame(model_df: DataFrame) -> DataFrame:
     """Quartile cut before the split, as the modelled system does."""
-    return rank.disadvantage_quartile(model_df).withColumn("is_test", holdout_flag())
+    return rank.disadvantage_quartile(materialised(model_df, "modelling-frame")).withColumn("is_test", holdout_flag())
 
 
 def reference_score(target_index: int) -> Column:
@@ -45,8 +46,3 @@ def long_scores(frame: DataFrame, score_cols: dict[str, Column] | None = None,
                       score_cols[t].cast("double").alias("p"))
              for t in fixed.TARGET_COLUMNS]
     return frame.select(*keep, F.explode(F.array(*items)).alias("_s")).select(*keep, "_s.*")
-
-
-def heldout_reference_scores(model_df: DataFrame) -> DataFrame:
-    ev = evaluation_frame(model_df)
-    return long_scores(ev.filter(F.col("is_test")))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import impute, places, recode
 from ..sources import standins
-from .joins import broadcast_bounded
 
 
 def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +21,7 @@ def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_states(cleaned: DataFrame, state_avg: DataFrame) -> DataFrame:
     """Respondents x state means, inner (J1).  The state side is cut to the
     fixed state list, which bounds it at 54 rows, then broadcast."""
-    return cleaned.join(broadcast_bounded(places.known_states(state_avg)), "stateabbr", "inner")
+    return cleaned.join(F.broadcast(places.known_states(state_avg)), "stateabbr", "inner")
 
 
 def joined_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def attrition_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     clean_all = recode.clean_survey(standins.respondents(spark, sf_dir), drop_missing_targets=False)
     st = places.known_states(state_table(spark, sf_dir)).withColumn("_matched", F.lit(True))
-    base = clean_all.join(broadcast_bounded(st), "stateabbr", "left")
+    base = clean_all.join(F.broadcast(st), "stateabbr", "left")
     t_ok = F.lit(True)
     for t in fixed.TARGET_COLUMNS:
         t_ok = t_ok & F.col(t).isNotNull()

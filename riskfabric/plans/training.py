@@ -1,93 +1,59 @@
 """Training and scoring jobs (E1 from the split on, the respondent
 scoring script, and model-based request scoring).
 
-The evaluation frame is checkpointed once per session and input; the five
-models are fitted once per session and input and saved under the shared
-folder, so every query that needs them reuses one fit.
+Within one application the evaluation frame is written once, and the models
+of an input are fitted once, for the jobs that read them; another application
+always fits again.  Saving and loading models is explicit (S10).
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import lookup, model, rank
-from ..session import shared_base, shared_path
+from ..operators import lookup, model
+from ..session import shared_path
+from ..sources.sinks import materialised
 from . import evaluation, modelling
 from . import requests as requests_plan
 
-_FRAMES: dict = {}
-_MODELS: dict = {}
-
-
-def gbt_rounds() -> int:
-    return int(os.environ.get("RISKFABRIC_GBT_ROUNDS", fixed.GBT_ROUNDS))
-
-
-def eval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modelling frame + quartile + held-out flag, cut from its lineage
-    (checkpoint in the shared folder) because several jobs read it."""
-    key = (id(spark), sf_dir)
-    if key not in _FRAMES:
-        ev = evaluation.evaluation_frame(modelling.modelling_frame(spark, sf_dir))
-        _FRAMES[key] = rank.checkpointed(ev)
-    return _FRAMES[key]
-
+_MEMO: dict = {}
 
-def _model_dir(spark: SparkSession, sf_dir: str, rounds: int, depth: int) -> str:
-    """Where the models for this input and these settings live in the
-    shared folder: keyed by the input location, its files' sizes and
-    times, and the settings, so another process reuses a finished fit."""
-    from .. import __version__
 
-    parts = [__version__, os.path.abspath(sf_dir), str(rounds), str(depth), str(fixed.SEED)]
-    for t in ("orders", "lineitem"):
-        try:
-            st = os.stat(os.path.join(sf_dir, f"{t}.parquet"))
-            parts += [str(st.st_size), str(int(st.st_mtime))]
-        except OSError:
-            pass
-    key = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
-    return f"{shared_base(spark).rstrip('/')}/models/{key}"
+def _once(spark: SparkSession, key: tuple, make):
+    """What ``make`` gives, made once per application; an earlier application's results go."""
+    app = spark.sparkContext.applicationId
+    if _MEMO.get("app") != app:
+        _MEMO.clear()
+        _MEMO["app"] = app
+    if key not in _MEMO:
+        _MEMO[key] = make()
+    return _MEMO[key]
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def forget() -> None:
+    """Make everything anew from here on (cold measurements, changed inputs)."""
+    _MEMO.clear()
 
 
-def _fs_touch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+def eval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modelling frame + quartile + held-out flag, written to the shared folder
+    because several jobs read it."""
+    return _once(spark, ("frame", sf_dir), lambda: materialised(
+        evaluation.evaluation_frame(modelling.modelling_frame(spark, sf_dir)), "evaluation-frame"))
 
 
-def fitted(spark: SparkSession, sf_dir: str, rounds: int | None = None,
+def fitted(spark: SparkSession, sf_dir: str, rounds: int = fixed.GBT_ROUNDS,
            depth: int = fixed.GBT_DEPTH) -> tuple[dict[str, PipelineModel], str, int]:
-    """(models, saved path, n_train) for this input, fitted once.  A fit
-    saved earlier for the same input and settings (marked complete) is
-    loaded instead of refitted (S10)."""
-    rounds = rounds or gbt_rounds()
-    key = (id(spark), sf_dir, rounds, depth)
-    if key not in _MODELS:
+    """(models, saved path, n_train) for this input."""
+    def make():
         train = eval_frame(spark, sf_dir).filter(~F.col("is_test"))
-        n_train = train.count()
-        path = _model_dir(spark, sf_dir, rounds, depth)
-        done = f"{path}/_COMPLETE"
-        if _fs_exists(spark, done):
-            models = model.load_models(path)
-        else:
-            models = model.train_models(train, rounds=rounds, depth=depth)
-            model.save_models(models, path)
-            _fs_touch(spark, done)
-        _MODELS[key] = (models, path, n_train)
-    return _MODELS[key]
+        models = model.train_models(train, rounds=rounds, depth=depth)
+        path = model.save_models(models, shared_path(spark, "models"))
+        return models, path, train.count()
+    return _once(spark, ("models", sf_dir, rounds, depth), make)
 
 
 def scored_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,46 +65,46 @@ def scored_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heldout_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long (resp_id, quartile, target, y, p) on the held-out rows (M4)."""
-    models, _, _ = fitted(spark, sf_dir)
-    test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
-    keep = ["resp_id", "quartile", *fixed.TARGET_COLUMNS]
-    scored = model.score(models, test, keep)
-    return model.long_predictions(scored, ["resp_id", "quartile"])
+    """Long (resp_id, quartile, target, y, p) on the held-out rows (M4), scored
+    once and written: every metric reads the scores again."""
+    def make():
+        models, _, _ = fitted(spark, sf_dir)
+        test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
+        scored = model.score(models, test, ["resp_id", "quartile", *fixed.TARGET_COLUMNS])
+        return materialised(model.long_predictions(scored, ["resp_id", "quartile"]), "heldout-scores")
+    return _once(spark, ("scores", sf_dir), make)
 
 
 def request_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model scores for every request (M7): lookup, BMI, feature row, place
-    values missing after the lookup filled with the training means (flag
-    ``place_imputed``), then the five ensembles."""
+    """Model scores for every request (M7): lookup, BMI, feature row, missing
+    inputs filled from the training rows, then the five ensembles.
+    ``place_imputed`` flags missing place values, ``inputs_imputed`` counts
+    all inputs that were filled."""
     models, _, _ = fitted(spark, sf_dir)
     train = eval_frame(spark, sf_dir).filter(~F.col("is_test"))
-    imputer = model.fit_place_imputer(train)
     rows = lookup.feature_rows(requests_plan.resolved_requests(spark, sf_dir))
+    filled = sum((F.col(c).isNull().cast("int") for c in model.FEATURES), F.lit(0))
     rows = rows.withColumn("place_imputed", F.col("spatial_lack_insurance").isNull()
-                           | F.col("spatial_poor_mental_health").isNull())
-    filled = imputer.transform(rows)
-    scored = model.score(models, filled, ["request_id", "place_imputed"])
+                           | F.col("spatial_poor_mental_health").isNull()).withColumn("inputs_imputed", filled)
+    for imputer in model.fit_imputers(train):
+        rows = imputer.transform(rows)
+    scored = model.score(models, rows, ["request_id", "place_imputed", "inputs_imputed"])
     items = [F.struct(F.lit(t).alias("target"), F.lit(fixed.TARGET_DISPLAY_NAMES[t]).alias("condition"),
                       F.col(f"pred_{t}").alias("score")) for t in fixed.TARGET_COLUMNS]
-    return scored.select("request_id", "place_imputed", F.explode(F.array(*items)).alias("_s")).select(
-        "request_id", "_s.*", F.lit("model").alias("score_kind"), "place_imputed")
-
-
-_IMPORTANCE: dict = {}
+    return scored.select("request_id", "place_imputed", "inputs_imputed", F.explode(F.array(*items)).alias("_s")).select(
+        "request_id", "_s.*", F.lit("model").alias("score_kind"), "place_imputed", "inputs_imputed")
 
 
 def model_importance(spark: SparkSession, sf_dir: str, method: str = "permutation") -> DataFrame:
     """Per (feature, target) importance of the fitted models on the held-out
-    rows (M5 permutation or M6 sampled Shapley), computed once per session
-    and input and checkpointed, since the summary tables read it again."""
-    key = (id(spark), sf_dir, method, gbt_rounds())
-    if key not in _IMPORTANCE:
+    rows (M5 permutation or M6 sampled Shapley), written once, since the
+    summary tables read it again."""
+    def make():
         models, _, _ = fitted(spark, sf_dir)
         test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
         if method == "permutation":
             imp = model.permutation_importance(test, model.gbt_scorer(models))
         else:
             imp = model.shapley_importance(model.sampled_shapley(test, model.gbt_scorer(models)))
-        _IMPORTANCE[key] = rank.checkpointed(imp)
-    return _IMPORTANCE[key]
+        return materialised(imp, "importance")
+    return _once(spark, ("importance", sf_dir, method), make)

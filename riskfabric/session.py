@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def get_session(app: str = "riskfabric", master: str | None = None,
-                shuffle_partitions: int | None = None) -> SparkSession:
-    """A session tuned for these jobs: AQE on (runtime broadcast of small
-    aggregates, partition coalescing, skew-join splitting), UI off, UTC."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
+def get_session(app: str = "riskfabric", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings these jobs rely on: AQE (runtime broadcast
+    of small aggregates, partition coalescing, skew-join splitting), UI off,
+    UTC.  Master, memory and shuffle partitions are the cluster's, or the
+    caller's: ``master`` and further settings are only set when given."""
     builder = (
         SparkSession.builder.appName(app)
-        .master(master or f"local[{cpus}]")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
     )
+    if master:
+        builder = builder.master(master)
+    for key, value in conf.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -34,15 +34,18 @@ def get_session(app: str = "riskfabric", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``.  Only when it is unset (local runs, tests) is a
-    private folder created and registered."""
+    """The shared checkpoint folder that the cluster names in
+    ``spark.checkpoint.dir``.  Where it is unset, a folder of our own is used
+    if all of Spark runs in this process; on a cluster that would be a
+    machine-local folder, so it is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="riskfabric-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -52,12 +55,3 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def shared_base(spark: SparkSession) -> str:
-    """The shared folder itself (``spark.checkpoint.dir`` as configured),
-    which is the same for every application on the cluster; Spark adds a
-    per-application subfolder to the checkpoint directory it uses."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or \
-        spark.conf.get("spark.checkpoint.dir", None)
-    return conf or ensure_checkpoint_dir(spark)

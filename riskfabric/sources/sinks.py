@@ -4,7 +4,7 @@ never on a machine-local path."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
@@ -21,12 +21,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
-def round_trip(spark: SparkSession, df: DataFrame, name: str,
-               partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: the read-back
-    frame's lineage starts at the files."""
-    path = write_table(df, shared_path(spark, name), partition_by)
-    return spark.read.parquet(path)
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its plan runs once
+    however often the result is read, the files tell Spark its size, and nothing
+    stays cached."""
+    path = write_table(df, shared_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def eval_document(summary: DataFrame, operating_point_row, n_train: int, n_test: int,

@@ -32,16 +32,23 @@ CASE WHEN ((o_orderkey * 81799 + o_custkey * 7919) % 1000003) % 200 = 0 THEN 3 E
 CASE WHEN ((o_orderkey * 15485863 + o_custkey * 7919) % 1000003) % 100 < 4 THEN NULL WHEN ((o_orderkey * 15485863 + o_custkey * 7919) % 1000003) % 100 < 5 THEN 900 ELSE 1500 + ((o_orderkey * 32452843 + o_custkey * 7919) % 1000003) % 3500 END AS bmi_x100,
 CASE WHEN ((o_orderkey * 49979687 + o_custkey * 7919) % 1000003) % 30 = 0 THEN 9 ELSE 1 + ((o_orderkey * 67867967 + o_custkey * 7919) % 1000003) % 4 END AS smoker_raw,
 CASE WHEN ((o_orderkey * 86028121 + o_custkey * 7919) % 1000003) % 30 = 0 THEN 9 ELSE 1 + ((o_orderkey * 104395301 + o_custkey * 7919) % 1000003) % 2 END AS activity_raw,
-CASE WHEN ((o_orderkey * 122949823 + o_custkey * 7919) % 1000003) % 30 = 0 THEN 9 WHEN ((o_orderkey * 141650939 + o_custkey * 7919) % 1000003) % 15 = 0 THEN 2 ELSE 1 END AS drinking_raw
+CASE WHEN ((o_orderkey * 122949823 + o_custkey * 7919) % 1000003) % 30 = 0 THEN 9 WHEN ((o_orderkey * 141650939 + o_custkey * 7919) % 1000003) % 15 = 0 THEN 2 ELSE 1 END AS drinking_raw,
+CASE WHEN (o_orderkey * 15401) % 4 < 3 THEN NULL WHEN (o_orderkey * 7907) % 11 = 0 THEN 8 ELSE 1 + (o_orderkey * 13) % 5 END AS metro_raw,
+CASE WHEN (o_orderkey * 5) % 23 = 0 THEN 9 WHEN (o_orderkey * 3) % 29 = 0 THEN 7 ELSE 1 + (o_orderkey * 3) % 5 END AS genhlth_raw
 FROM {orders}
 """
 
-# One row per lineitem: a long-form place measure with text values ('n/a'
-# included).  ``seq`` stands for file order; it ties, so order by
+# One row per lineitem: a long-form place measure with text values: 'n/a',
+# 'NaN', a number with a suffix and white space included; some keys are missing,
+# short, no digits, or have white space.  ``seq`` stands for file order; it ties, so order by
 # (seq, value).
 PLACES_LONG_SQL = """
-SELECT lpad(CAST((l_partkey * 7919) % 100000 AS VARCHAR(10)), 5, '0') AS zcta, CASE l_linenumber WHEN 1 THEN 'ACCESS2' WHEN 2 THEN 'MHLTH' WHEN 3 THEN 'OBESITY' ELSE 'OTHER' || CAST(l_linenumber AS VARCHAR(3)) END AS measureid,
-CASE WHEN l_quantity = 50 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR(12)) END AS data_value, CAST(1 + l_partkey % 57 AS INT) AS state_fips, l_orderkey AS seq FROM {lineitem}
+SELECT CASE WHEN l_orderkey % 997 = 0 THEN NULL WHEN l_partkey % 211 = 0 THEN 'X' || lpad(CAST(l_partkey % 10000 AS VARCHAR(10)), 4, '0')
+WHEN l_partkey % 31 = 0 THEN CAST((l_partkey * 7919) % 100000 AS VARCHAR(10))
+WHEN l_partkey % 37 = 0 THEN lpad(CAST((l_partkey * 7919) % 100000 AS VARCHAR(10)), 5, '0') || chr(9)
+ELSE lpad(CAST((l_partkey * 7919) % 100000 AS VARCHAR(10)), 5, '0') END AS zcta, CASE l_linenumber WHEN 1 THEN 'ACCESS2' WHEN 2 THEN 'MHLTH' WHEN 3 THEN 'OBESITY' ELSE 'OTHER' || CAST(l_linenumber AS VARCHAR(3)) END AS measureid,
+CASE WHEN l_quantity = 50 THEN 'n/a' WHEN l_quantity = 49 THEN 'NaN' WHEN l_quantity = 48 THEN '48.5f'
+WHEN l_quantity = 47 THEN ' 47.25' || chr(9) ELSE CAST(l_quantity AS VARCHAR(12)) END AS data_value, CAST(1 + l_partkey % 57 AS INT) AS state_fips, l_orderkey AS seq FROM {lineitem}
 """
 
 # One row per order: a scoring request as the dashboard would send it.  The
@@ -53,6 +60,7 @@ CASE o_orderkey % 20 WHEN 0 THEN ' ' || lpad(CAST((o_custkey * 7919) % 100000 AS
 WHEN 1 THEN substr(lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0'), 1, 4)
 WHEN 2 THEN substr(lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0'), 1, 4) || 'A'
 WHEN 3 THEN ''
+WHEN 6 THEN lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0') || chr(9)
 WHEN 4 THEN NULL
 WHEN 5 THEN lpad(CAST((o_custkey * 7919 + 1) % 100000 AS VARCHAR(10)), 5, '0')
 ELSE lpad(CAST((o_custkey * 7919) % 100000 AS VARCHAR(10)), 5, '0') END AS zip_text,
@@ -62,8 +70,8 @@ CAST(1 + (o_orderkey * 17) % 8 AS INT) AS income_code,
 CAST(1 + (o_orderkey * 7) % 6 AS INT) AS educa_code,
 CAST(1 + (o_orderkey * 11) % 7 AS INT) AS race_code,
 CAST(1 + o_orderkey % 2 AS INT) AS sex_code,
-CAST(4 + (o_orderkey * 3) % 3 AS INT) AS height_ft,
-CAST((o_orderkey * 5) % 12 AS INT) AS height_in,
+CAST(CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE 4 + (o_orderkey * 3) % 3 END AS INT) AS height_ft,
+CAST(CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE (o_orderkey * 5) % 12 END AS INT) AS height_in,
 CAST(100 + (o_orderkey * 13) % 200 AS INT) AS weight_lbs,
 CAST(1 + o_orderkey % 4 AS INT) AS smoker_code,
 CAST(1 + (o_orderkey * 3) % 2 AS INT) AS physical_activity_code,
@@ -93,17 +101,15 @@ def places_zcta_sql(source: str = "{lineitem}") -> str:
     return f"SELECT zcta AS locationid, measureid, data_value, seq FROM ({body}) p"
 
 
+#: FIXED VALUES: the measure codes of the stand-in pulls.
+MEASURES = ["ACCESS2", "MHLTH", "OBESITY", "OTHER4", "OTHER5", "OTHER6", "OTHER7"]
+
+
 def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     return spark.sql(RESPONDENTS_SQL, orders=orders)
 
 
-def places_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = read_table(spark, sf_dir, "lineitem",
-                          ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
-    return spark.sql(PLACES_LONG_SQL, lineitem=lineitem)
-
-
 def places_county(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_table(spark, sf_dir, "lineitem",
                           ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
@@ -122,10 +128,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crosswalk_sql(source: str = "{part}") -> str:
-    """A ZCTA -> state crosswalk with unpadded keys (one row per part);
-    unmapped FIPS codes give rows without a state."""
-    return (f"SELECT CAST((p_partkey * 7919) % 100000 AS VARCHAR(10)) AS zcta, "
-            f"{_fips_case('CAST(1 + (p_partkey * 3) % 57 AS INT)')} AS stateabbr FROM {source}")
+    """A ZCTA -> state crosswalk with unpadded keys (one row per part, and a
+    second one with another state for each tenth); unmapped FIPS codes give
+    rows without a state."""
+    one = "SELECT CAST((p_partkey * 7919) % 100000 AS VARCHAR(10)) AS zcta, "
+    return (f"{one}{_fips_case('CAST(1 + (p_partkey * 3) % 57 AS INT)')} AS stateabbr FROM {source} "
+            f"UNION ALL {one}{_fips_case('CAST(1 + (p_partkey * 5) % 57 AS INT)')} FROM {source} WHERE p_partkey % 10 = 0")
 
 
 def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def _rows(df):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ["orders", "lineitem", "part", "customer"]:
+    for t in ["orders", "lineitem", "part", "customer", "documents", "pages", "benchmark", "labels", "conversations"]:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
