@@ -684,6 +684,7 @@ def s7_eval_artifacts(spark, sf_dir):
     sinks.write_table(metrics.equity_audit(scores), f"{base}/equity")
     curve = metrics.pr_curve(scores).filter(F.col("target") == fixed.PRIMARY_TARGET)
     sinks.write_table(curve, f"{base}/precision_recall")
+    sinks.write_table(m5_permutation_importance(spark, sf_dir), f"{base}/importance")
     return survey.read_eval_artifacts(spark, base)["eval_metrics"]
 
 
@@ -695,6 +696,100 @@ def s10_model_roundtrip(spark, sf_dir):
     return model.score(loaded, test, ["resp_id"])
 
 
+# What can be checked about a learner's outputs without its numbers: settings, keys, labels, flags, ranges.
+@register("m2_fit_settings", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS target, count(*) AS n_train, {fixed.GBT_ROUNDS} AS num_trees, {fixed.GBT_DEPTH} AS max_depth FROM ev WHERE NOT is_test"
+    for t in fixed.TARGET_COLUMNS))
+def m2_fit_settings(spark, sf_dir):
+    return m2_train_models(spark, sf_dir).select("target", "n_train", "num_trees", "max_depth")
+
+
+def _in_range(column):
+    return F.col(column).between(0, 1) & ~F.isnan(column)
+
+
+@register("m3_score_checks", "SELECT resp_id, stateabbr, age_code, income_code, educa_code, race_code, NOT is_test AS in_train, TRUE AS in_range FROM ev")
+def m3_score_checks(spark, sf_dir):
+    ok = F.lit(True)
+    for t in fixed.TARGET_COLUMNS:
+        ok = ok & _in_range(f"pred_{t}")
+    return training.scored_respondents(spark, sf_dir).select("resp_id", *fixed.PREDICTION_COLUMNS, "in_train", ok.alias("in_range"))
+
+
+@register("m4_score_checks", "SELECT resp_id, quartile, target, y, TRUE AS in_range FROM heldout")
+def m4_score_checks(spark, sf_dir):
+    return training.heldout_model_scores(spark, sf_dir).select("resp_id", "quartile", "target", "y", _in_range("p").alias("in_range"))
+
+
+@register("m7_score_checks", "\nUNION ALL\n".join(
+    f"SELECT request_id, '{t}' AS target, '{fixed.TARGET_DISPLAY_NAMES[t]}' AS condition, 'model' AS score_kind, "
+    "spatial_lack_insurance IS NULL OR spatial_poor_mental_health IS NULL AS place_imputed, "
+    "CAST(spatial_lack_insurance IS NULL AS INTEGER) + CAST(spatial_poor_mental_health IS NULL AS INTEGER) "
+    "+ CAST(height_ft * 12 + height_in = 0 AS INTEGER) AS inputs_imputed, TRUE AS in_range FROM res"
+    for t in fixed.TARGET_COLUMNS))
+def m7_score_checks(spark, sf_dir):
+    return training.request_model_scores(spark, sf_dir).select(
+        "request_id", "target", "condition", "score_kind", "place_imputed", "inputs_imputed", _in_range("score").alias("in_range"))
+
+
+@register("s10_reload_differences", "SELECT target, CAST(0 AS BIGINT) AS n_different, count(*) AS n_rows FROM heldout GROUP BY target")
+def s10_reload_differences(spark, sf_dir):
+    # rows whose score changes when the models are saved and loaded again
+    models, path, _ = training.fitted(spark, sf_dir)
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    both = model.score(models, test, ["resp_id"]).join(
+        model.score(model.load_models(path), test, ["resp_id"]).withColumnsRenamed({f"pred_{t}": f"again_{t}" for t in fixed.TARGET_COLUMNS}),
+        "resp_id")
+    rows = [F.struct(F.lit(t).alias("target"), (F.col(f"pred_{t}") != F.col(f"again_{t}")).alias("d")) for t in fixed.TARGET_COLUMNS]
+    return both.select(F.inline(F.array(*rows))).groupBy("target").agg(F.count_if("d").alias("n_different"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def _reference_document(spark, sf_dir):
+    scores = _heldout_scores(spark, sf_dir)
+    ev = training.eval_frame(spark, sf_dir)
+    n = ev.agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train")).first()
+    op = metrics.operating_point(metrics.pr_curve(scores)).first()
+    return sinks.eval_document(metrics.summary(scores), op, n["train"], n["test"], "reference_score",
+                               fixed.TARGET_DISPLAY_NAMES[fixed.PRIMARY_TARGET])
+
+
+_MAPS = ("macro_f1", "roc_auc", "pr_auc", "prevalence")
+
+
+@register("s9_reference_document", f"""
+SELECT {OQ.TARGET_DISPLAY} AS condition, f.macro_f1, r.roc_auc, a.pr_auc, p.prevalence,
+  (SELECT count(*) FROM ev WHERE NOT is_test) AS n_train, (SELECT count(*) FROM ev WHERE is_test) AS n_test, 'reference_score' AS model_backend
+FROM ({OQ.SELECTS["a12_macro_f1"]}) f JOIN ({OQ.SELECTS["a13_roc_auc"]}) r USING (target) JOIN ap a USING (target) JOIN prev p USING (target)""")
+def s9_reference_document(spark, sf_dir):
+    # the document's text, read again: a row per condition
+    maps = ", ".join(f"{m}_by_target map<string,double>" for m in _MAPS)
+    doc = _reference_document(spark, sf_dir).select(F.from_json("document", f"model_backend string, n_train long, n_test long, {maps}").alias("d"))
+    first = doc.select("d.*", F.explode(f"d.{_MAPS[0]}_by_target").alias("condition", _MAPS[0]))
+    return first.select("condition", _MAPS[0], *[F.try_element_at(F.col(f"{m}_by_target"), F.col("condition")).alias(m) for m in _MAPS[1:]],
+                        "n_train", "n_test", "model_backend")
+
+
+@register("s7_reference_artifacts", f"""
+SELECT 'eval_metrics' AS artifact, CAST(1 AS BIGINT) AS n_rows
+UNION ALL SELECT 'equity', (SELECT count(*) FROM ({OQ.SELECTS["a10_equity_audit"]}) e)
+UNION ALL SELECT 'importance', (SELECT count(*) FROM perm_imp)
+UNION ALL SELECT 'precision_recall', (SELECT count(*) + 1 FROM pr_pts WHERE target = '{fixed.PRIMARY_TARGET}')""")
+def s7_reference_artifacts(spark, sf_dir):
+    # all four artefacts written and scanned again
+    base = shared_path(spark, "eval")
+    _reference_document(spark, sf_dir).write.mode("overwrite").text(f"{base}/eval_metrics")
+    scores = _heldout_scores(spark, sf_dir)
+    sinks.write_table(metrics.equity_audit(scores), f"{base}/equity")
+    sinks.write_table(metrics.pr_curve(scores).filter(F.col("target") == fixed.PRIMARY_TARGET), f"{base}/precision_recall")
+    sinks.write_table(_reference_importance(spark, sf_dir), f"{base}/importance")
+    found = survey.read_eval_artifacts(spark, base)
+    out = None
+    for name, table in sorted(found.items()):
+        part = table.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("m6_shapley_importance")
 def m6_shapley_importance(spark, sf_dir):
     return training.model_importance(spark, sf_dir, "shapley_sampling")

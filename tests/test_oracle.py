@@ -35,9 +35,32 @@ def con():
     return c
 
 
+#: These fit the learner with all its rounds; here they run on a few (see test_learner_checks).
+LEARNER = {"m2_fit_settings", "m3_score_checks", "m4_score_checks", "m7_score_checks", "s10_reload_differences"}
+
+
 def _names():
     import __spark_entry__ as E
-    return sorted(E.oracle_sql())
+    return sorted(set(E.oracle_sql()) - LEARNER)
+
+
+def test_learner_checks(spark, con, monkeypatch):
+    import __spark_entry__ as E
+    from riskfabric.plans import training
+
+    fitted = training.fitted
+    monkeypatch.setattr(training, "fitted", lambda s, d: fitted(s, d, rounds=2, depth=3))
+    for name in sorted(LEARNER):
+        sc, sr = _rows(E.queries()[name](spark, SF).toPandas())
+        dc, dr = _rows(con.execute(E.oracle_sql()[name]).df())
+        assert sc == dc
+        if name == "m2_fit_settings":
+            trees, depth = sc.index("num_trees"), sc.index("max_depth")
+            assert {(r[trees], r[depth]) for r in sr} == {(2.0, 3.0)} and {(r[trees], r[depth]) for r in dr} == {(200.0, 6.0)}
+            keep = [k for k in range(len(sc)) if k not in (trees, depth)]
+            sr, dr = ([tuple(r[k] for k in keep) for r in x] for x in (sr, dr))
+        assert sr == dr
+    training.forget()
 
 
 @pytest.mark.parametrize("name", _names())
