@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import TwoGenerations, id_and_text, parallelism, slices, written
+from ._common import TwoGenerations, id_and_text, slices, written
 from .components import connected_components
 
 WORDS = 5
@@ -38,6 +38,7 @@ BLOCK = 256            # documents of a block
 BLOCK_BYTES = 8 << 20  # n-gram hashes of a block
 HUBS = 64
 COLUMNS = 8192         # n-grams of a fragment inside a block
+_ROWS = 1 << 14
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -48,7 +49,7 @@ def _mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = TwoGenerations(300_000)
+_WORDS = TwoGenerations(100_000)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -88,7 +89,7 @@ def _items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _segments(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=2 << 20):
             _WORDS.begin()
             ids, sets = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
@@ -139,26 +140,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     have too, two XOR hashes that sum over fragments to the set's signature, and the
     shared n-grams with the number of documents that have each."""
     for t in _by_key(batches, ["frag"]):
-        frag = t.column("frag")[0].as_py()
+        frag, docs = t.column("frag")[0].as_py(), t.column("doc_id").to_numpy()
         parts = [_items(c) for c in t.column("seg").chunks]
         flat, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
-        order = np.argsort(flat)
-        s = flat[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        count = np.diff(np.append(first, len(s)))
-        df = np.empty(len(flat), np.int64)
-        df[order] = np.repeat(count, count)
-        del order, s
+        if len(np.unique(docs)) < len(docs):  # rows repeated with one id: their united set
+            who = np.repeat(docs, n)
+            order = np.lexsort((flat, who))
+            flat, who = flat[order], who[order]
+            once = np.append(True, (flat[1:] != flat[:-1]) | (who[1:] != who[:-1]))
+            flat = flat[once]
+            docs, n = np.unique(who[once], return_counts=True)
+        s = np.sort(flat)
+        many = np.unique(s[1:][s[1:] == s[:-1]])  # n-grams of several documents
+        count = np.searchsorted(s, many, "right") - np.searchsorted(s, many)
+        del s
+        df = np.zeros(len(flat), np.int32)
         at = np.cumsum(n) - n
-        dup = df > 1
-        u = np.add.reduceat(dup, at, dtype=np.int64)
-        x1 = np.bitwise_xor.reduceat(_mix(flat, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), at).view(np.int64)
-        x2 = np.bitwise_xor.reduceat(_mix(flat ^ np.uint64(0x5851F42D4C957F2D), 0x9FB21C651E98DF25, 0xD1342543DE82EF95), at).view(np.int64)
+        u, x1, x2 = (np.zeros(len(n), np.int64) for _ in range(3))
+        for a in range(0, len(n), _ROWS):  # what is made on the way stays small beside the fragment
+            lo, hi = int(at[a]), int(at[a:a + _ROWS][-1] + n[a:a + _ROWS][-1])
+            part, first = flat[lo:hi], at[a:a + _ROWS] - lo
+            if len(many):
+                k = np.minimum(np.searchsorted(many, part), len(many) - 1)
+                df[lo:hi] = np.where(many[k] == part, count[k], 0)
+            u[a:a + _ROWS] = np.add.reduceat(df[lo:hi] > 0, first, dtype=np.int64)
+            x1[a:a + _ROWS] = np.bitwise_xor.reduceat(_mix(part, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), first).view(np.int64)
+            x2[a:a + _ROWS] = np.bitwise_xor.reduceat(_mix(part ^ np.uint64(0x5851F42D4C957F2D), 0x9FB21C651E98DF25, 0xD1342543DE82EF95), first).view(np.int64)
+        dup = df > 0
         yield from pa.table({
-            "frag": pa.array(np.full(len(n), frag, np.int32)), "doc_id": t.column("doc_id").combine_chunks(),
+            "frag": pa.array(np.full(len(n), frag, np.int32)), "doc_id": pa.array(docs),
             "n": pa.array(n), "u": pa.array(u), "x1": pa.array(x1), "x2": pa.array(x2),
-            "seg": _binary(flat[dup], u), "df": _binary(df[dup], u)}).to_batches(max_chunksize=20_000)
+            "seg": _binary(flat[dup], u), "df": _binary(df[dup].astype(np.int64), u)}).to_batches(max_chunksize=20_000)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +263,7 @@ def _blocks(docs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                              fragment_items: int = 1 << 22) -> DataFrame:
+                              fragment_items: int = 1 << 21) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
     Null, empty and white texts have no set and are components of their own.
@@ -261,7 +274,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     base = id_and_text(docs, id_col, text_col)
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = max(2 * parallelism(spark) if chars > 1 << 20 else 2, -(-chars // (4 * fragment_items)))
+    fragments = max(2 * spark.sparkContext.defaultParallelism if chars > 1 << 20 else 2, -(-chars // (6 * fragment_items)))
     segments = base.mapInArrow(_segments(fragments), "frag int, doc_id long, seg binary")
     table = _fragmented(segments, fragments, "ngram-segments")
 
@@ -284,40 +297,42 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = written(rows.join(leaders, "gram"), "ngram-buckets")
     led = rows.groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("c")) \
         .groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
-    docs1 = written(_blocks(sets.select("doc_id", "n", "grams", F.length("grams").alias("bytes")).join(led, "doc_id"), ["leader"]),
-                    "ngram-docs")
+    # blocks are made of small rows; the n-grams join when a block meets
+    grams = sets.select("doc_id", "grams")
+    docs1 = written(_blocks(sets.select("doc_id", "n", F.length("grams").alias("bytes")).join(led, "doc_id"), ["leader"]), "ngram-docs")
 
     # inside blocks, with the hubs of their group
     hub = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.ceil(F.col("size") / HUBS)) == 0)
     visits = F.when(hub, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     schema = "a long, b long"
-    inside = docs1.select("leader", F.explode(visits).alias("part"), "doc_id", "n", F.col("doc_id").alias("comp"),
-                          F.lit(0).alias("side"), "grams")
+    inside = docs1.where("size > 1").select("leader", F.explode(visits).alias("part"), "doc_id", "n", F.col("doc_id").alias("comp"),
+                                            F.lit(0).alias("side")).join(grams, "doc_id")
     keys = ["leader", "part"]
     first = written(inside.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(keys), schema), "ngram-links")
 
     # between blocks that share a prefix across components
     comps = connected_components(first)
-    placed = docs1.select("doc_id", "n", "grams", "bytes", "leader").join(
+    placed = docs1.select("doc_id", "n", "bytes", "leader").join(
         comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     big = placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("c")).where("c >= 64").select(
         "leader", "comp", F.col("comp").alias("own"))
     placed = placed.join(big, ["leader", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(-1)))
     docs2 = written(_blocks(placed, ["leader", "own"]).withColumn("block", F.xxhash64("leader", "own", "part"))
-                    .select("doc_id", "n", "comp", "block", "grams"), "ngram-docs2")
+                    .select("doc_id", "n", "comp", "block"), "ngram-docs2")
     at = rows.select("gram", "doc_id").join(docs2.select("doc_id", "comp", "block"), "doc_id")
     met = at.groupBy("gram", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = met.groupBy("gram").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("gram")
-    met = met.join(mixed, "gram", "left_semi")
+    met = written(met.join(mixed, "gram", "left_semi"), "ngram-met")
     x, y = met.alias("x"), met.alias("y")
     pairs = x.join(y, "gram").where("x.block <= y.block and (x.lo <> x.hi or y.lo <> y.hi or x.lo <> y.lo)") \
         .where("x.block < y.block or x.lo <> x.hi").select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
     pairs = written(pairs, "ngram-pairs")
-    cols = ["doc_id", "n", "comp", "grams"]
+    cols = ["doc_id", "n", "comp"]
     left = pairs.join(docs2, pairs["p"] == docs2["block"]).select("p", "q", *cols, F.lit(0).alias("side"))
     right = pairs.where("p <> q").join(docs2, F.col("q") == docs2["block"]).select("p", "q", *cols, F.lit(1).alias("side"))
     keys = ["p", "q"]
-    second = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(keys), schema)
+    second = left.unionByName(right).join(grams, "doc_id").repartition(*keys).sortWithinPartitions(*keys) \
+        .mapInArrow(_compare(keys), schema)
     links = first.unionByName(written(second, "ngram-links2"))
     comps = connected_components(links)
 
