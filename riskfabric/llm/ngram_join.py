@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import TwoGenerations, id_and_text, slices, written
+from ._common import SLICE_BYTES, TwoGenerations, id_and_text, slices, written
 from .components import connected_components
 
 WORDS = 5
@@ -38,7 +39,6 @@ BLOCK = 256            # documents of a block
 BLOCK_BYTES = 8 << 20  # n-gram hashes of a block
 HUBS = 64
 COLUMNS = 8192         # n-grams of a fragment inside a block
-_ROWS = 1 << 14
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -87,9 +87,20 @@ def _items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.diff(offsets).astype(np.int64) // 8
 
 
+def _signature(grams: np.ndarray) -> tuple[int, int]:
+    """Two XOR hashes of a set."""
+    x1 = np.bitwise_xor.reduce(_mix(grams, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+    x2 = np.bitwise_xor.reduce(_mix(grams ^ np.uint64(0x5851F42D4C957F2D), 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
+    return int(np.int64(x1.view(np.int64))), int(np.int64(x2.view(np.int64)))
+
+
 def _segments(fragments: int):
+    """The segments of a slice of documents, all documents of it in one row per fragment:
+    what a row costs beside its n-grams then doesn't grow with the number of fragments
+    times documents.  The first row also has the documents' set signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, size=2 << 20):
+        part, number = TaskContext.get().partitionId(), 0
+        for b in slices(batches, size=SLICE_BYTES):
             _WORDS.begin()
             ids, sets = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
@@ -99,15 +110,24 @@ def _segments(fragments: int):
                     sets.append(s)
             if not ids:
                 continue
-            n = np.array([len(s) for s in sets])
-            flat, doc = np.concatenate(sets), np.repeat(np.array(ids, np.int64), n)
+            flat = np.concatenate(sets)
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in sets])
             frag = ((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
-            new = np.ones(len(flat), bool)
-            new[1:] = (frag[1:] != frag[:-1]) | (np.repeat(np.arange(len(n)), n)[1:] != np.repeat(np.arange(len(n)), n)[:-1])
-            at = np.flatnonzero(new)
+            order = np.argsort(frag, kind="stable")
+            flat, doc, frag = flat[order], doc[order], frag[order]
+            cuts = np.searchsorted(frag, np.arange(fragments + 1))
+            rows = []
+            signed = np.array([_signature(s) for s in sets], np.int64).tobytes()
+            for f in range(fragments):
+                lo, hi = int(cuts[f]), int(cuts[f + 1])
+                if hi > lo or f == 0:
+                    n = np.bincount(doc[lo:hi], minlength=len(ids)).astype(np.int32)
+                    rows.append((f, part << 32 | number, np.array(ids, np.int64).tobytes(), n.tobytes(), flat[lo:hi].tobytes(), signed if f == 0 else None))
+            number += 1
+            cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(frag[at]), pa.array(doc[at]), _binary(flat, np.diff(np.append(at, len(flat))))],
-                names=["frag", "doc_id", "seg"])
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
+                names=["frag", "slice", "docs", "n", "grams", "signed"])
     return run
 
 
@@ -135,43 +155,115 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _count_shared(flat: np.ndarray) -> np.ndarray:
+    """For each n-gram of a fragment the number of documents that have it, 0 if it is one."""
+    s = np.sort(flat)
+    many = np.unique(s[1:][s[1:] == s[:-1]])
+    count = np.searchsorted(s, many, "right") - np.searchsorted(s, many)
+    del s
+    df = np.zeros(len(flat), np.int32)
+    for a in range(0, len(flat) if len(many) else 0, 1 << 18):  # what is made on the way stays small
+        part = flat[a:a + (1 << 18)]
+        k = np.minimum(np.searchsorted(many, part), len(many) - 1)
+        df[a:a + (1 << 18)] = np.where(many[k] == part, count[k], 0)
+    return df
+
+
+def _ints(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for c in column.chunks for x in c.to_pylist()]
+
+
+def _sums(flags: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``flags`` over runs of lengths ``n``, which may be 0."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per segment of a fragment: its size, how many of its n-grams other documents
-    have too, two XOR hashes that sum over fragments to the set's signature, and the
-    shared n-grams with the number of documents that have each."""
+    """Per slice and fragment: the documents' n-grams (n), how many of them other
+    documents have too (u), and the shared ones."""
     for t in _by_key(batches, ["frag"]):
-        frag, docs = t.column("frag")[0].as_py(), t.column("doc_id").to_numpy()
-        parts = [_items(c) for c in t.column("seg").chunks]
+        frag = t.column("frag")[0].as_py()
+        docs, n = _ints(t.column("docs"), np.int64), [x.astype(np.int64) for x in _ints(t.column("n"), np.int32)]
+        flat = np.concatenate([_items(c)[0] for c in t.column("grams").chunks])
+        who, size = np.concatenate(docs), np.concatenate(n)
+        ids, times = np.unique(who, return_counts=True)
+        if (times > 1).any():  # rows repeated with one id: their united set, each n-gram where it comes first
+            owner = np.repeat(who, size)
+            at = np.flatnonzero(np.isin(owner, ids[times > 1]))
+            order = at[np.lexsort((at, flat[at], owner[at]))]
+            again = order[1:][(flat[order[1:]] == flat[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])]
+            keep = np.ones(len(flat), bool)
+            keep[again] = False
+            size = _sums(keep, size)
+            flat = flat[keep]
+        df = _count_shared(flat)
+        u = _sums(df > 0, size)
+        hit = df > 0
+        grams, counts = flat[hit], df[hit]
+        lens = [len(x) for x in docs]
+        at, taken = np.cumsum([0, *lens]), 0
+        for i in range(len(docs)):
+            ni, ui = size[at[i]:at[i + 1]], u[at[i]:at[i + 1]]
+            k = int(ui.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([frag], pa.int32()), t.column("slice").slice(i, 1).combine_chunks(), t.column("docs").slice(i, 1).combine_chunks(),
+                 pa.array([ni.astype(np.int32).tobytes()], pa.binary()), pa.array([ui.astype(np.int32).tobytes()], pa.binary()),
+                 pa.array([grams[taken:taken + k].tobytes()], pa.binary()), t.column("signed").slice(i, 1).combine_chunks()],
+                names=["frag", "slice", "docs", "n", "u", "grams", "signed"])
+            taken += k
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a slice's documents, summed over fragments, and their signatures."""
+    for t in _by_key(batches, ["slice"]):
+        docs = np.frombuffer(t.column("docs")[0].as_py(), np.int64)
+        n, u = sum(_ints(t.column("n"), np.int32)).astype(np.int64), sum(_ints(t.column("u"), np.int32)).astype(np.int64)
+        x = np.frombuffer(next(x for x in t.column("signed").to_pylist() if x is not None), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs), pa.array(np.full(len(docs), t.column("slice")[0].as_py())), pa.array(n), pa.array(u),
+             pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["doc_id", "slice", "n", "u", "x1", "x2"])
+
+
+def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared segments of the wanted documents of a slice, one row each."""
+    for b in batches:
+        for frag, docs, u, grams, wanted in zip(*(b.column(c).to_pylist() for c in ("frag", "docs", "u", "grams", "wanted"))):
+            docs, u, flat = np.frombuffer(docs, np.int64), np.frombuffer(u, np.int32).astype(np.int64), np.frombuffer(grams, np.uint64)
+            keep = np.isin(docs, np.array(wanted, np.int64)) & (u > 0)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[keep]), _binary(flat[np.repeat(keep, u)], u[keep])], names=["doc_id", "grams"])
+
+
+def _cut_again(fragments: int):
+    """Rows of single documents, cut into the fragments of the second count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, n = _items(b.column("grams"))
+            row = np.repeat(np.arange(len(n)), n)
+            frag = ((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
+            new = np.append(True, (frag[1:] != frag[:-1]) | (row[1:] != row[:-1]))
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(frag[at]), pa.array(b.column("doc_id").to_numpy()[row[at]]), _binary(flat, np.diff(np.append(at, len(flat))))],
+                names=["frag", "doc_id", "grams"])
+    return run
+
+
+def _shared_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document and fragment: the n-grams that other documents have too, with their counts."""
+    for t in _by_key(batches, ["frag"]):
+        parts = [_items(c) for c in t.column("grams").chunks]
         flat, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        del parts
-        if len(np.unique(docs)) < len(docs):  # rows repeated with one id: their united set
-            who = np.repeat(docs, n)
-            order = np.lexsort((flat, who))
-            flat, who = flat[order], who[order]
-            once = np.append(True, (flat[1:] != flat[:-1]) | (who[1:] != who[:-1]))
-            flat = flat[once]
-            docs, n = np.unique(who[once], return_counts=True)
-        s = np.sort(flat)
-        many = np.unique(s[1:][s[1:] == s[:-1]])  # n-grams of several documents
-        count = np.searchsorted(s, many, "right") - np.searchsorted(s, many)
-        del s
-        df = np.zeros(len(flat), np.int32)
-        at = np.cumsum(n) - n
-        u, x1, x2 = (np.zeros(len(n), np.int64) for _ in range(3))
-        for a in range(0, len(n), _ROWS):  # what is made on the way stays small beside the fragment
-            lo, hi = int(at[a]), int(at[a:a + _ROWS][-1] + n[a:a + _ROWS][-1])
-            part, first = flat[lo:hi], at[a:a + _ROWS] - lo
-            if len(many):
-                k = np.minimum(np.searchsorted(many, part), len(many) - 1)
-                df[lo:hi] = np.where(many[k] == part, count[k], 0)
-            u[a:a + _ROWS] = np.add.reduceat(df[lo:hi] > 0, first, dtype=np.int64)
-            x1[a:a + _ROWS] = np.bitwise_xor.reduceat(_mix(part, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), first).view(np.int64)
-            x2[a:a + _ROWS] = np.bitwise_xor.reduceat(_mix(part ^ np.uint64(0x5851F42D4C957F2D), 0x9FB21C651E98DF25, 0xD1342543DE82EF95), first).view(np.int64)
-        dup = df > 0
-        yield from pa.table({
-            "frag": pa.array(np.full(len(n), frag, np.int32)), "doc_id": pa.array(docs),
-            "n": pa.array(n), "u": pa.array(u), "x1": pa.array(x1), "x2": pa.array(x2),
-            "seg": _binary(flat[dup], u), "df": _binary(df[dup].astype(np.int64), u)}).to_batches(max_chunksize=20_000)
+        df = _count_shared(flat)
+        u = _sums(df > 0, n)
+        hit = df > 0
+        yield from pa.table({"doc_id": t.column("doc_id").combine_chunks(), "u": pa.array(u), "seg": _binary(flat[hit], u),
+                             "df": _binary(df[hit].astype(np.int64), u)}).to_batches(max_chunksize=20_000)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +341,6 @@ def _compare(keys: list[str]):
     return run
 
 
-def _fragmented(rows: DataFrame, fragments: int, name: str) -> DataFrame:
-    return written(rows.repartitionById(fragments, "frag").sortWithinPartitions("frag").mapInArrow(
-        _shared, "frag int, doc_id long, n long, u long, x1 long, x2 long, seg binary, df binary"), name)
-
-
 def _blocks(docs: DataFrame, group: list[str]) -> DataFrame:
     """``docs`` with ``parts`` (blocks that its group is cut into) and ``part`` (its own)."""
     sizes = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("group_bytes"))
@@ -274,22 +361,35 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     base = id_and_text(docs, id_col, text_col)
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = max(2 * spark.sparkContext.defaultParallelism if chars > 1 << 20 else 2, -(-chars // (6 * fragment_items)))
-    segments = base.mapInArrow(_segments(fragments), "frag int, doc_id long, seg binary")
-    table = _fragmented(segments, fragments, "ngram-segments")
-
-    stats = written(table.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.bit_xor("x1").alias("x1"),
-                                                F.bit_xor("x2").alias("x2")), "ngram-sets")
+    cores = 2 * spark.sparkContext.defaultParallelism
+    fragments = max(cores if chars > 1 << 20 else 2, -(-chars // (6 * fragment_items)))
+    segments = base.mapInArrow(_segments(fragments), "frag int, slice long, docs binary, n binary, grams binary, signed binary")
+    table = written(segments.repartitionById(fragments, "frag").sortWithinPartitions("frag").mapInArrow(
+        _shared, "frag int, slice long, docs binary, n binary, u binary, grams binary, signed binary"), "ngram-segments")
+
+    by_slice = table.select("slice", "docs", "n", "u", "signed").repartition("slice").sortWithinPartitions("slice") \
+        .mapInArrow(_by_document, "doc_id long, slice long, n long, u long, x1 long, x2 long")
+    one = (F.min("x1") == F.max("x1")) & (F.min("x2") == F.max("x2"))  # else rows of one id differ: a set of its own
+    stats = by_slice.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.collect_set("slice").alias("slices"),
+                                           F.when(one, F.min("x1")).otherwise(F.xxhash64("doc_id")).alias("x1"),
+                                           F.when(one, F.min("x2")).otherwise(F.xxhash64(F.lit(2), "doc_id")).alias("x2"))
+    stats = written(stats, "ngram-sets")
     alive = F.expr(f"100 * u >= {PERCENT} * n")
     classes = stats.where(alive).groupBy("n", "x1", "x2").agg(F.min("doc_id").alias("rep"))
     members = stats.where(alive).join(classes, ["n", "x1", "x2"]).select("doc_id", "rep")
-    reps = written(classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("size")), "ngram-reps")
-
-    again = table.where("u > 0").join(reps, "doc_id", "left_semi").select("frag", "doc_id", "seg")
-    table = _fragmented(again, fragments, "ngram-again")
+    reps = written(stats.where(alive).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+                   .select("doc_id", F.col("n").alias("size"), "u", "slices"), "ngram-reps")
+
+    wanted = reps.select("doc_id", F.explode("slices").alias("slice")).groupBy("slice").agg(F.collect_list("doc_id").alias("wanted"))
+    items = reps.agg(F.sum("u")).first()[0] or 0
+    fragments = max(cores if chars > 1 << 20 else 2, -(-items // fragment_items))
+    again = table.select("frag", "slice", "docs", "u", "grams").join(wanted, "slice") \
+        .mapInArrow(_of_documents, "doc_id long, grams binary").mapInArrow(_cut_again(fragments), "frag int, doc_id long, grams binary")
+    table = written(again.repartitionById(fragments, "frag").sortWithinPartitions("frag").mapInArrow(
+        _shared_again, "doc_id long, u long, seg binary, df binary"), "ngram-again")
     whole = table.where("u > 0").groupBy("doc_id").agg(F.sum("u").alias("u"), F.collect_list("seg").alias("segs"),
                                                        F.collect_list("df").alias("dfs")) \
-        .join(reps.withColumnRenamed("size", "n"), "doc_id").where(alive).select("doc_id", "n", "segs", "dfs")
+        .join(reps.select("doc_id", F.col("size").alias("n")), "doc_id").where(alive).select("doc_id", "n", "segs", "dfs")
     sets = written(whole.mapInArrow(_prefixes, "doc_id long, n long, grams binary, prefix array<long>"), "ngram-prefixes")
 
     rows = sets.select("doc_id", F.explode("prefix").alias("gram"))
