@@ -63,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 start, total = i, 0
             total += sizes[i]
         yield batch.slice(start, n - start)
+    pa.default_memory_pool().release_unused()  # a worker lives on and shares its memory with the executor
 
 
 class TwoGenerations(dict):

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, TwoGenerations, id_and_text, slices, written
+from ._common import TwoGenerations, id_and_text, slices, written
 from .components import connected_components
 
 WORDS = 5
@@ -49,7 +49,7 @@ def _mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = TwoGenerations(100_000)
+_WORDS = TwoGenerations(60_000)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -100,7 +100,7 @@ def _segments(fragments: int):
     times documents.  The first row also has the documents' set signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for b in slices(batches, size=SLICE_BYTES):
+        for b in slices(batches, size=2 << 20):
             _WORDS.begin()
             ids, sets = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
@@ -153,6 +153,8 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         last = tuple(c[-1] for c in cols)
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _count_shared(flat: np.ndarray) -> np.ndarray:
