@@ -5,8 +5,10 @@ document is a query.  Index terms are pairs of neighbouring words, so common
 words alone make no match.  A posting's weight is its BM25 impact as a share
 of the item's own full score: an item that a passage holds whole scores 1,
 and one threshold means the same for short and long items.  All items at or
-above it are retrieved; then the words of both are compared: five-word
-shingles of the whole item, and words of its question and of its answer.
+above it are retrieved; then the words of both are compared: those of the
+question and those of the answer.  The share of the whole item's five-word
+shingles is reported and decides nothing: one word put between question and
+answer breaks four of them.
 
 Passages are windows of twice the longest item, begun every longest item, so
 an item that a document holds lies whole in one of them.  A window whose terms'
@@ -30,7 +32,7 @@ from ._common import SLICE_BYTES, TwoGenerations, chunks, id_and_text, slices
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6     # share of an item's own score
-OVERLAP = 0.8       # of shingles, of question words and of answer words
+OVERLAP = 0.8       # of question words and of answer words
 SHINGLE = 5
 BLOCK = 16          # postings of a block of block-max WAND
 INDEX_ITEMS = 20_000  # items of one index; more items make more indexes, each a pass over the documents
@@ -191,7 +193,7 @@ class Index:
                         grams[n] = shingles(words, n)
                     same = len(mine & grams[n]) / len(mine)
                     found = (score, same, share(q, counts), share(a, counts))
-                    if min(found[1:]) >= OVERLAP and found > out.get(self.ids[d], ()):
+                    if min(found[2:]) >= OVERLAP and found > out.get(self.ids[d], ()):
                         out[self.ids[d]] = found
 
 
