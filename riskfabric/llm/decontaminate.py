@@ -37,6 +37,8 @@ SHINGLE = 5
 BLOCK = 16          # postings of a block of block-max WAND
 INDEX_ITEMS = 20_000  # items of one index; more items make more indexes, each a pass over the documents
 
+NONE, MANY = -2, -3  # no word, several words
+
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"[.?!]$")
 
@@ -46,6 +48,7 @@ def normal(word: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
+    """The one way in which items and documents are cut: at any Unicode white space."""
     return [w for w in map(normal, (text or "").split()) if w]
 
 
@@ -57,13 +60,13 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(" ".join(raw[:cut])), words_of(" ".join(raw[cut:]))
 
 
-def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
+def shingles(words: list[int], n: int = SHINGLE) -> set[tuple[int, ...]]:
     """Distinct runs of ``n`` words; fewer words are one run."""
     n = min(n, len(words))
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
-def share(part: list[str], whole: Counter) -> float:
+def share(part: list[int], whole: Counter) -> float:
     """The share of ``part``'s words, repeated ones included, that ``whole`` has."""
     return sum(min(n, whole[w]) for w, n in Counter(part).items()) / len(part) if part else 1.0
 
@@ -72,14 +75,11 @@ class Index:
     def __init__(self, items: list[tuple[int, list[str], list[str]]]):
         items = sorted((i, q, a) for i, q, a in items if len(q) + len(a) >= 2)
         self.ids = [i for i, _, _ in items]
-        self.parts = [(q, a) for _, q, a in items]
+        self.vocabulary: dict[str, int] = {}
+        self.parts = [tuple([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in part] for part in (q, a)) for _, q, a in items]
         self.shingles = [shingles(q + a) for q, a in self.parts]
         self.length = max((len(q) + len(a) for q, a in self.parts), default=1)
-        self.vocabulary: dict[str, int] = {}
-        bags = []
-        for q, a in self.parts:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in q + a]
-            bags.append(Counter(zip(w, w[1:])))
+        bags = [Counter(zip(w, w[1:])) for q, a in self.parts for w in [q + a]]
         df = Counter(t for bag in bags for t in bag)
         mean = sum(map(Counter.total, bags)) / max(1, len(bags))
         postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
@@ -152,24 +152,37 @@ class Index:
                     if here[t] < item:
                         advance(t, item)
 
+    def codes(self, words: bytes) -> list[int]:
+        """Numbers of the words; -1 for a word that no item has."""
+        return [self.vocabulary.get(w, -1) for w in words_of(words.decode())]
+
+    def encode(self, text: bytes, known: TwoGenerations) -> np.ndarray:
+        """``codes`` of a text, which is cut at ASCII white space first: what stands
+        between is looked up, and only where it is several words cut further."""
+        raw = text.split()
+        for w in known.missing(set(raw)):
+            c = self.codes(w)
+            known[w] = c[0] if len(c) == 1 else MANY if c else NONE
+        out = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+        parts, start = [], 0
+        for i in np.flatnonzero(out == MANY).tolist():
+            parts += [out[start:i], np.array(self.codes(raw[i]), np.int64)]
+            start = i + 1
+        out = np.concatenate([*parts, out[start:]]) if parts else out
+        return out[out != NONE]
+
     def leaks(self, text: bytes, known: TwoGenerations) -> dict[int, tuple[float, float, float, float]]:
         """Items that the text holds: best score, shingle, question and answer overlap."""
         out: dict[int, tuple] = {}
-        tail: list[bytes] = []
+        tail = np.empty(0, np.int64)
         for piece in chunks(text) if len(text) > SLICE_BYTES else [text]:
-            raw = tail + piece.split()
-            for w in known.missing(set(raw)):
-                n = normal(w.decode())
-                known[w] = self.vocabulary.get(n, -1) if n else -2
-            codes = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
-            place = np.flatnonzero(codes != -2)
-            codes = codes[place]
+            codes = np.concatenate([tail, self.encode(piece, known)])
             if len(codes) > 1 and len(self.keys):
-                self._windows(raw, codes, place, out)
-            tail = raw[-2 * self.length:]
+                self._windows(codes, out)
+            tail = codes[-2 * self.length:]
         return out
 
-    def _windows(self, raw, codes, place, out) -> None:
+    def _windows(self, codes, out) -> None:
         both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
         key = codes[both] * len(self.vocabulary) + codes[both + 1]
         term = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -183,7 +196,7 @@ class Index:
         for k in np.flatnonzero(bounds[hi] - bounds[lo] >= THRESHOLD - 1e-9).tolist():
             matches = self.search(sorted(set(term[lo[k]:hi[k]].tolist())), THRESHOLD)
             if matches:
-                words = [normal(raw[i].decode()) for i in place[starts[k]:starts[k] + 2 * self.length].tolist()]
+                words = codes[starts[k]:starts[k] + 2 * self.length].tolist()
                 grams, counts = {}, Counter(words)
                 for d, score in matches:
                     q, a = self.parts[d]

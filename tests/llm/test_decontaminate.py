@@ -32,3 +32,16 @@ def test_an_inserted_and_a_changed_word_hide_no_item(shipped):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(100 + i, i) for i, _ in items]
     assert all(r["question_overlap"] == r["answer_overlap"] == 1.0 and r["shingle_overlap"] < 1.0 for r in got)
     assert min(r["shingle_overlap"] for r in got) < 0.8  # reported, decides nothing
+
+
+def test_every_unicode_space_cuts_items_and_documents(monkeypatch):
+    items = items_of()
+    for space in ["\xa0", "\u202f", "\u2009", "\u3000", "\u2028", "\x85", "\x1f", "\xa0 \u3000"]:
+        assert found(items, [space.join(t.split()) for _, t in items]) == [{i} for i, _ in items]
+        assert found([(i, space.join(t.split())) for i, t in items], [t for _, t in items]) == [{i} for i, _ in items]
+    one = [f"before {' '.join(w[:k])}\u202f{' '.join(w[k:])} after" for _, t in items for w in [t.split()] for k in [len(w) // 2]]
+    assert found(items, one) == [{i} for i, _ in items]
+    # over the borders of a text's pieces, also between words that are only marks
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "chunks", lambda t, cut=decontaminate.chunks: cut(t, 200))
+    assert found(items, [f"{'filler ' * 25}{t} \xa0 {t}".replace(" ", " - -- \xa0") for _, t in items]) == [{i} for i, _ in items]
