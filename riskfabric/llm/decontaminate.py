@@ -2,7 +2,7 @@
 
 The test items are the indexed side, and every passage of every training
 document is a query.  Index terms are pairs of neighbouring words, so common
-words alone make no match.  A posting's weight is its BM25 impact as a share
+words alone make no match; in scripts without spaces each character is a word.  A posting's weight is its BM25 impact as a share
 of the item's own full score: an item that a passage holds whole scores 1,
 and one threshold means the same for short and long items.  All items at or
 above it are retrieved; then the words of both are compared: those of the
@@ -39,8 +39,18 @@ INDEX_ITEMS = 20_000  # items of one index; more items make more indexes, each a
 
 NONE, MANY = -2, -3  # no word, several words
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_SENTENCE = re.compile(r"[.?!]$")
+#: Letters and marks of scripts that put no space between words: Thai, Lao, Tibetan, Myanmar,
+#: Khmer, Tai, Javanese, Balinese, kana, bopomofo, Yi and Han.
+_UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u0f00\u0f35\u0f37\u0f39\u0f40-\u0f84"
+             "\u0f86-\u0fbc\u1000-\u103f\u1050-\u108f\u109a-\u109d\u1780-\u17d3\u17d7\u17dc\u17dd\u1950-\u19c9"
+             "\u1a00-\u1a1b\u1a20-\u1a7c\u1aa7\u1b00-\u1b4c\ua980-\ua9c0\ua9cf\ua9e0-\ua9ef\ua9fa-\ua9fe\uaa60-\uaadf"
+             "\u2e80-\u2fd5\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303c\u3041-\u3096\u3099-\u309f\u30a1-\u30fa\u30fc-\u30ff"
+             "\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018cff"
+             "\U0001aff0-\U0001b2ff\U00020000-\U0003ffff")
+_UNITS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+_PIECES = re.compile(rf"[{_UNSPACED}][^\s\w{_UNSPACED}]*|[^\s{_UNSPACED}]+")
+_EDGES = re.compile(rf"^(?:(?![{_UNSPACED}])[\W_])+|(?:(?![{_UNSPACED}])[\W_])+$")
+_SENTENCE = re.compile("[.?!\u3002\uff01\uff0e\uff1f\uff61]$")
 
 
 def normal(word: str) -> str:
@@ -48,14 +58,15 @@ def normal(word: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The one way in which items and documents are cut: at any Unicode white space."""
-    return [w for w in map(normal, (text or "").split()) if w]
+    """The one way in which items and documents are cut: at any Unicode white space,
+    and around each character of a script without spaces."""
+    return [w for w in map(normal, _UNITS.findall(text or "")) if w]
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """An item's words up to and from the last sentence that begins in its second
     half; without one, its last quarter is the answer."""
-    raw = (text or "").split()
+    raw = _PIECES.findall(text or "")
     cut = next((i for i in range(len(raw) - 1, (len(raw) - 1) // 2, -1) if _SENTENCE.search(raw[i - 1])), len(raw) - max(1, len(raw) // 4))
     return words_of(" ".join(raw[:cut])), words_of(" ".join(raw[cut:]))
 
@@ -215,8 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """``doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap``:
     one row for each item that a document's whole text holds.
 
-    Null and empty texts hold nothing; items of fewer than two words are not
-    looked for; items repeated with one id are one item for each text.  Rows
+    Null and empty texts hold nothing; items of one word (or one character of a
+    script without spaces) are not looked for; items repeated with one id are one item for each text.  Rows
     repeated each have their rows.  No items, or no documents: no rows.
     """
     spark = docs.sparkSession

@@ -45,3 +45,23 @@ def test_every_unicode_space_cuts_items_and_documents(monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_BYTES", 200)
     monkeypatch.setattr(decontaminate, "chunks", lambda t, cut=decontaminate.chunks: cut(t, 200))
     assert found(items, [f"{'filler ' * 25}{t} \xa0 {t}".replace(" ", " - -- \xa0") for _, t in items]) == [{i} for i, _ in items]
+
+
+UNSPACED = [(1, "什么河流过旧磨坊？它叫银色的小溪。"),
+            (2, "最初に溶けた金属は何ですか。それはスズです。"),
+            (3, "แม่น้ำชื่ออะไร ลำธารเงิน")]
+
+
+def test_items_in_scripts_without_spaces(shipped):
+    q, a = decontaminate.question_and_answer(UNSPACED[0][1])
+    assert "".join(q) + "?" + "".join(a) == UNSPACED[0][1].replace("？", "?").rstrip("。")
+    assert all(q + a == decontaminate.words_of(t) for _, t in UNSPACED for q, a in [decontaminate.question_and_answer(t)])
+    alone = [t for _, t in UNSPACED]
+    inside = [f"我们在读{t}然后走了 แล้ว{t}จบ" for t in alone]  # letters at both edges
+    marked = [f"「{t[:9]}、{t[9:]}」" for t in alone]
+    question = [UNSPACED[0][1].split("？")[0], "这是一段无关的文字。"]
+    assert found(UNSPACED, alone) == found(UNSPACED, inside) == found(UNSPACED, marked) == [{1}, {2}, {3}]
+    assert found(UNSPACED, question) == [set(), set()]
+    docs = make(shipped, list(enumerate(inside + question)))
+    got = decontaminate.contaminated(docs, shipped.createDataFrame(UNSPACED, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 1), (1, 2), (2, 3)]
