@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, TwoGenerations, chunks, id_and_text, slices
+from ._common import SLICE_BYTES, TwoGenerations, chunks, id_and_text, slices, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6     # share of an item's own score
@@ -82,20 +82,37 @@ def share(part: list[int], whole: Counter) -> float:
     return sum(min(n, whole[w]) for w, n in Counter(part).items()) / len(part) if part else 1.0
 
 
+def pairs(words: list) -> Counter:
+    return Counter(zip(words, words[1:]))
+
+
+class Statistics:
+    """Of all items, however many indexes they are cut into: their number, the mean of
+    their pairs, and in how many of them a pair stands (one, if it isn't in ``df``)."""
+
+    def __init__(self, items: int, mean: float, df: dict[tuple[str, str], int]):
+        self.items, self.mean, self.df = items, mean, df
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], of_all: Statistics | None = None):
         items = sorted((i, q, a) for i, q, a in items if len(q) + len(a) >= 2)
         self.ids = [i for i, _, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.parts = [tuple([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in part] for part in (q, a)) for _, q, a in items]
         self.shingles = [shingles(q + a) for q, a in self.parts]
         self.length = max((len(q) + len(a) for q, a in self.parts), default=1)
-        bags = [Counter(zip(w, w[1:])) for q, a in self.parts for w in [q + a]]
-        df = Counter(t for bag in bags for t in bag)
-        mean = sum(map(Counter.total, bags)) / max(1, len(bags))
+        bags = [pairs(q + a) for q, a in self.parts]
+        if of_all is None:
+            count, mean = len(bags), sum(map(Counter.total, bags)) / max(1, len(bags))
+            df = Counter(t for bag in bags for t in bag)
+        else:
+            count, mean, number = of_all.items, of_all.mean, self.vocabulary
+            df = {t: 1 for bag in bags for t in bag}
+            df.update({(number[a], number[b]): n for (a, b), n in of_all.df.items() if a in number and b in number})
         postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for d, bag in enumerate(bags):
-            impact = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1)
+            impact = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1)
                       / (n + K1 * (1 - B + B * bag.total() / mean)) for t, n in bag.items()}
             own = sum(impact.values())
             for t, x in impact.items():
@@ -221,6 +238,30 @@ class Index:
                         out[self.ids[d]] = found
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct pairs, and a row without words that has the number of all its pairs."""
+    for b in slices(batches):
+        rows: list[tuple] = []
+        for block, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
+            bag = pairs([w for part in question_and_answer(t) for w in part])
+            if bag:
+                rows.append((block, None, None, bag.total()))
+                rows += [(block, *t, 1) for t in bag]
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["block", "a", "b", "n"])
+
+
+def _statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of the items that are looked for, the mean of their pairs, and by block of items
+    how many items of all blocks have a pair, for the pairs of several; all counted by Spark."""
+    found = written(items.select(F.col("block").cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text"))
+                    .mapInArrow(_pairs, "block long, a string, b string, n long"), "item-pairs")
+    n = found.where("a is null").agg(F.count(F.lit(1)), F.avg("n")).first()
+    per_block = found.where("a is not null").groupBy("block", "a", "b").agg(F.sum("n").alias("n"))
+    several = per_block.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
+    return n[0], n[1] or 0.0, written(per_block.select("block", "a", "b").join(several, ["a", "b"]), "item-pair-counts")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap``:
@@ -235,11 +276,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     base = id_and_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double"
     passes = max(1, -(-items.count() // INDEX_ITEMS))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(passes)))
+    shared = _statistics(numbered) if passes > 1 else None
     out = None
     for k in range(passes):
         # an index block is collected and broadcast: INDEX_ITEMS items in the mean, however many there are
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
-        held = spark.sparkContext.broadcast(Index([(r["item_id"], *question_and_answer(r["text"])) for r in block]))
+        block = [(r["item_id"], *question_and_answer(r["text"])) for r in numbered.where(F.col("block") == k).select("item_id", "text").collect()]
+        of_all = None
+        if shared:
+            count, mean, df = shared
+            of_all = Statistics(count, mean, {(r["a"], r["b"]): r["n"] for r in df.where(F.col("block") == k).collect()})
+        held = spark.sparkContext.broadcast(Index(block, of_all))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index, known = held.value, TwoGenerations(400_000)

@@ -65,3 +65,18 @@ def test_items_in_scripts_without_spaces(shipped):
     docs = make(shipped, list(enumerate(inside + question)))
     got = decontaminate.contaminated(docs, shipped.createDataFrame(UNSPACED, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_scores_are_the_same_over_one_index_and_several(shipped, monkeypatch):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(12)]  # few words: pairs that many items have
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, f"{say(r.randrange(4, 20))} own{i} it{i}? {say(4)}") for i in range(60)] + [(7, None), (61, "word")]
+    docs = [(i, f"filler {' '.join(w[:len(w) // 2])} changed {' '.join(w[len(w) // 2:])} filler") for i, t in items if t for w in [t.split()]]
+    df, benchmark = make(shipped, docs), shipped.createDataFrame(items, "item_id long, text string").repartition(3)
+    rows = lambda: sorted(tuple(x) for x in decontaminate.contaminated(df, benchmark).collect())
+    whole = rows()
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 9)
+    several = rows()
+    assert len(whole) >= 55 and [x[:2] for x in several] == [x[:2] for x in whole]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(whole, several) for a, b in zip(x[2:], y[2:]))
