@@ -16,12 +16,13 @@ from riskfabric.llm._common import packed, ship_package, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language go on; those without a letter (null and empty ones, too) go."""
+    """Documents in a language go on; those without a letter (null and empty ones, too) and
+    those of which no labelled language has most letters go."""
     ship_package(spark)
-    labelled = docs.where(F.col("lang").isNotNull()).select("text", "lang")
-    if labelled.limit(1).count() == 0:  # nothing to learn from: only what no model could place goes
+    model = language_id.train(docs.where(F.col("lang").isNotNull()).select("text", "lang"))
+    if not model.languages:  # nothing to learn from: only what no model could place goes
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    lang = language_id.language_of(docs, language_id.train(labelled))
+    lang = language_id.language_of(docs, model)
     return docs.where(lang(F.col("text")) != "und")
 
 

@@ -71,6 +71,8 @@ class Model:
     the symbol begins a phrase; the last symbol is padding and changes nothing."""
 
     def __init__(self, references: dict[str, str]):
+        # text without a letter teaches no language
+        references = {k: t for k, t in references.items() if any(c.isalpha() for c in t)}
         self.languages = sorted(references)
         letters = sorted({c for t in references.values() for x in t.lower() for c in x if c.isalpha()})
         symbol = {c: i + 2 for i, c in enumerate(letters)}
@@ -118,7 +120,7 @@ class Model:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text and language the number of phrases; the texts' lengths in
-        symbols; whether they have a letter."""
+        symbols; their letters, and those of them that no reference has."""
         s, n = self.symbols(texts)
         segments = -(-n // SEGMENT)
         of = np.repeat(np.arange(len(texts)), segments)
@@ -135,10 +137,11 @@ class Model:
                 ended += state >> 30
                 state &= ENDS - 1
             out[:, k] = np.bincount(of, ended, len(texts))
-        letters = np.zeros(len(texts), bool)
+        letters = np.zeros((len(texts), 2))
         if len(s):
             which = np.repeat(np.arange(len(texts)), n)
-            letters = np.bincount(which, s != 0, len(texts)) > 0
+            letters[:, 0] = np.bincount(which, s != 0, len(texts))
+            letters[:, 1] = np.bincount(which, s == OTHER, len(texts))
         return out, n, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -149,20 +152,21 @@ class Model:
             for k in range(0, len(t or ""), PART):
                 parts.append(t[k:k + PART])
                 of.append(i)
-        count, n, letters = np.zeros((len(texts), len(self.tables))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        count, n, letters = np.zeros((len(texts), len(self.tables))), np.zeros(len(texts)), np.zeros((len(texts), 2))
         if parts:
             c, m, has = self.phrases(parts)
             np.add.at(count, of, c)
             np.add.at(n, of, m)
-            np.logical_or.at(letters, of, has)
+            np.add.at(letters, of, has)
         if not self.tables:
             return ["und"] * len(texts), [0.0] * len(texts)
         bits = count * np.array(self.bits) / np.maximum(n, 1)[:, None]
         best = bits.argmin(axis=1)  # a tie goes to the first name in alphabetical order
         gap = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(n, 64)[:, None]
         score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-        return ([self.languages[b] if x else "und" for b, x in zip(best, letters)],
-                [float(v) if x else 0.0 for v, x in zip(score, letters)])
+        placed = (letters[:, 0] > 0) & (2 * letters[:, 1] <= letters[:, 0])
+        return ([self.languages[b] if x else "und" for b, x in zip(best, placed)],
+                [float(v) if x else 0.0 for v, x in zip(score, placed)])
 
 
 def references(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", symbols: int = 32_000,
@@ -192,7 +196,7 @@ def train(labelled: DataFrame, **bounds) -> Model:
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row's whole text.  A null text, or one
-    without a letter, is ``und`` with score 0.  Repeated rows each have a row."""
+    without a letter or of which no reference has most letters, is ``und`` with score 0.  Repeated rows each have a row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
