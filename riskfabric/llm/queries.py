@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_score, ngram_join, quality, token_binary, token_counts, tokenizer_alignment
+from . import byte_bpe, conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, lm_score, ngram_join, personal_data, quality, token_binary, token_counts, tokenizer_alignment
 from ._common import ship_package
 
 
@@ -27,6 +27,8 @@ QUERIES = {name: _registered(fn) for name, fn in {
     "op8_token_binary": token_binary.query,
     "op9_line_dedup": line_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op12_personal_data": personal_data.query,
     "op13_tokenizer_alignment": tokenizer_alignment.query,
 }.items()}
 
