@@ -592,7 +592,7 @@ def a17_equal_width_bins(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("m2_train_models")
 def m2_train_models(spark, sf_dir):
-    models, _, n_train = training.fitted(spark, sf_dir)
+    models, n_train = training.fitted(spark, sf_dir)
     return model.model_summary(spark, models, n_train)
 
 
@@ -668,12 +668,12 @@ def s6_predictions_scan(spark, sf_dir):
 
 @register("s9_metrics_document")
 def s9_metrics_document(spark, sf_dir):
-    _, _, n_train = training.fitted(spark, sf_dir)
+    _, n_train = training.fitted(spark, sf_dir)
     scores = training.heldout_model_scores(spark, sf_dir)
     n_test = training.eval_frame(spark, sf_dir).filter(F.col("is_test")).count()
     op = metrics.operating_point(metrics.pr_curve(scores)).first()
     return sinks.eval_document(metrics.summary(scores), op, n_train, n_test,
-                               "spark.ml GBTClassifier", fixed.TARGET_DISPLAY_NAMES[fixed.PRIMARY_TARGET])
+                               "joint histogram boosting", fixed.TARGET_DISPLAY_NAMES[fixed.PRIMARY_TARGET])
 
 
 @register("s7_eval_artifacts")
@@ -690,7 +690,7 @@ def s7_eval_artifacts(spark, sf_dir):
 
 @register("s10_model_roundtrip")
 def s10_model_roundtrip(spark, sf_dir):
-    _, path, _ = training.fitted(spark, sf_dir)
+    _, path = training.saved(spark, sf_dir)
     loaded = model.load_models(path)
     test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
     return model.score(loaded, test, ["resp_id"])
@@ -735,7 +735,7 @@ def m7_score_checks(spark, sf_dir):
 @register("s10_reload_differences", "SELECT target, CAST(0 AS BIGINT) AS n_different, count(*) AS n_rows FROM heldout GROUP BY target")
 def s10_reload_differences(spark, sf_dir):
     # rows whose score changes when the models are saved and loaded again
-    models, path, _ = training.fitted(spark, sf_dir)
+    models, path = training.saved(spark, sf_dir)
     test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
     both = model.score(models, test, ["resp_id"]).join(
         model.score(model.load_models(path), test, ["resp_id"]).withColumnsRenamed({f"pred_{t}": f"again_{t}" for t in fixed.TARGET_COLUMNS}),
@@ -792,7 +792,7 @@ def s7_reference_artifacts(spark, sf_dir):
 
 @register("m6_shapley_importance")
 def m6_shapley_importance(spark, sf_dir):
-    return training.model_importance(spark, sf_dir, "shapley_sampling")
+    return training.model_importance(spark, sf_dir, "shapley")
 
 
 @register("a15_shapley_importance_summary")

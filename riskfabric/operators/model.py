@@ -1,74 +1,34 @@
-"""Model jobs (M2-M5, M7, S10): one boosted-tree classifier per outcome,
-scoring, held-out evaluation input, permutation importance.
+"""Model jobs (M2-M7, S10): boosted trees for all outcomes, scoring, held-out
+evaluation input, permutation importance and Shapley values.
 
-Features are assembled once into a cached vector frame; the five fits run
-as concurrent Spark jobs from driver threads (each fit is itself a
-distributed MLlib job).  Scoring applies the five tree ensembles as JVM
-expressions in one projection; no Python runs per row.
+A model is a ``forest.Forest``, the node table of all outcomes' trees; fitting
+is in ``boosting``.  Scores of all outcomes come from one pass over the rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+
+from pyspark.ml.feature import Imputer, ImputerModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from . import rank
+from ..sources.sinks import materialised
+from . import boosting, forest, rank
+from .forest import Forest
 
 FEATURES = fixed.FEATURE_COLUMNS
 TARGETS = fixed.TARGET_COLUMNS
 
-
-def assembler(features: list[str] = FEATURES) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+score = forest.score
 
 
 def train_models(train: DataFrame, rounds: int = fixed.GBT_ROUNDS, depth: int = fixed.GBT_DEPTH,
-                 seed: int = fixed.SEED, targets: list[str] = TARGETS,
-                 features: list[str] = FEATURES, parallel: bool = True) -> dict[str, PipelineModel]:
-    """Fit one GBT per outcome (M2), on the partitions that the training table
-    has.  Returns {target: PipelineModel}."""
-    asm = assembler(features)
-    data = (asm.transform(train).select("features", *[F.col(t).cast("double").alias(t) for t in targets])
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-    def fit(target: str) -> tuple[str, PipelineModel]:
-        gbt = GBTClassifier(labelCol=target, featuresCol="features", maxDepth=depth, maxIter=rounds,
-                            seed=seed, cacheNodeIds=False, checkpointInterval=10)
-        return target, PipelineModel(stages=[asm, gbt.fit(data)])
-
-    if parallel:
-        with ThreadPoolExecutor(max_workers=len(targets)) as pool:
-            models = dict(pool.map(fit, targets))
-    else:
-        models = dict(fit(t) for t in targets)
-    data.unpersist()
-    return models
-
-
-def score(models: dict[str, PipelineModel], df: DataFrame, keep: list[str]) -> DataFrame:
-    """Probability of class 1 per outcome for every row (M3): columns
-    ``keep`` + ``pred_<target>``.  One assembler, then each ensemble."""
-    if not models:
-        raise ValueError("no models")
-    first = next(iter(models.values()))
-    out = first.stages[0].transform(df)
-    for target, pm in models.items():
-        gbt: GBTClassificationModel = pm.stages[-1].copy()
-        gbt.setProbabilityCol(f"prob_{target}").setRawPredictionCol(f"raw_{target}") \
-            .setPredictionCol(f"call_{target}")
-        out = gbt.transform(out)
-        out = out.withColumn(f"pred_{target}", vector_to_array(F.col(f"prob_{target}"))[1]).drop(
-            f"prob_{target}", f"raw_{target}", f"call_{target}")
-    return out.select(*keep, *[f"pred_{t}" for t in models])
+                 targets: list[str] = TARGETS, features: list[str] = FEATURES) -> Forest:
+    """Boost all outcomes together (M2): one job per round and tree level."""
+    return boosting.train_forest(train, features, targets, rounds, depth)
 
 
 def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:
@@ -78,24 +38,19 @@ def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:
     return scored.select(*keep, F.explode(F.array(*items)).alias("_s")).select(*keep, "_s.*")
 
 
-def save_models(models: dict[str, PipelineModel], base: str) -> str:
-    """Model persistence (S10): one PipelineModel directory per outcome."""
-    for target, pm in models.items():
-        pm.write().overwrite().save(f"{base.rstrip('/')}/{target}")
-    return base
+def save_models(models: Forest, base: str) -> str:
+    """Model persistence (S10): the node table as Parquet."""
+    return forest.save(models, SparkSession.active(), base)
 
 
-def load_models(base: str, targets: list[str] = TARGETS) -> dict[str, PipelineModel]:
-    return {t: PipelineModel.load(f"{base.rstrip('/')}/{t}") for t in targets}
+def load_models(base: str, targets: list[str] = TARGETS, features: list[str] = FEATURES) -> Forest:
+    return forest.load(SparkSession.active(), base, features, targets)
 
 
-def model_summary(spark, models: dict[str, PipelineModel], n_train: int) -> DataFrame:
-    """One row per fitted model: size and settings."""
-    rows = []
-    for t, pm in models.items():
-        g: GBTClassificationModel = pm.stages[-1]
-        rows.append((t, int(n_train), int(g.getNumTrees), int(g.getMaxDepth()),
-                     int(g.totalNumNodes), float(g.getStepSize())))
+def model_summary(spark, models: Forest, n_train: int) -> DataFrame:
+    """One row per outcome: size and settings (the first tree, an outcome's log odds, isn't counted)."""
+    rows = [(t, int(n_train), models.n_trees - 1, models.depth, int(models.there[i, 1:].sum()), boosting.LEARNING_RATE)
+            for i, t in enumerate(models.targets)]
     return spark.createDataFrame(
         rows, "target string, n_train long, num_trees int, max_depth int, total_nodes int, step_size double")
 
@@ -104,8 +59,8 @@ MEASURED = ["bmi", "spatial_lack_insurance", "spatial_poor_mental_health"]
 
 
 def fit_imputers(train: DataFrame) -> list[ImputerModel]:
-    """Training means of the measured inputs and medians of the coded ones, for
-    requests that lack some (M7)."""
+    """Training means of the measured inputs and medians of the coded ones, for learners that
+    can't take missing values (the forest can)."""
     coded = [c for c in FEATURES if c not in MEASURED]
     data = train.select(*[F.col(c).cast("double").alias(c) for c in FEATURES])
     return [Imputer(inputCols=cols, outputCols=cols, strategy=how).fit(data.select(*cols))
@@ -118,7 +73,7 @@ def fit_imputers(train: DataFrame) -> list[ImputerModel]:
 Scorer = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def gbt_scorer(models: dict[str, PipelineModel]) -> Scorer:
+def gbt_scorer(models: Forest) -> Scorer:
     return lambda df, keep: score(models, df, keep)
 
 
@@ -135,46 +90,50 @@ def permutation_hash(resp_id: str, k: int) -> Column:
     return (r * F.lit(1103515245 + 2 * 48271 * k) + F.lit(12345)) % F.lit(2147483648)
 
 
+def shuffle_terms(k: int, n: int) -> tuple[int, int]:
+    """(a, b) of shuffle k of n rows: position j receives from (a j + b) mod n, which is a
+    permutation as a has no divisor in common with n.  a is the first such number from a start
+    below 2^20 on, so that a j stays a long for some 10^12 rows."""
+    a = (7919 + 104729 * k) % min(n, 1 << 20)
+    while math.gcd(a, n) != 1:
+        a += 1
+    return a, (12345 + 15485863 * k) % n
+
+
 def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fixed.PERMUTATION_REPEATS,
                            features: list[str] = FEATURES, targets: list[str] = TARGETS,
                            id_col: str = "resp_id", method: str = "permutation") -> DataFrame:
     """Mean drop in accuracy (p > 0.5) when one feature's values are
     shuffled among the held-out rows, over ``repeats`` shuffles (M5).
 
-    Shuffle k sends row j (in id order) the values of the row at position
-    j in hash-k order.  Both numberings come from the distributed rank, and
-    the hand-over is one equi-join on (k, position) for all features at
-    once.  Each (row, k) then yields one variant per feature, all scored in
-    bulk.  Columns: feature, target, importance, method."""
+    Rows are numbered once, in id order, and written.  Shuffle k is a bijection of these
+    positions (``shuffle_terms``), so nothing is sorted: a repeat joins the rows with themselves on
+    a computed position, and of each pair come one variant per feature, all scored in bulk.
+    Columns: feature, target, importance, method (no rows where nothing is held out)."""
     base_cols = [id_col, *features, *targets]
-    h = heldout.select(*base_cols)
-    recv = rank.rank_first(h, [id_col], "_r_id", "_n")
-    ks = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_k")
-    exploded = h.select(*base_cols, ks)
-    hash_k = F.lit(None).cast("long")
-    for k in range(repeats):
-        hash_k = F.when(F.col("_k") == k, permutation_hash(id_col, k)).otherwise(hash_k)
-    donors = rank.rank_first(exploded.withColumn("_h", hash_k), ["_k", "_h", id_col], "_r_all", "_n_all")
-    donors = donors.select("_k", (F.col("_r_all") - F.col("_k") * (F.col("_n_all") / repeats).cast("long"))
-                           .alias("_r_id"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    receivers = recv.select(*base_cols, "_r_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_k"))
-    paired = receivers.join(donors, ["_k", "_r_id"])
+    placed = rank.rank_first(heldout.select(*base_cols), [id_col], "_place", "_n")
+    h = materialised(placed.select(*base_cols, (F.col("_place") - 1).alias("_place")), "heldout-rows")
+    base = scorer(h, [id_col, *targets]).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
+        .alias(f"_b_{t}") for t in targets])
+    # the baseline is one row of counts: computed once, used as literals
+    b = base.first()
+    n = int(b["_n"])
+    donors = h.select(F.col("_place").alias("_donor"), *[F.col(f).alias(f"_d_{f}") for f in features])
     variants = [F.struct(F.lit(f).alias("_feature"),
                          *[(F.col(f"_d_{g}") if g == f else F.col(g)).alias(g) for g in features])
                 for f in features]
-    long = paired.select(id_col, "_k", *targets, F.explode(F.array(*variants)).alias("_v")).select(
-        id_col, "_k", *targets, "_v.*")
-    scored = scorer(long, [id_col, "_k", "_feature", *targets])
+    long = None
+    for k in range(repeats):
+        mul, add = shuffle_terms(k, max(n, 1))
+        paired = h.withColumn("_donor", (F.col("_place") * F.lit(mul) + F.lit(add)) % F.lit(max(n, 1))).join(donors, "_donor")
+        part = paired.select(id_col, *targets, F.explode(F.array(*variants)).alias("_v")).select(id_col, *targets, "_v.*")
+        long = part if long is None else long.unionByName(part)
+    scored = scorer(long, [id_col, "_feature", *targets])
     right = [F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
              .alias(f"_c_{t}") for t in targets]
     perm = scored.groupBy("_feature").agg(F.count(F.lit(1)).alias("_rows"), *right)
-    base_scored = scorer(h, [id_col, *targets])
-    base = base_scored.agg(F.count(F.lit(1)).alias("_n"), *[
-        F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
-        .alias(f"_b_{t}") for t in targets])
-    # the baseline is one row of counts: computed once, used as literals
-    b = base.first()
-    n_rows = F.lit(int(b["_n"]))
+    n_rows = F.lit(n)
     items = [F.struct(F.lit(t).alias("target"), F.col(f"_c_{t}").alias("_c"),
                       F.lit(int(b[f"_b_{t}"])).alias("_b"))
              for t in targets]
@@ -186,8 +145,11 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
 
 
 # ---------------------------------------------------------------------------
-# sampled Shapley values (M6, in place of the per-row tree SHAP solver)
+# Shapley values (M6): exact ones of a forest's margins, sampled ones of any scorer's scores
 # ---------------------------------------------------------------------------
+shapley = forest.shapley
+
+
 def _background_pairs(heldout: DataFrame, features: list[str], orderings: int,
                       id_col: str, salt: int) -> DataFrame:
     """Each held-out row paired with one background row per ordering m: row
@@ -247,7 +209,9 @@ def sampled_shapley(heldout: DataFrame, scorer: Scorer, orderings: int = 10,
 
 
 def shapley_importance(phi: DataFrame) -> DataFrame:
-    """Mean absolute contribution per (feature, target) (M6).
-    Columns: feature, target, importance, method, n_orderings."""
-    return phi.groupBy("feature", "target").agg(F.avg(F.abs("phi")).alias("importance"), F.min("n_orderings").alias("n_orderings")) \
-        .withColumn("method", F.lit("shapley_sampling"))
+    """Mean absolute contribution per (feature, target) (M6), of exact values or, where they come
+    from ``n_orderings`` sampled orderings, of estimates.
+    Columns: feature, target, importance, method, and n_orderings of estimates."""
+    sampled = [F.min("n_orderings").alias("n_orderings")] if "n_orderings" in phi.columns else []
+    return phi.groupBy("feature", "target").agg(F.avg(F.abs("phi")).alias("importance"), *sampled) \
+        .withColumn("method", F.lit("shapley_sampling" if sampled else "shapley"))

@@ -8,12 +8,12 @@ always fits again.  Saving and loading models is explicit (S10).
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import lookup, model
+from ..operators.forest import Forest
 from ..session import shared_path
 from ..sources.sinks import materialised
 from . import evaluation, modelling
@@ -46,20 +46,24 @@ def eval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, rounds: int = fixed.GBT_ROUNDS,
-           depth: int = fixed.GBT_DEPTH) -> tuple[dict[str, PipelineModel], str, int]:
-    """(models, saved path, n_train) for this input."""
+           depth: int = fixed.GBT_DEPTH) -> tuple[Forest, int]:
+    """(model, n_train) for this input."""
     def make():
         train = eval_frame(spark, sf_dir).filter(~F.col("is_test"))
-        models = model.train_models(train, rounds=rounds, depth=depth)
-        path = model.save_models(models, shared_path(spark, "models"))
-        return models, path, train.count()
+        return model.train_models(train, rounds=rounds, depth=depth), train.count()
     return _once(spark, ("models", sf_dir, rounds, depth), make)
 
 
+def saved(spark: SparkSession, sf_dir: str) -> tuple[Forest, str]:
+    """(model, the path that it was saved to)."""
+    models, _ = fitted(spark, sf_dir)
+    return models, _once(spark, ("saved", models.key), lambda: model.save_models(models, shared_path(spark, "models")))
+
+
 def scored_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions for every respondent in the modelling frame, training
     rows included and flagged (M3)."""
-    models, _, _ = fitted(spark, sf_dir)
+    models, _ = fitted(spark, sf_dir)
     ev = eval_frame(spark, sf_dir).withColumn("in_train", ~F.col("is_test"))
     return model.score(models, ev, ["resp_id", *fixed.PREDICTION_COLUMNS, "in_train"])
 
@@ -68,26 +72,21 @@ def heldout_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long (resp_id, quartile, target, y, p) on the held-out rows (M4), scored
     once and written: every metric reads the scores again."""
     def make():
-        models, _, _ = fitted(spark, sf_dir)
+        models, _ = fitted(spark, sf_dir)
         test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
         scored = model.score(models, test, ["resp_id", "quartile", *fixed.TARGET_COLUMNS])
         return materialised(model.long_predictions(scored, ["resp_id", "quartile"]), "heldout-scores")
     return _once(spark, ("scores", sf_dir), make)
 
 
-def request_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model scores for every request (M7): lookup, BMI, feature row, missing
-    inputs filled from the training rows, then the five ensembles.
-    ``place_imputed`` flags missing place values, ``inputs_imputed`` counts
-    all inputs that were filled."""
-    models, _, _ = fitted(spark, sf_dir)
-    train = eval_frame(spark, sf_dir).filter(~F.col("is_test"))
-    rows = lookup.feature_rows(requests_plan.resolved_requests(spark, sf_dir))
-    filled = sum((F.col(c).isNull().cast("int") for c in model.FEATURES), F.lit(0))
+def score_requests(models: Forest, resolved: DataFrame) -> DataFrame:
+    """Model scores of resolved requests (M7), a row per request and outcome.  Missing inputs
+    stay missing: each split sends them to the side that it has learned.  ``place_imputed`` flags
+    missing place values, ``inputs_imputed`` counts all inputs that the model had to do without."""
+    rows = lookup.feature_rows(resolved)
+    absent = sum((F.col(c).isNull().cast("int") for c in model.FEATURES), F.lit(0))
     rows = rows.withColumn("place_imputed", F.col("spatial_lack_insurance").isNull()
-                           | F.col("spatial_poor_mental_health").isNull()).withColumn("inputs_imputed", filled)
-    for imputer in model.fit_imputers(train):
-        rows = imputer.transform(rows)
+                           | F.col("spatial_poor_mental_health").isNull()).withColumn("inputs_imputed", absent)
     scored = model.score(models, rows, ["request_id", "place_imputed", "inputs_imputed"])
     items = [F.struct(F.lit(t).alias("target"), F.lit(fixed.TARGET_DISPLAY_NAMES[t]).alias("condition"),
                       F.col(f"pred_{t}").alias("score")) for t in fixed.TARGET_COLUMNS]
@@ -95,16 +94,22 @@ def request_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", "_s.*", F.lit("model").alias("score_kind"), "place_imputed", "inputs_imputed")
 
 
+def request_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model scores of every request: lookup, BMI, feature row, forest."""
+    models, _ = fitted(spark, sf_dir)
+    return score_requests(models, requests_plan.resolved_requests(spark, sf_dir))
+
+
 def model_importance(spark: SparkSession, sf_dir: str, method: str = "permutation") -> DataFrame:
     """Per (feature, target) importance of the fitted models on the held-out
-    rows (M5 permutation or M6 sampled Shapley), written once, since the
+    rows (M5 permutation or M6 Shapley values), written once, since the
     summary tables read it again."""
     def make():
-        models, _, _ = fitted(spark, sf_dir)
+        models, _ = fitted(spark, sf_dir)
         test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
         if method == "permutation":
             imp = model.permutation_importance(test, model.gbt_scorer(models))
         else:
-            imp = model.shapley_importance(model.sampled_shapley(test, model.gbt_scorer(models)))
+            imp = model.shapley_importance(model.shapley(models, test))
         return materialised(imp, "importance")
     return _once(spark, ("importance", sf_dir, method), make)
