@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zipfile
@@ -47,6 +48,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on, and its memory counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_HELD: dict = {}
+
+
+def held(owner: str, key, make):
+    """What an operator keeps in a worker from task to task, made once.  Operators follow each
+    other in the same workers, so what another one has kept goes."""
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+        give_back()
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def worker_mb(spark: SparkSession) -> int:
+    """MB that a task may let an engine of its own hold: an eighth of its share of the
+    executor's heap, which is a part of what the executor has beside it."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
+    mb = int(size[:-1]) * {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1 << 20}[size[-1]] if size[-1] in "kmgt" else int(size) / (1 << 20)
+    slots = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(64, min(400, int(mb / (8 * max(1, slots)))))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of about ``size`` bytes of ``column`` (a
     longer single text is a slice of its own), so that what a task holds
@@ -63,7 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 start, total = i, 0
             total += sizes[i]
         yield batch.slice(start, n - start)
-    pa.default_memory_pool().release_unused()  # a worker lives on and shares its memory with the executor
+    give_back()
 
 
 class TwoGenerations(dict):

@@ -29,13 +29,15 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from ._common import SLICE_BYTES, TwoGenerations, id_and_text, slices
+from ._common import SLICE_BYTES, TwoGenerations, held, id_and_text, slices, worker_mb
 
 #: A step of the recursion rewrites all positions of a word. Words of more bytes than this (long
 #: unbroken runs) are contracted with a heap in the same order instead, which isn't quadratic.
 LONG_WORD = 1000
 #: Words of a text that are worked on at once; longer texts go in several rounds.
 ROUND_WORDS = 1 << 19
+#: Token positions of a recursive query: all steps' rows are held until it ends.
+QUERY_POSITIONS = 1 << 18
 
 _ENCODE = """
 WITH RECURSIVE step(word, pos, tok, nxt, merged, done) AS (
@@ -91,7 +93,7 @@ def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
 class Bpe:
     """The vocabulary's tables in an in-process DuckDB, and the words met so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory_mb: int = 400):
         self.ranks = ranks = load_ranks(path)
         self.pattern, self.careful, self.odd = word_patterns()
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -103,7 +105,9 @@ class Bpe:
                     left.append(a)
                     right.append(b)
                     token.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={
+            "threads": 1, "memory_limit": f"{memory_mb}MB", "allocator_flush_threshold": "16MB",
+            "temp_directory": tempfile.gettempdir()})  # what a task's queries spill, and only its own
         self._table("merges", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()),
                                         "token": pa.array(token, pa.int32())}))
         self._table("vocabulary", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()),
@@ -124,6 +128,9 @@ class Bpe:
         if not words:
             return []
         n = np.fromiter(map(len, words), np.int64, len(words))
+        cut = np.flatnonzero(np.diff(np.cumsum(n) // QUERY_POSITIONS)) + 1
+        if len(cut):
+            return [x for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(words)]) for x in self.contract(words[a:b])]
         ends = np.cumsum(n)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         nxt = np.empty_like(tok)
@@ -215,13 +222,8 @@ class Bpe:
             yield list(range(len(texts))), self.encode([self.cut(t).findall(t) for t in texts])
 
 
-_BPE: dict[str, Bpe] = {}
-
-
-def bpe(path: str) -> Bpe:
-    if path not in _BPE:
-        _BPE[path] = Bpe(path)
-    return _BPE[path]
+def bpe(path: str, memory_mb: int = 400) -> Bpe:
+    return held("byte_bpe", (path, memory_mb), lambda: Bpe(path, memory_mb))
 
 
 def default_ranks() -> str:
@@ -230,10 +232,10 @@ def default_ranks() -> str:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
     """``doc_id, ids`` (array of int) of every row's whole text; null and empty texts have none."""
-    path = ranks or default_ranks()
+    path, mb = ranks or default_ranks(), worker_mb(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
+        coder = bpe(path, mb)
         for b in slices(batches):
             texts = b.column("text").to_pylist()
             got: list[list] = [[] for _ in texts]
@@ -248,10 +250,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """``doc_id, bytes`` from ``doc_id, ids``; an id outside the vocabulary raises."""
-    path = ranks or default_ranks()
+    path, mb = ranks or default_ranks(), worker_mb(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
+        coder = bpe(path, mb)
         top = max(coder.ranks.values())
         for b in batches:
             ids = [np.array(x if x is not None else [], np.int64) for x in b.column("ids").to_pylist()]
@@ -266,10 +268,10 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Encode every whole text, decode the ids again, and return digests, one row
     per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.  Null counts
     as empty (no tokens); repeated rows each have a row; other columns play no part."""
-    path = ranks or default_ranks()
+    path, mb = ranks or default_ranks(), worker_mb(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
+        coder = bpe(path, mb)
         for b in slices(batches):
             texts = b.column("text").to_pylist()
             count = [0] * len(texts)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from ._common import TwoGenerations, chunks, id_and_text, slices, written
+from ._common import TwoGenerations, chunks, held, id_and_text, slices, written
 
 MAGIC = b"TBP1"
 HEAD = struct.Struct("<4sIIQQQ")
@@ -151,15 +151,10 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def word_encoder(path: str) -> WordEncoder:
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held("token_binary", path, lambda: WordEncoder(path))
 
 
 def _images(path: str, end_id: int):

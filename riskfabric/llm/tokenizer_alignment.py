@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from ._common import SLICE_BYTES, TwoGenerations, id_and_text, slices, written
+from ._common import SLICE_BYTES, TwoGenerations, held, id_and_text, slices, written
 
 #: Both neighbours of a cut are no white space (Python's class holds the tokenizers' classes).
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -168,15 +168,10 @@ class Aligner:
         return out
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(path_a: str, path_b: str) -> Aligner:
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path_a, path_b) not in _ALIGNERS:
-        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
-    return _ALIGNERS[path_a, path_b]
+    return held("tokenizer_alignment", (path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 _ALIGNED = "slice long, key string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " \
