@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import TwoGenerations, id_and_text, slices, written
+from ._common import TwoGenerations, give_back, id_and_text, slices, written
 from .components import connected_components
 
 WORDS = 5
@@ -95,9 +95,10 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _segments(fragments: int):
-    """The segments of a slice of documents, all documents of it in one row per fragment:
-    what a row costs beside its n-grams then doesn't grow with the number of fragments
-    times documents.  The first row also has the documents' set signatures."""
+    """The segments of a slice of documents, in one row per fragment: the documents that have
+    n-grams there (ids, places in the slice, numbers of n-grams) and these n-grams, so a row
+    costs no more than a multiple of its n-grams.  The first fragment's row also has the ids
+    and set signatures of all documents of the slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for b in slices(batches, size=2 << 20):
@@ -117,17 +118,19 @@ def _segments(fragments: int):
             flat, doc, frag = flat[order], doc[order], frag[order]
             cuts = np.searchsorted(frag, np.arange(fragments + 1))
             rows = []
+            every = np.array(ids, np.int64)
             signed = np.array([_signature(s) for s in sets], np.int64).tobytes()
             for f in range(fragments):
                 lo, hi = int(cuts[f]), int(cuts[f + 1])
                 if hi > lo or f == 0:
-                    n = np.bincount(doc[lo:hi], minlength=len(ids)).astype(np.int32)
-                    rows.append((f, part << 32 | number, np.array(ids, np.int64).tobytes(), n.tobytes(), flat[lo:hi].tobytes(), signed if f == 0 else None))
+                    here, n = np.unique(doc[lo:hi], return_counts=True)  # n-grams of a fragment lie in the order of documents
+                    rows.append((f, part << 32 | number, every[here].tobytes(), here.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(),
+                                 flat[lo:hi].tobytes(), every.tobytes() if f == 0 else None, signed if f == 0 else None))
             number += 1
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
-                names=["frag", "slice", "docs", "n", "grams", "signed"])
+                names=["frag", "slice", "docs", "pos", "n", "grams", "ids", "signed"])
     return run
 
 
@@ -154,7 +157,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
     if held:
         yield pa.Table.from_batches(held)
     held.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _count_shared(flat: np.ndarray) -> np.ndarray:
@@ -210,18 +213,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ni, ui = size[at[i]:at[i + 1]], u[at[i]:at[i + 1]]
             k = int(ui.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([frag], pa.int32()), t.column("slice").slice(i, 1).combine_chunks(), t.column("docs").slice(i, 1).combine_chunks(),
+                [pa.array([frag], pa.int32()), *[t.column(c).slice(i, 1).combine_chunks() for c in ("slice", "docs", "pos")],
                  pa.array([ni.astype(np.int32).tobytes()], pa.binary()), pa.array([ui.astype(np.int32).tobytes()], pa.binary()),
-                 pa.array([grams[taken:taken + k].tobytes()], pa.binary()), t.column("signed").slice(i, 1).combine_chunks()],
-                names=["frag", "slice", "docs", "n", "u", "grams", "signed"])
+                 pa.array([grams[taken:taken + k].tobytes()], pa.binary()), *[t.column(c).slice(i, 1).combine_chunks() for c in ("ids", "signed")]],
+                names=["frag", "slice", "docs", "pos", "n", "u", "grams", "ids", "signed"])
             taken += k
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of a slice's documents, summed over fragments, and their signatures."""
     for t in _by_key(batches, ["slice"]):
-        docs = np.frombuffer(t.column("docs")[0].as_py(), np.int64)
-        n, u = sum(_ints(t.column("n"), np.int32)).astype(np.int64), sum(_ints(t.column("u"), np.int32)).astype(np.int64)
+        docs = np.frombuffer(next(x for x in t.column("ids").to_pylist() if x is not None), np.int64)
+        n, u = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        for pos, more_n, more_u in zip(*(_ints(t.column(c), np.int32) for c in ("pos", "n", "u"))):
+            n[pos] += more_n  # a fragment has a document once
+            u[pos] += more_u
         x = np.frombuffer(next(x for x in t.column("signed").to_pylist() if x is not None), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [pa.array(docs), pa.array(np.full(len(docs), t.column("slice")[0].as_py())), pa.array(n), pa.array(u),
@@ -240,9 +246,9 @@ def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut_again(fragments: int):
-    """Rows of single documents, cut into the fragments of the second count."""
+    """The wanted documents' rows, cut into the fragments of the second count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _of_documents(batches):
             if not b.num_rows:
                 continue
             flat, n = _items(b.column("grams"))
@@ -365,11 +371,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     cores = 2 * spark.sparkContext.defaultParallelism
     fragments = max(cores if chars > 1 << 20 else 2, -(-chars // (6 * fragment_items)))
-    segments = base.mapInArrow(_segments(fragments), "frag int, slice long, docs binary, n binary, grams binary, signed binary")
+    segments = base.mapInArrow(_segments(fragments), "frag int, slice long, docs binary, pos binary, n binary, grams binary, ids binary, signed binary")
     table = written(segments.repartitionById(fragments, "frag").sortWithinPartitions("frag").mapInArrow(
-        _shared, "frag int, slice long, docs binary, n binary, u binary, grams binary, signed binary"), "ngram-segments")
+        _shared, "frag int, slice long, docs binary, pos binary, n binary, u binary, grams binary, ids binary, signed binary"), "ngram-segments")
 
-    by_slice = table.select("slice", "docs", "n", "u", "signed").repartition("slice").sortWithinPartitions("slice") \
+    by_slice = table.select("slice", "pos", "n", "u", "ids", "signed").repartition("slice").sortWithinPartitions("slice") \
         .mapInArrow(_by_document, "doc_id long, slice long, n long, u long, x1 long, x2 long")
     one = (F.min("x1") == F.max("x1")) & (F.min("x2") == F.max("x2"))  # else rows of one id differ: a set of its own
     stats = by_slice.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.collect_set("slice").alias("slices"),
@@ -386,7 +392,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     items = reps.agg(F.sum("u")).first()[0] or 0
     fragments = max(cores if chars > 1 << 20 else 2, -(-items // fragment_items))
     again = table.select("frag", "slice", "docs", "u", "grams").join(wanted, "slice") \
-        .mapInArrow(_of_documents, "doc_id long, grams binary").mapInArrow(_cut_again(fragments), "frag int, doc_id long, grams binary")
+        .mapInArrow(_cut_again(fragments), "frag int, doc_id long, grams binary")
     table = written(again.repartitionById(fragments, "frag").sortWithinPartitions("frag").mapInArrow(
         _shared_again, "doc_id long, u long, seg binary, df binary"), "ngram-again")
     whole = table.where("u > 0").groupBy("doc_id").agg(F.sum("u").alias("u"), F.collect_list("seg").alias("segs"),
