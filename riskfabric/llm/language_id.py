@@ -145,8 +145,14 @@ class Model:
         return out, n, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and a score for each text.  The score is the posterior that
-        the bits per symbol give, as evidence of 64 symbols at most."""
+        """``place``, but a text of which no reference has most letters is ``und`` with score 0."""
+        lang, score, unknown = self.place(texts)
+        return ([x if u <= 0.5 else "und" for x, u in zip(lang, unknown)], [s if u <= 0.5 else 0.0 for s, u in zip(score, unknown)])
+
+    def place(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """For each text the best learned language (``und`` without a letter), a score, and the
+        share of its letters that no reference has.  The score is the posterior that the bits
+        per symbol give, as evidence of 64 symbols at most."""
         parts, of = [], []
         for i, t in enumerate(texts):
             for k in range(0, len(t or ""), PART):
@@ -159,14 +165,14 @@ class Model:
             np.add.at(n, of, m)
             np.add.at(letters, of, has)
         if not self.tables:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         bits = count * np.array(self.bits) / np.maximum(n, 1)[:, None]
         best = bits.argmin(axis=1)  # a tie goes to the first name in alphabetical order
         gap = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(n, 64)[:, None]
         score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-        placed = (letters[:, 0] > 0) & (2 * letters[:, 1] <= letters[:, 0])
+        placed = letters[:, 0] > 0
         return ([self.languages[b] if x else "und" for b, x in zip(best, placed)],
-                [float(v) if x else 0.0 for v, x in zip(score, placed)])
+                [float(v) if x else 0.0 for v, x in zip(score, placed)], (letters[:, 1] / np.maximum(letters[:, 0], 1)).tolist())
 
 
 def references(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", symbols: int = 32_000,
@@ -195,21 +201,24 @@ def train(labelled: DataFrame, **bounds) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row's whole text.  A null text, or one
-    without a letter or of which no reference has most letters, is ``und`` with score 0.  Repeated rows each have a row."""
+    """``doc_id, lang_pred, score, unknown_letters`` for every row's whole text: the best learned
+    language, and the share of letters that no reference has.  A null text and one without a
+    letter are ``und`` with score 0.  Repeated rows each have a row; other columns play no part."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, size=2 << 20):
-            lang, score = held.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+            lang, score, unknown = held.value.place(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unknown, pa.float64())],
+                names=["doc_id", "lang_pred", "score", "unknown_letters"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, unknown_letters double")
 
 
 def language_of(docs: DataFrame, model: Model):
-    """A function of a text column that gives the language as a column, for filters on ``docs``."""
+    """A function of a text column that gives the language as a column, for filters on ``docs``;
+    ``und`` also where no reference has most of a text's letters."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -230,4 +239,4 @@ def query(spark, sf_dir):
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     model = train(docs.where(~held_out))
     found = identify(docs, model)
-    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "unknown_letters")

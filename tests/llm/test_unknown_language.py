@@ -18,3 +18,14 @@ def test_language_stage_decides_and_needs_a_learned_language(shipped):
     assert kept == {*range(40), 101}
     bare = shipped.createDataFrame([(1, None, "aa"), (2, "", "bb"), (3, "12", "aa"), (4, "some text", None), (5, "7", None)], docs.schema)
     assert [r["doc_id"] for r in corpus_pipeline.languages(shipped, bare, "").collect()] == [4]
+
+
+def test_the_query_names_the_best_language_wherever_there_is_a_letter(shipped):
+    rows = language_rows(40)
+    model = language_id.train(shipped.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["это не тот язык", "漢字", "lo mira тот", "12 34", "", None, "vela"]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(7)] == [False, False, False, True, True, True, False]
+    assert all(got[i]["lang_pred"] in ("aa", "bb") and 0 <= got[i]["score"] <= 1 for i in (0, 1, 2, 6))
+    assert [got[i]["unknown_letters"] for i in (0, 1, 6)] == [1.0, 1.0, 0.0] and 0 < got[2]["unknown_letters"] < 0.5
