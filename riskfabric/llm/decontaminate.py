@@ -10,10 +10,12 @@ question and those of the answer.  The share of the whole item's five-word
 shingles is reported and decides nothing: one word put between question and
 answer breaks four of them.
 
-Passages are windows of twice the longest item, begun every longest item, so
-an item that a document holds lies whole in one of them.  A window whose terms'
-upper bounds together stay below the threshold ends WAND before its first
-pivot; these sums are taken for all windows of a task at once.
+Items are indexed by length class (up to 16 words, up to 32 and so on by powers
+of two).  A class's passages are windows of twice its length, begun every such
+length, so an item that a document holds lies whole in one of them, and what an
+item is compared with depends on the item alone, not on those indexed with it.
+A window whose terms' upper bounds together stay below the threshold ends WAND
+before its first pivot; these sums are taken for all windows of a task at once.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ OVERLAP = 0.8       # of question words and of answer words
 SHINGLE = 5
 BLOCK = 16          # postings of a block of block-max WAND
 INDEX_ITEMS = 20_000  # items of one index; more items make more indexes, each a pass over the documents
+LEAST_CLASS = 16    # words of the first length class
 
 NONE, MANY = -2, -3  # no word, several words
 
@@ -94,22 +97,18 @@ class Statistics:
         self.items, self.mean, self.df = items, mean, df
 
 
-class Index:
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], of_all: Statistics | None = None):
-        items = sorted((i, q, a) for i, q, a in items if len(q) + len(a) >= 2)
-        self.ids = [i for i, _, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        self.parts = [tuple([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in part] for part in (q, a)) for _, q, a in items]
+def length_class(words: int) -> int:
+    return max(LEAST_CLASS, 1 << (words - 1).bit_length())
+
+
+class Postings:
+    """The items of one length class: posting lists with their blocks, and the search."""
+
+    def __init__(self, items: list[tuple[int, tuple[list[int], list[int]]]], bags: list[Counter], length: int,
+                 number: dict[tuple[int, int], int], count: int, mean: float, df):
+        self.ids, self.parts = [i for i, _ in items], [p for _, p in items]
         self.shingles = [shingles(q + a) for q, a in self.parts]
-        self.length = max((len(q) + len(a) for q, a in self.parts), default=1)
-        bags = [pairs(q + a) for q, a in self.parts]
-        if of_all is None:
-            count, mean = len(bags), sum(map(Counter.total, bags)) / max(1, len(bags))
-            df = Counter(t for bag in bags for t in bag)
-        else:
-            count, mean, number = of_all.items, of_all.mean, self.vocabulary
-            df = {t: 1 for bag in bags for t in bag}
-            df.update({(number[a], number[b]): n for (a, b), n in of_all.df.items() if a in number and b in number})
+        self.length = length
         postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for d, bag in enumerate(bags):
             impact = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1)
@@ -118,7 +117,8 @@ class Index:
             for t, x in impact.items():
                 postings[t].append((d, x / own))
         terms = sorted(postings)
-        self.keys = np.array([a * len(self.vocabulary) + b for a, b in terms], np.int64)
+        self.own = np.full(len(number), -1)  # of the index's terms, those of this class
+        self.own[[number[t] for t in terms]] = np.arange(len(terms))
         self.lists = [([d for d, _ in postings[t]], [x for _, x in postings[t]]) for t in terms]
         self.upper = np.array([max(w) for _, w in self.lists])
         # per block of a list: its last item and its highest weight
@@ -180,6 +180,74 @@ class Index:
                     if here[t] < item:
                         advance(t, item)
 
+    def windows(self, codes: np.ndarray, both: np.ndarray, term: np.ndarray, out: dict) -> None:
+        """``both``: places of the pairs that are terms of the index, ``term``: which."""
+        term = self.own[term]
+        both, term = both[term >= 0], term[term >= 0]
+        if not len(both):
+            return
+        bounds = np.concatenate([[0.0], np.cumsum(self.upper[term])])
+        starts = np.arange(0, max(1, len(codes) - self.length), self.length)
+        lo, hi = np.searchsorted(both, starts), np.searchsorted(both, starts + 2 * self.length - 1)
+        for k in np.flatnonzero(bounds[hi] - bounds[lo] >= THRESHOLD - 1e-9).tolist():
+            matches = self.search(sorted(set(term[lo[k]:hi[k]].tolist())), THRESHOLD)
+            if matches:
+                words = codes[starts[k]:starts[k] + 2 * self.length].tolist()
+                grams, counts = {}, Counter(words)
+                for d, score in matches:
+                    q, a = self.parts[d]
+                    mine = self.shingles[d]
+                    n = len(next(iter(mine)))
+                    if n not in grams:
+                        grams[n] = shingles(words, n)
+                    same = len(mine & grams[n]) / len(mine)
+                    found = (score, same, share(q, counts), share(a, counts))
+                    if min(found[2:]) >= OVERLAP and found > out.get(self.ids[d], ()):
+                        out[self.ids[d]] = found
+
+
+class Index:
+    """Items by length class, with one vocabulary.  ``of_all`` has the statistics of all items
+    where these are only some."""
+
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], of_all: Statistics | None = None):
+        items = sorted((i, q, a) for i, q, a in items if len(q) + len(a) >= 2)
+        self.vocabulary: dict[str, int] = {}
+        number = self.vocabulary
+        parts = [tuple([number.setdefault(x, len(number)) for x in part] for part in (q, a)) for _, q, a in items]
+        bags = [pairs(q + a) for q, a in parts]
+        df = Counter(t for bag in bags for t in bag)
+        count, mean = len(bags), sum(map(Counter.total, bags)) / max(1, len(bags))
+        if of_all is not None:
+            count, mean, df = of_all.items, of_all.mean, dict.fromkeys(df, 1)
+            df.update({(number[a], number[b]): n for (a, b), n in of_all.df.items() if a in number and b in number})
+        by: dict[int, list[int]] = defaultdict(list)
+        for i, (q, a) in enumerate(parts):
+            by[length_class(len(q) + len(a))].append(i)
+        terms = sorted({t for bag in bags for t in bag})
+        self.keys = np.array([a * len(number) + b for a, b in terms], np.int64)
+        of = {t: i for i, t in enumerate(terms)}
+        self.classes = [Postings([(items[i][0], parts[i]) for i in own], [bags[i] for i in own], length, of, count, mean, df)
+                        for length, own in sorted(by.items())]
+
+    @property
+    def lists(self) -> list[tuple[list[int], list[float]]]:
+        """All classes' posting lists in a row; items are numbered through the classes, too."""
+        out, first = [], 0
+        for c in self.classes:
+            out += [([d + first for d in docs], weights) for docs, weights in c.lists]
+            first += len(c.ids)
+        return out
+
+    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """Items of all classes whose score for the distinct ``terms`` (numbers of ``lists``) reaches ``threshold``."""
+        out, first, at = [], 0, 0
+        for c in self.classes:
+            own = [t - at for t in terms if at <= t < at + len(c.lists)]
+            out += [(d + first, score) for d, score in c.search(own, threshold)]
+            first, at = first + len(c.ids), at + len(c.lists)
+        return out
+
     def codes(self, words: bytes) -> list[int]:
         """Numbers of the words; -1 for a word that no item has."""
         return [self.vocabulary.get(w, -1) for w in words_of(words.decode())]
@@ -202,40 +270,25 @@ class Index:
     def leaks(self, text: bytes, known: TwoGenerations) -> dict[int, tuple[float, float, float, float]]:
         """Items that the text holds: best score, shingle, question and answer overlap."""
         out: dict[int, tuple] = {}
-        tail = np.empty(0, np.int64)
+        if not self.classes:
+            return out
+        tails = [np.empty(0, np.int64)] * len(self.classes)
         for piece in chunks(text) if len(text) > SLICE_BYTES else [text]:
-            codes = np.concatenate([tail, self.encode(piece, known)])
-            if len(codes) > 1 and len(self.keys):
-                self._windows(codes, out)
-            tail = codes[-2 * self.length:]
+            here = self.encode(piece, known)  # one cut of the text for all classes
+            met = self.pairs(here)
+            for k, postings in enumerate(self.classes):
+                codes = np.concatenate([tails[k], here]) if len(tails[k]) else here
+                postings.windows(codes, *(self.pairs(codes) if len(tails[k]) else met), out)
+                tails[k] = codes[-2 * postings.length:]
         return out
 
-    def _windows(self, codes, out) -> None:
+    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the neighbouring words that are a term, and the terms."""
         both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
         key = codes[both] * len(self.vocabulary) + codes[both + 1]
         term = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[term] == key
-        both, term = both[hit], term[hit]
-        if not len(both):
-            return
-        bounds = np.concatenate([[0.0], np.cumsum(self.upper[term])])
-        starts = np.arange(0, max(1, len(codes) - self.length), self.length)
-        lo, hi = np.searchsorted(both, starts), np.searchsorted(both, starts + 2 * self.length - 1)
-        for k in np.flatnonzero(bounds[hi] - bounds[lo] >= THRESHOLD - 1e-9).tolist():
-            matches = self.search(sorted(set(term[lo[k]:hi[k]].tolist())), THRESHOLD)
-            if matches:
-                words = codes[starts[k]:starts[k] + 2 * self.length].tolist()
-                grams, counts = {}, Counter(words)
-                for d, score in matches:
-                    q, a = self.parts[d]
-                    mine = self.shingles[d]
-                    n = len(next(iter(mine)))
-                    if n not in grams:
-                        grams[n] = shingles(words, n)
-                    same = len(mine & grams[n]) / len(mine)
-                    found = (score, same, share(q, counts), share(a, counts))
-                    if min(found[2:]) >= OVERLAP and found > out.get(self.ids[d], ()):
-                        out[self.ids[d]] = found
+        return both[hit], term[hit]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +333,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     shared = _statistics(numbered) if passes > 1 else None
     out = None
     for k in range(passes):
-        # an index block is collected and broadcast: INDEX_ITEMS items in the mean, however many there are
+        # an index block is collected and broadcast: INDEX_ITEMS items in the mean, however many there are;
+        # no result depends on which items share a block
         block = [(r["item_id"], *question_and_answer(r["text"])) for r in numbered.where(F.col("block") == k).select("item_id", "text").collect()]
         of_all = None
         if shared:
@@ -300,6 +354,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
                     names=["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"])
         part = base.mapInArrow(run, schema)
+        if passes > 1:  # a pass is written before the next index is made, and its own goes
+            part = written(part, "leaks-found")
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 

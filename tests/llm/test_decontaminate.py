@@ -80,3 +80,31 @@ def test_scores_are_the_same_over_one_index_and_several(shipped, monkeypatch):
     several = rows()
     assert len(whole) >= 55 and [x[:2] for x in several] == [x[:2] for x in whole]
     assert all(abs(a - b) < 1e-9 for x, y in zip(whole, several) for a, b in zip(x[2:], y[2:]))
+
+
+def test_a_long_item_beside_short_ones_changes_nothing(shipped, monkeypatch):
+    r = random.Random(21)
+    vocab = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(3, 8))) for _ in range(3_000)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [*items_of(20), (500, f"{say(1500)}? {say(20)}")]
+    short = dict(items)[0].split()
+    quarter = -(-len(short) // 4)
+    pieces = [" ".join(short[k:k + quarter]) for k in range(0, len(short), quarter)]
+    docs = [(1, f"{say(700)} {' '.join(short[:len(short) // 2])} inserted {' '.join(short[len(short) // 2:])} {say(700)}"),
+            (2, f" {say(300)} ".join(pieces)),  # the item's words, far apart
+            (3, f"{say(50)} {items[-1][1]} {say(50)}"), (4, f"{say(400)} {dict(items)[1]} {say(400)}")]
+    df = make(shipped, docs)
+    rows = lambda given: sorted(tuple(x) for x in decontaminate.contaminated(df, shipped.createDataFrame(given, "item_id long, text string")).collect())
+    one = rows(items)
+    assert [x[:2] for x in one] == [(1, 0), (3, 500), (4, 1)]
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 2)
+    several = rows(items)
+    assert [x[:2] for x in several] == [x[:2] for x in one]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(one, several) for a, b in zip(x[2:], y[2:]))
+
+
+def test_items_repeated_with_one_id_are_found_by_each_text(shipped):
+    items = [(1, dict(items_of())[0]), (1, dict(items_of())[1])]
+    docs = make(shipped, [(10, items[0][1]), (11, items[1][1]), (12, "none of them")])
+    got = decontaminate.contaminated(docs, shipped.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(10, 1), (11, 1)]
