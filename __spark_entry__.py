@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracle_queries as OQ  # noqa: E402
 from riskfabric.functions import exprs as X  # noqa: E402
 from riskfabric.functions import fixed  # noqa: E402
-from riskfabric.operators import impute, lookup, metrics, model, places, quality, rank, recode, risk  # noqa: E402
+from riskfabric.operators import forest, impute, lookup, metrics, model, places, quality, rank, recode, risk  # noqa: E402
 from riskfabric.plans import evaluation, modelling  # noqa: E402
 from riskfabric.plans import requests as requests_plan  # noqa: E402
 from riskfabric.plans import training  # noqa: E402
@@ -205,7 +205,7 @@ def p12_listwise_targets(spark, sf_dir):
 
 @register("p13_modelling_frame", "SELECT * FROM model_frame")
 def p13_modelling_frame(spark, sf_dir):
-    return modelling.modelling_frame(spark, sf_dir)
+    return modelling.written_frame(spark, sf_dir)
 
 
 @register("p15_drop_rollup", "SELECT * FROM pc_wide WHERE stateabbr IS NOT NULL AND stateabbr <> 'US'")
@@ -300,13 +300,13 @@ def _heldout_scores(spark, sf_dir):
 @register("w1_disadvantage_quartile", """
 SELECT resp_id, spatial_lack_insurance, quartile, (""" + OQ.QUARTILE_LABEL + """) AS quartile_label FROM ev""")
 def w1_disadvantage_quartile(spark, sf_dir):
-    ev = rank.disadvantage_quartile(modelling.modelling_frame(spark, sf_dir))
+    ev = rank.disadvantage_quartile(modelling.written_frame(spark, sf_dir))
     return ev.select("resp_id", "spatial_lack_insurance", "quartile", "quartile_label")
 
 
 @register("m1_holdout_split", "SELECT resp_id, is_test FROM ev")
 def m1_holdout_split(spark, sf_dir):
-    return modelling.modelling_frame(spark, sf_dir).select(
+    return modelling.written_frame(spark, sf_dir).select(
         "resp_id", evaluation.holdout_flag().alias("is_test"))
 
 
@@ -549,7 +549,7 @@ def j7_prevalence_comparison(spark, sf_dir):
 # map and chart tables
 # ---------------------------------------------------------------------------
 def _reference_predictions(spark, sf_dir):
-    mf = modelling.modelling_frame(spark, sf_dir)
+    mf = modelling.written_frame(spark, sf_dir)
     return mf.select("resp_id", *fixed.PREDICTION_COLUMNS, *[
         evaluation.reference_score(i).alias(f"pred_{t}") for i, t in enumerate(fixed.TARGET_COLUMNS)])
 
@@ -587,8 +587,162 @@ def a17_equal_width_bins(spark, sf_dir):
     return risk.equal_width_bins(modelling.state_table(spark, sf_dir), "spatial_lack_insurance")
 
 
+def _reference_document(spark, sf_dir):
+    scores = _heldout_scores(spark, sf_dir)
+    ev = training.eval_frame(spark, sf_dir)
+    n = ev.agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train")).first()
+    op = metrics.operating_point(metrics.pr_curve(scores)).first()
+    return sinks.eval_document(metrics.summary(scores), op, n["train"], n["test"], "reference_score",
+                               fixed.TARGET_DISPLAY_NAMES[fixed.PRIMARY_TARGET])
+
+
+_MAPS = ("macro_f1", "roc_auc", "pr_auc", "prevalence")
+
+
+@register("s9_reference_document", f"""
+SELECT {OQ.TARGET_DISPLAY} AS condition, f.macro_f1, r.roc_auc, a.pr_auc, p.prevalence,
+  (SELECT count(*) FROM ev WHERE NOT is_test) AS n_train, (SELECT count(*) FROM ev WHERE is_test) AS n_test, 'reference_score' AS model_backend
+FROM ({OQ.SELECTS["a12_macro_f1"]}) f JOIN ({OQ.SELECTS["a13_roc_auc"]}) r USING (target) JOIN ap a USING (target) JOIN prev p USING (target)""")
+def s9_reference_document(spark, sf_dir):
+    # the document's text, read again: a row per condition
+    maps = ", ".join(f"{m}_by_target map<string,double>" for m in _MAPS)
+    doc = _reference_document(spark, sf_dir).select(F.from_json("document", f"model_backend string, n_train long, n_test long, {maps}").alias("d"))
+    first = doc.select("d.*", F.explode(f"d.{_MAPS[0]}_by_target").alias("condition", _MAPS[0]))
+    return first.select("condition", _MAPS[0], *[F.try_element_at(F.col(f"{m}_by_target"), F.col("condition")).alias(m) for m in _MAPS[1:]],
+                        "n_train", "n_test", "model_backend")
+
+
+@register("s7_reference_artifacts", f"""
+SELECT 'eval_metrics' AS artifact, CAST(1 AS BIGINT) AS n_rows
+UNION ALL SELECT 'equity', (SELECT count(*) FROM ({OQ.SELECTS["a10_equity_audit"]}) e)
+UNION ALL SELECT 'importance', (SELECT count(*) FROM perm_imp)
+UNION ALL SELECT 'precision_recall', (SELECT count(*) + 1 FROM pr_pts WHERE target = '{fixed.PRIMARY_TARGET}')""")
+def s7_reference_artifacts(spark, sf_dir):
+    # all four artefacts written and scanned again
+    base = shared_path(spark, "eval")
+    _reference_document(spark, sf_dir).write.mode("overwrite").text(f"{base}/eval_metrics")
+    scores = _heldout_scores(spark, sf_dir)
+    sinks.write_table(metrics.equity_audit(scores), f"{base}/equity")
+    sinks.write_table(metrics.pr_curve(scores).filter(F.col("target") == fixed.PRIMARY_TARGET), f"{base}/precision_recall")
+    sinks.write_table(_reference_importance(spark, sf_dir), f"{base}/importance")
+    found = survey.read_eval_artifacts(spark, base)
+    out = None
+    for name, table in sorted(found.items()):
+        part = table.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("m6_reference_shapley_values", "SELECT * FROM sh_phi")
+def m6_reference_shapley_values(spark, sf_dir):
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    scorer = model.expression_scorer({t: evaluation.reference_score(i)
+                                      for i, t in enumerate(fixed.TARGET_COLUMNS)})
+    return model.sampled_shapley(test, scorer)
+
+
+# permutation importance with the SQL-checkable reference score as the
+# scorer, and the importance tables built on it
+def _reference_importance(spark, sf_dir):
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    scorer = model.expression_scorer({t: evaluation.reference_score(i)
+                                      for i, t in enumerate(fixed.TARGET_COLUMNS)})
+    return model.permutation_importance(test, scorer, method="permutation_reference_score")
+
+
+@register("m5_reference_permutation_importance", OQ.permutation_sql())
+def m5_reference_permutation_importance(spark, sf_dir):
+    return _reference_importance(spark, sf_dir)
+
+
+@register("a15_importance_summary", """
+SELECT feature, method, round_even(avg(importance), 12) AS importance,
+  COALESCE(""" + OQ.FEATURE_DISPLAY + """, feature) AS feature_display
+FROM perm_imp GROUP BY feature, method""")
+def a15_importance_summary(spark, sf_dir):
+    return risk.importance_summary(_reference_importance(spark, sf_dir))
+
+
+@register("a15_importance_by_target", "SELECT feature, " + ", ".join(
+    f"avg(CASE WHEN target = '{t}' THEN importance END) AS {t}" for t in fixed.TARGET_COLUMNS)
+    + ", " + OQ.FEATURE_ORDER + " AS feature_order FROM perm_imp GROUP BY feature")
+def a15_importance_by_target(spark, sf_dir):
+    return risk.importance_by_target(_reference_importance(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# 2.11 model jobs on a stand-in node table (M3, M4, M6, M7, S6, S10): values checked without a fit
+# ---------------------------------------------------------------------------
+def _standin_forest() -> forest.Forest:
+    names = [c.split()[0] for c in forest.SCHEMA.split(", ")]
+    return forest.Forest.of_rows((dict(zip(names, r)) for r in standins.forest_rows()), fixed.FEATURE_COLUMNS, fixed.TARGET_COLUMNS)
+
+
+def _nine(column):
+    return X.round_half_even(F.col(column), 9).alias(column)
+
+
+def _per_target(value: str, prefix: str) -> str:
+    return ", ".join(f"max({value}) FILTER (s.target = '{t}') AS {prefix}_{t}" for t in fixed.TARGET_COLUMNS)
+
+
+@register("m3_node_table_scores", f"""
+SELECT e.resp_id, NOT any_value(e.is_test) AS in_train, {_per_target("s.margin", "margin")}, {_per_target("s.p", "pred")}
+FROM ev e JOIN ev_margins s USING (resp_id) GROUP BY e.resp_id""")
+def m3_node_table_scores(spark, sf_dir):
+    ev = training.eval_frame(spark, sf_dir).withColumn("in_train", ~F.col("is_test"))
+    got = model.score(_standin_forest(), ev, ["resp_id", "in_train"], margins=True)
+    return got.select("resp_id", "in_train", *[f"margin_{t}" for t in fixed.TARGET_COLUMNS], *[_nine(f"pred_{t}") for t in fixed.TARGET_COLUMNS])
+
+
+@register("m4_node_table_scores", "SELECT h.resp_id, h.quartile, h.target, h.y, s.p FROM heldout h JOIN ev_margins s USING (resp_id, target)")
+def m4_node_table_scores(spark, sf_dir):
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    scored = model.score(_standin_forest(), test, ["resp_id", "quartile", *fixed.TARGET_COLUMNS])
+    return model.long_predictions(scored, ["resp_id", "quartile"]).select("resp_id", "quartile", "target", "y", _nine("p"))
+
+
+@register("m6_node_table_shapley", "SELECT * FROM fs_phi")
+def m6_node_table_shapley(spark, sf_dir):
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    # many values are sums of powers of two, which nine digits would halve: rounded a little beside them
+    phi = X.round_half_even(F.col("phi") + F.lit(3e-10), 9) + F.lit(0.0)
+    return model.shapley(_standin_forest(), test).select("resp_id", "feature", "target", phi.alias("phi"))
+
+
+@register("m7_node_table_scores", f"""
+SELECT r.request_id, s.target, {OQ.TARGET_DISPLAY.replace("target", "s.target", 1)} AS condition, s.p AS score, 'model' AS score_kind,
+  r.spatial_lack_insurance IS NULL OR r.spatial_poor_mental_health IS NULL AS place_imputed,
+  CAST(r.spatial_lack_insurance IS NULL AS INTEGER) + CAST(r.spatial_poor_mental_health IS NULL AS INTEGER)
+  + CAST(r.bmi IS NULL AS INTEGER) AS inputs_imputed
+FROM req_rows r JOIN req_margins s USING (request_id)""")
+def m7_node_table_scores(spark, sf_dir):
+    scored = training.score_requests(_standin_forest(), requests_plan.resolved_requests(spark, sf_dir))
+    return scored.withColumn("score", X.round_half_even(F.col("score"), 9))
+
+
+@register("s6_node_table_predictions", f"""
+SELECT e.resp_id, any_value(e.stateabbr) AS stateabbr, {", ".join(f"any_value(e.{c}) AS {c}" for c in fixed.PREDICTION_COLUMNS[1:])}, {_per_target("s.p", "pred")}
+FROM ev e JOIN ev_margins s USING (resp_id) GROUP BY e.resp_id""")
+def s6_node_table_predictions(spark, sf_dir):
+    preds = model.score(_standin_forest(), training.eval_frame(spark, sf_dir), ["resp_id", *fixed.PREDICTION_COLUMNS])
+    path = sinks.write_table(preds, shared_path(spark, "predictions"), partition_by=["stateabbr"])
+    back = survey.read_predictions(spark, path)
+    return back.select("resp_id", *fixed.PREDICTION_COLUMNS, *[_nine(f"pred_{t}") for t in fixed.TARGET_COLUMNS])
+
+
+@register("s10_node_table_reload", f"""
+SELECT e.resp_id, {_per_target("s.margin", "margin")} FROM ev e JOIN ev_margins s USING (resp_id) WHERE e.is_test GROUP BY e.resp_id""")
+def s10_node_table_reload(spark, sf_dir):
+    # saved as a table, loaded again, and held against the table's own scores
+    path = model.save_models(_standin_forest(), shared_path(spark, "nodes"))
+    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
+    got = model.score(model.load_models(path), test, ["resp_id"], margins=True)
+    return got.select("resp_id", *[f"margin_{t}" for t in fixed.TARGET_COLUMNS])
+
+
 # ---------------------------------------------------------------------------
-# 2.11 model jobs (rows-only: a learner's numbers are not SQL)
+# 2.11 model jobs on a fit (a learner's numbers are not SQL); last, since each application fits once
 # ---------------------------------------------------------------------------
 @register("m2_train_models")
 def m2_train_models(spark, sf_dir):
@@ -744,52 +898,6 @@ def s10_reload_differences(spark, sf_dir):
     return both.select(F.inline(F.array(*rows))).groupBy("target").agg(F.count_if("d").alias("n_different"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def _reference_document(spark, sf_dir):
-    scores = _heldout_scores(spark, sf_dir)
-    ev = training.eval_frame(spark, sf_dir)
-    n = ev.agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train")).first()
-    op = metrics.operating_point(metrics.pr_curve(scores)).first()
-    return sinks.eval_document(metrics.summary(scores), op, n["train"], n["test"], "reference_score",
-                               fixed.TARGET_DISPLAY_NAMES[fixed.PRIMARY_TARGET])
-
-
-_MAPS = ("macro_f1", "roc_auc", "pr_auc", "prevalence")
-
-
-@register("s9_reference_document", f"""
-SELECT {OQ.TARGET_DISPLAY} AS condition, f.macro_f1, r.roc_auc, a.pr_auc, p.prevalence,
-  (SELECT count(*) FROM ev WHERE NOT is_test) AS n_train, (SELECT count(*) FROM ev WHERE is_test) AS n_test, 'reference_score' AS model_backend
-FROM ({OQ.SELECTS["a12_macro_f1"]}) f JOIN ({OQ.SELECTS["a13_roc_auc"]}) r USING (target) JOIN ap a USING (target) JOIN prev p USING (target)""")
-def s9_reference_document(spark, sf_dir):
-    # the document's text, read again: a row per condition
-    maps = ", ".join(f"{m}_by_target map<string,double>" for m in _MAPS)
-    doc = _reference_document(spark, sf_dir).select(F.from_json("document", f"model_backend string, n_train long, n_test long, {maps}").alias("d"))
-    first = doc.select("d.*", F.explode(f"d.{_MAPS[0]}_by_target").alias("condition", _MAPS[0]))
-    return first.select("condition", _MAPS[0], *[F.try_element_at(F.col(f"{m}_by_target"), F.col("condition")).alias(m) for m in _MAPS[1:]],
-                        "n_train", "n_test", "model_backend")
-
-
-@register("s7_reference_artifacts", f"""
-SELECT 'eval_metrics' AS artifact, CAST(1 AS BIGINT) AS n_rows
-UNION ALL SELECT 'equity', (SELECT count(*) FROM ({OQ.SELECTS["a10_equity_audit"]}) e)
-UNION ALL SELECT 'importance', (SELECT count(*) FROM perm_imp)
-UNION ALL SELECT 'precision_recall', (SELECT count(*) + 1 FROM pr_pts WHERE target = '{fixed.PRIMARY_TARGET}')""")
-def s7_reference_artifacts(spark, sf_dir):
-    # all four artefacts written and scanned again
-    base = shared_path(spark, "eval")
-    _reference_document(spark, sf_dir).write.mode("overwrite").text(f"{base}/eval_metrics")
-    scores = _heldout_scores(spark, sf_dir)
-    sinks.write_table(metrics.equity_audit(scores), f"{base}/equity")
-    sinks.write_table(metrics.pr_curve(scores).filter(F.col("target") == fixed.PRIMARY_TARGET), f"{base}/precision_recall")
-    sinks.write_table(_reference_importance(spark, sf_dir), f"{base}/importance")
-    found = survey.read_eval_artifacts(spark, base)
-    out = None
-    for name, table in sorted(found.items()):
-        part = table.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @register("m6_shapley_importance")
 def m6_shapley_importance(spark, sf_dir):
     return training.model_importance(spark, sf_dir, "shapley")
@@ -800,43 +908,6 @@ def a15_shapley_importance_summary(spark, sf_dir):
     return risk.importance_summary(m6_shapley_importance(spark, sf_dir))
 
 
-@register("m6_reference_shapley_values")
-def m6_reference_shapley_values(spark, sf_dir):
-    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
-    scorer = model.expression_scorer({t: evaluation.reference_score(i)
-                                      for i, t in enumerate(fixed.TARGET_COLUMNS)})
-    return model.sampled_shapley(test, scorer)
-
-
-# permutation importance with the SQL-checkable reference score as the
-# scorer, and the importance tables built on it
-def _reference_importance(spark, sf_dir):
-    test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
-    scorer = model.expression_scorer({t: evaluation.reference_score(i)
-                                      for i, t in enumerate(fixed.TARGET_COLUMNS)})
-    return model.permutation_importance(test, scorer, method="permutation_reference_score")
-
-
-@register("m5_reference_permutation_importance", OQ.permutation_sql())
-def m5_reference_permutation_importance(spark, sf_dir):
-    return _reference_importance(spark, sf_dir)
-
-
-@register("a15_importance_summary", """
-SELECT feature, method, round_even(avg(importance), 12) AS importance,
-  COALESCE(""" + OQ.FEATURE_DISPLAY + """, feature) AS feature_display
-FROM perm_imp GROUP BY feature, method""")
-def a15_importance_summary(spark, sf_dir):
-    return risk.importance_summary(_reference_importance(spark, sf_dir))
-
-
-@register("a15_importance_by_target", "SELECT feature, " + ", ".join(
-    f"avg(CASE WHEN target = '{t}' THEN importance END) AS {t}" for t in fixed.TARGET_COLUMNS)
-    + ", " + OQ.FEATURE_ORDER + " AS feature_order FROM perm_imp GROUP BY feature")
-def a15_importance_by_target(spark, sf_dir):
-    return risk.importance_by_target(_reference_importance(spark, sf_dir))
-
-
 # Operators for training text: only where their subpackage is there.
 EXTRA_SQL: dict[str, str] = {}
 try:

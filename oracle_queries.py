@@ -278,6 +278,15 @@ def permutation_sql() -> str:
     return "SELECT * FROM perm_imp"
 
 
+def _shuffle_terms(first: int, many: int) -> str:
+    """k, n, a, b of shuffles first..first + many - 1: position j receives from (a j + b) mod n."""
+    return f"""
+SELECT k, n, min(start + i) FILTER (gcd(start + i, n) = 1) AS a, (12345 + 15485863 * (k + {first})) % n AS b FROM (
+  SELECT range AS k, n, (7919 + 104729 * (range + {first})) % least(n, 1048576) AS start
+  FROM range({many}), (SELECT greatest(count(*), 1) AS n FROM perm_h) c) s, (SELECT range AS i FROM range(1000)) r
+GROUP BY k, n"""
+
+
 def _perm_ctes() -> dict:
     feats = ", ".join(FEATURES)
     tg = ", ".join(TARGETS)
@@ -296,14 +305,12 @@ def _perm_ctes() -> dict:
         f"FROM perm_variants v, perm_base b" for t in TARGETS)
     return {
         "perm_h": f"SELECT resp_id, {feats}, {tg} FROM ev WHERE is_test",
-        "perm_recv": "SELECT *, row_number() OVER (ORDER BY resp_id) AS r_id FROM perm_h",
-        "perm_ks": f"SELECT range AS k FROM range({REPEATS})",
-        "perm_donor": f"""
-SELECT k, row_number() OVER (PARTITION BY k ORDER BY ((resp_id % 2147483648) * (1103515245 + 96542 * k) + 12345) % 2147483648, resp_id) AS r_id,
-  {donor_feats} FROM perm_h CROSS JOIN perm_ks""",
+        "perm_recv": "SELECT *, row_number() OVER (ORDER BY resp_id) - 1 AS place FROM perm_h",
+        "perm_terms": _shuffle_terms(0, REPEATS),
+        "perm_donor": f"SELECT place AS donor, {donor_feats} FROM perm_recv",
         "perm_paired": """
-SELECT r.*, d.* EXCLUDE (k, r_id), d.k FROM perm_recv r CROSS JOIN perm_ks ks
-JOIN perm_donor d ON d.k = ks.k AND d.r_id = r.r_id""",
+SELECT r.*, d.* EXCLUDE (donor), t.k FROM perm_recv r CROSS JOIN perm_terms t
+JOIN perm_donor d ON d.donor = (r.place * t.a + t.b) % t.n""",
         "perm_variants": "\nUNION ALL\n".join(variant_sel),
         "perm_base": f"SELECT count(*) AS n, {base} FROM perm_h",
         "perm_imp": unp,
@@ -313,6 +320,114 @@ JOIN perm_donor d ON d.k = ks.k AND d.r_id = r.r_id""",
 CTES.update(_perm_ctes())
 
 
+ORDERINGS = 10
+
+
+def _shapley_ctes() -> dict:
+    """Sampled Shapley values of the reference score: of each ordering, the score with the features up
+    to one switched to the row's own, less the score with those before it."""
+    own = ", ".join(FEATURES)
+    prime = 2147483647
+    hashes = []
+    for j in range(len(FEATURES)):
+        x = f"((resp_id % {prime}) * (69621 + 2 * m) * {2 * j + 1} + {(j + 1) * 1566083941}) % {prime}"
+        x = f"(({x}) * ({x}) + {40692 * (j + 1)}) % {prime}"
+        hashes.append(f"(({x}) * ({x}) + {j}) % {prime} AS h{j}")
+    places = [" + ".join(f"CAST(h{i} < h{j} OR (h{i} = h{j} AND {i} < {j}) AS INTEGER)" for i in range(len(FEATURES))) + f" AS p{j}"
+              for j in range(len(FEATURES))]
+    used = ("age_code", "smoker_code", "income_code", "educa_code", "race_code")
+    parts = []
+    for j, f in enumerate(FEATURES):
+        def state(op, j=j):
+            return {g: f"(CASE WHEN p{FEATURES.index(g)} {op} p{j} THEN {g} ELSE z_{g} END)" for g in used}
+        for i, t in enumerate(TARGETS):
+            gain = f"{_ref_score_cols(i, state('<='))} - {_ref_score_cols(i, state('<'))}"
+            parts.append(f"SELECT resp_id, '{f}' AS feature, '{t}' AS target, sum({gain}) / {ORDERINGS} AS phi, "
+                         f"CAST({ORDERINGS} AS BIGINT) AS n_orderings FROM sh_places GROUP BY resp_id")
+    return {
+        "sh_terms": _shuffle_terms(1000, ORDERINGS),
+        "sh_pairs": f"SELECT r.resp_id, t.k AS m, {', '.join('r.' + f for f in FEATURES)}, {', '.join(f'd.{f} AS z_{f}' for f in FEATURES)} "
+                    "FROM perm_recv r CROSS JOIN sh_terms t JOIN perm_recv d ON d.place = (r.place * t.a + t.b) % t.n",
+        "sh_hashes": f"SELECT *, {', '.join(hashes)} FROM sh_pairs",
+        "sh_places": f"SELECT * , {', '.join(places)} FROM sh_hashes",
+        "sh_phi": "\nUNION ALL\n".join(parts),
+    }
+
+
+CTES.update(_shapley_ctes())
+
+
+# a stand-in model's node table, scored by a recursive walk
+def _value(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else \
+        f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+
+
+_X = "CASE n.feature " + " ".join(f"WHEN '{f}' THEN w.{f}" for f in FEATURES) + " END"
+_GOES_LEFT = f"(CASE WHEN ({_X}) IS NULL THEN n.default_left ELSE ({_X}) <= n.threshold END)"
+
+
+def _walk(source: str, key: str, more: str = "") -> str:
+    """Margins of ``source``'s rows: each goes down every tree from its root."""
+    cols = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
+    kept = ", ".join(f"w.{f}" for f in FEATURES)
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT {key}, {cols}, t.target, t.tree, 0 AS node FROM {source} CROSS JOIN (SELECT DISTINCT target, tree FROM nodes) t
+  UNION ALL
+  SELECT w.{key}, {kept}, w.target, w.tree, CASE WHEN {_GOES_LEFT} THEN n.lft ELSE n.rgt END
+  FROM w JOIN nodes n ON n.target = w.target AND n.tree = w.tree AND n.node = w.node WHERE n.feature IS NOT NULL)
+SELECT w.{key}, w.target, sum(n.value) AS margin, round_even(1.0::DOUBLE / (1.0::DOUBLE + exp(-sum(n.value))), 9) AS p
+FROM w JOIN nodes n ON n.target = w.target AND n.tree = w.tree AND n.node = w.node WHERE n.feature IS NULL GROUP BY ALL"""
+
+
+REQUEST_FEATURES = ", ".join(
+    ("CASE WHEN height_ft * 12 + height_in > 0 THEN 703 * weight_lbs / ((height_ft * 12 + height_in) * (height_ft * 12 + height_in)) END AS bmi"
+     if c == "bmi" else f"CAST({c} AS DOUBLE) AS {c}") for c in FEATURES)
+
+CTES.update({
+    "nodes": "SELECT * FROM (VALUES " + ",\n".join("(" + ", ".join(map(_value, r)) + ")" for r in standins.forest_rows())
+             + ") t(target, tree, node, feature, threshold, default_left, lft, rgt, value, cover)",
+    "ev_margins": _walk("ev", "resp_id"),
+    "req_rows": f"SELECT request_id, {REQUEST_FEATURES} FROM res",
+    "req_margins": _walk("req_rows", "request_id"),
+    # Shapley values: each leaf's path features with the share of rows that their splits let through (z) and
+    # whether the row meets them (o); what a feature adds, by the number of features on the path
+    "leaf_steps": """
+WITH RECURSIVE p AS (
+  SELECT target, tree, 0 AS node, CAST([] AS STRUCT(feature VARCHAR, threshold DOUBLE, default_left BOOLEAN, goes_left BOOLEAN, part DOUBLE)[]) AS steps
+  FROM (SELECT DISTINCT target, tree FROM nodes)
+  UNION ALL
+  SELECT p.target, p.tree, c.node, list_append(p.steps, {'feature': n.feature, 'threshold': n.threshold, 'default_left': n.default_left,
+    'goes_left': c.node = n.lft, 'part': c.cover / n.cover})
+  FROM p JOIN nodes n ON n.target = p.target AND n.tree = p.tree AND n.node = p.node
+  JOIN nodes c ON c.target = p.target AND c.tree = p.tree AND c.node IN (n.lft, n.rgt))
+SELECT p.target, p.tree, p.node AS leaf, n.value, unnest(p.steps, max_depth := 2)
+FROM p JOIN nodes n ON n.target = p.target AND n.tree = p.tree AND n.node = p.node WHERE n.feature IS NULL""",
+    "fs_rows": f"SELECT resp_id, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)} FROM ev WHERE is_test",
+    "fs_players": f"""
+SELECT w.resp_id, n.target, n.tree, n.leaf, any_value(n.value) AS value, n.feature,
+  CAST(bool_and({_GOES_LEFT} = n.goes_left) AS DOUBLE) AS o, product(n.part) AS z
+FROM fs_rows w CROSS JOIN leaf_steps n GROUP BY w.resp_id, n.target, n.tree, n.leaf, n.feature""",
+    "fs_paths": """
+SELECT resp_id, target, tree, leaf, any_value(value) AS value, list({'feature': feature, 'o': o, 'z': z}) AS l
+FROM fs_players GROUP BY resp_id, target, tree, leaf""",
+    "fs_gains": """
+SELECT resp_id, target, i.feature, value * (i.o - i.z) * CASE len(others)
+    WHEN 0 THEN 1.0::DOUBLE
+    WHEN 1 THEN (others[1].o + others[1].z) / 2
+    ELSE others[1].z * others[2].z / 3 + (others[1].o * others[2].z + others[1].z * others[2].o) / 6 + others[1].o * others[2].o / 3 END AS gain
+FROM (SELECT resp_id, target, value, i, list_filter(l, lambda x: x.feature <> i.feature) AS others
+      FROM (SELECT *, unnest(l) AS i FROM fs_paths) a) b""",
+    "fs_phi": f"""
+SELECT r.resp_id, f.feature, t.target, round_even(coalesce(g.phi, 0.0) + 3e-10::DOUBLE, 9) + 0.0 AS phi
+FROM fs_rows r CROSS JOIN (SELECT unnest([{', '.join(repr(f) for f in FEATURES)}]) AS feature) f
+CROSS JOIN (SELECT DISTINCT target FROM nodes) t
+LEFT JOIN (SELECT resp_id, target, feature, sum(gain) AS phi FROM fs_gains GROUP BY ALL) g
+  ON g.resp_id = r.resp_id AND g.feature = f.feature AND g.target = t.target""",
+})
+
+
 def with_ctes(select: str) -> str:
     body = ",\n".join(f"{name} AS ({sql})" for name, sql in CTES.items())
     return f"WITH {body}\n{select}"

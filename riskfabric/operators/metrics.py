@@ -5,7 +5,7 @@ plus ``quartile`` for the equity audit.  All five outcomes are handled in
 the same jobs (one long table, one shuffle) rather than one pass each.
 The ranking metrics are exact: scores are grouped to (target, p) counts and
 running totals come from :func:`rank.running_totals`, which does not put a
-whole outcome into one task.  Reported values are rounded to 4 decimals
+whole outcome into one task; A13, A14 and W2 share one such pass.  Reported values are rounded to 4 decimals
 half-to-even, as the modelled system's reports are.
 """
 
@@ -66,30 +66,36 @@ def score_counts(scores: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) - F.sum("y")).cast("long").alias("neg"))
 
 
-def roc_auc(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def placed_counts(scores: DataFrame) -> DataFrame:
+    """``score_counts`` with running totals in the order of the score and the outcome's totals:
+    ``target, p, pos, neg, cum_pos, cum_neg`` (up to and including p), ``n_pos, n_neg``.  One
+    pass over score ranges serves all ranking metrics; totals from the top down are differences."""
+    run = running_totals(score_counts(scores), ["target"], "p", ["pos", "neg"])
+    totals = run.groupBy("target").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return run.join(F.broadcast(totals), "target")  # one row per outcome
+
+
+def roc_auc(scores: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """Exact ROC-AUC with ties counted half (A13): the sum over scores of
     positives x (negatives below + half the negatives at the score), over
     P x N.  Null when only one class is present."""
-    counts = counts if counts is not None else score_counts(scores)
-    run = running_totals(counts, ["target"], "p", ["neg"])
+    run = placed if placed is not None else placed_counts(scores)
     below = (F.col("cum_neg") - F.col("neg")).cast("double")
     contrib = F.col("pos").cast("double") * (below + F.col("neg").cast("double") / 2.0)
     agg = run.groupBy("target").agg(F.sum(contrib).alias("_s"),
-                                    F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+                                    F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                  F.col("_s") / (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return agg.select("target", "n_pos", "n_neg", _r4(auc).alias("roc_auc"))
 
 
-def pr_points(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def pr_points(scores: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """Precision and recall at every distinct score used as threshold
     (p >= t called positive), from the top down.  Recall is 1 when there
     are no positives."""
-    counts = counts if counts is not None else score_counts(scores)
-    run = running_totals(counts, ["target"], "p", ["pos", "neg"], descending=True)
-    totals = counts.groupBy("target").agg(F.sum("pos").alias("n_pos"))
-    # one row per outcome
-    run = run.join(F.broadcast(totals), "target")
+    run = placed if placed is not None else placed_counts(scores)
+    run = run.select("target", "p", "pos", "n_pos", (F.col("n_pos") - F.col("cum_pos") + F.col("pos")).alias("cum_pos"),
+                     (F.col("n_neg") - F.col("cum_neg") + F.col("neg")).alias("cum_neg"))
     precision = F.col("cum_pos").cast("double") / (F.col("cum_pos") + F.col("cum_neg")).cast("double")
     recall = F.when(F.col("n_pos") > 0,
                     F.col("cum_pos").cast("double") / F.col("n_pos").cast("double")).otherwise(F.lit(1.0))
@@ -97,22 +103,23 @@ def pr_points(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
                       precision.alias("precision"), recall.alias("recall"))
 
 
-def average_precision(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def average_precision(scores: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """PR-AUC as average precision: sum over thresholds of the recall step
     times the precision there (A14).  0 when there are no positives."""
-    pts = pr_points(scores, counts)
+    pts = pr_points(scores, placed)
     term = (F.col("pos") * F.col("cum_pos")).cast("double") / (F.col("cum_pos") + F.col("cum_neg")).cast("double")
     agg = pts.groupBy("target").agg(F.sum(term).alias("_s"), F.max("n_pos").alias("n_pos"))
     ap = F.when(F.col("n_pos") > 0, F.col("_s") / F.col("n_pos").cast("double")).otherwise(F.lit(0.0))
     return agg.select("target", _r4(ap).alias("pr_auc"))
 
 
-def pr_curve(scores: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def pr_curve(scores: DataFrame, placed: DataFrame | None = None) -> DataFrame:
     """The PR curve per outcome as rows, ascending threshold, plus the end
     point (precision 1, recall 0, no threshold) and the baseline rate (W2).
     Columns: target, threshold, precision, recall, baseline, is_end."""
-    pts = pr_points(scores, counts)
-    base = scores.groupBy("target").agg(F.avg("y").alias("baseline"))
+    placed = placed if placed is not None else placed_counts(scores)
+    pts = pr_points(scores, placed)
+    base = placed.groupBy("target").agg((F.max("n_pos").cast("double") / (F.max("n_pos") + F.max("n_neg"))).alias("baseline"))
     curve = pts.select("target", "threshold", "precision", "recall", F.lit(False).alias("is_end"))
     ends = base.select("target", F.lit(None).cast("double").alias("threshold"),
                        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
@@ -166,7 +173,7 @@ def lift(ap: DataFrame, prev: DataFrame) -> DataFrame:
 def summary(scores: DataFrame) -> DataFrame:
     """All per-outcome scalars in one table: prevalence, macro F1, ROC-AUC,
     PR-AUC (the body of the metrics document)."""
-    counts = score_counts(scores)
+    placed = placed_counts(scores)
     return (prevalence(scores).join(macro_f1(scores).drop("n"), "target")
-            .join(roc_auc(scores, counts).select("target", "roc_auc"), "target")
-            .join(average_precision(scores, counts), "target"))
+            .join(roc_auc(scores, placed).select("target", "roc_auc"), "target")
+            .join(average_precision(scores, placed), "target"))

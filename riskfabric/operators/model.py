@@ -83,13 +83,6 @@ def expression_scorer(exprs: dict[str, Column]) -> Scorer:
     return lambda df, keep: df.select(*keep, *[e.alias(f"pred_{t}") for t, e in exprs.items()])
 
 
-def permutation_hash(resp_id: str, k: int) -> Column:
-    """Repeat k's shuffle order: an odd-multiplier affine map of the id
-    mod 2^31 (a different multiplier per repeat)."""
-    r = F.col(resp_id) % F.lit(2147483648)
-    return (r * F.lit(1103515245 + 2 * 48271 * k) + F.lit(12345)) % F.lit(2147483648)
-
-
 def shuffle_terms(k: int, n: int) -> tuple[int, int]:
     """(a, b) of shuffle k of n rows: position j receives from (a j + b) mod n, which is a
     permutation as a has no divisor in common with n.  a is the first such number from a start
@@ -111,8 +104,7 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
     a computed position, and of each pair come one variant per feature, all scored in bulk.
     Columns: feature, target, importance, method (no rows where nothing is held out)."""
     base_cols = [id_col, *features, *targets]
-    placed = rank.rank_first(heldout.select(*base_cols), [id_col], "_place", "_n")
-    h = materialised(placed.select(*base_cols, (F.col("_place") - 1).alias("_place")), "heldout-rows")
+    h = _numbered(heldout, base_cols, id_col)
     base = scorer(h, [id_col, *targets]).agg(F.count(F.lit(1)).alias("_n"), *[
         F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
         .alias(f"_b_{t}") for t in targets])
@@ -150,21 +142,34 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
 shapley = forest.shapley
 
 
+def _numbered(df: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    """``columns`` of every row and its 0-based position ``_place`` in id order, written."""
+    placed = rank.rank_first(df.select(*columns), [id_col], "_place", "_n")
+    return materialised(placed.select(*columns, (F.col("_place") - 1).alias("_place")), "numbered-rows")
+
+
 def _background_pairs(heldout: DataFrame, features: list[str], orderings: int,
                       id_col: str, salt: int) -> DataFrame:
-    """Each held-out row paired with one background row per ordering m: row
-    j (id order) gets the row at position j of hash-m order."""
-    h = heldout.select(id_col, *features)
-    recv = rank.rank_first(h, [id_col], "_r_id", "_n").select(
-        id_col, *features, "_r_id", F.explode(F.sequence(F.lit(0), F.lit(orderings - 1))).alias("_m"))
-    hash_m = F.lit(None).cast("long")
+    """Each held-out row paired with one background row per ordering m, which a
+    shuffle of the rows' positions gives (``shuffle_terms``)."""
+    h = _numbered(heldout, [id_col, *features], id_col)
+    n = max(h.count(), 1)
+    donors = h.select(F.col("_place").alias("_donor"), *[F.col(f).alias(f"_z_{f}") for f in features])
+    out = None
     for m in range(orderings):
-        hash_m = F.when(F.col("_m") == m, permutation_hash(id_col, salt + m)).otherwise(hash_m)
-    ex = h.select(*features, id_col, F.explode(F.sequence(F.lit(0), F.lit(orderings - 1))).alias("_m"))
-    donors = rank.rank_first(ex.withColumn("_h", hash_m), ["_m", "_h", id_col], "_r_all", "_n_all")
-    donors = donors.select("_m", (F.col("_r_all") - F.col("_m") * (F.col("_n_all") / orderings).cast("long"))
-                           .alias("_r_id"), *[F.col(f).alias(f"_z_{f}") for f in features])
-    return recv.join(donors, ["_m", "_r_id"]).drop("_r_id")
+        mul, add = shuffle_terms(salt + m, n)
+        part = h.withColumn("_donor", (F.col("_place") * F.lit(mul) + F.lit(add)) % F.lit(n)).join(donors, "_donor") \
+            .withColumn("_m", F.lit(m)).drop("_donor", "_place")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def order_hash(id_col: str, ordering: str, j: int) -> Column:
+    """Where feature ``j`` stands in a row's ordering: squares modulo a prime, the same in any engine."""
+    p = F.lit(2147483647)
+    x = (F.pmod(F.col(id_col), p) * (F.lit(69621) + 2 * F.col(ordering)) * F.lit(2 * j + 1) + F.lit((j + 1) * 1566083941)) % p
+    x = (x * x + F.lit(40692 * (j + 1))) % p
+    return (x * x + F.lit(j)) % p
 
 
 def sampled_shapley(heldout: DataFrame, scorer: Scorer, orderings: int = 10,
@@ -180,8 +185,7 @@ def sampled_shapley(heldout: DataFrame, scorer: Scorer, orderings: int = 10,
     nf = len(features)
     pairs = _background_pairs(heldout, features, orderings, id_col, salt=1000)
     # feature order of (row, m): sort the features by a per-(row, m, j) hash
-    keyed = F.array(*[F.struct(F.xxhash64(F.col(id_col), F.col("_m"), F.lit(j)).alias("h"),
-                               F.lit(j).alias("j")) for j in range(nf)])
+    keyed = F.array(*[F.struct(order_hash(id_col, "_m", j).alias("h"), F.lit(j).alias("j")) for j in range(nf)])
     order = F.transform(F.array_sort(keyed), lambda s: s["j"])
     with_order = pairs.withColumn("_order", order)
     # position of feature j in the order (0-based)

@@ -22,9 +22,15 @@ def holdout_flag(resp_id: str = "resp_id", modulus: int = fixed.TEST_SHARE_MODUL
     return (h % F.lit(modulus)) == 0
 
 
+def with_quartile_and_split(written: DataFrame) -> DataFrame:
+    """A written modelling frame (it is read several times) with ``quartile``, cut before the
+    split as the modelled system does, and ``is_test``."""
+    return rank.disadvantage_quartile(written).withColumn("is_test", holdout_flag())
+
+
 def evaluation_frame(model_df: DataFrame) -> DataFrame:
-    """Quartile cut before the split, as the modelled system does."""
-    return rank.disadvantage_quartile(materialised(model_df, "modelling-frame")).withColumn("is_test", holdout_flag())
+    """``with_quartile_and_split`` of a frame that isn't written yet."""
+    return with_quartile_and_split(materialised(model_df, "modelling-frame"))
 
 
 def reference_score(target_index: int) -> Column:

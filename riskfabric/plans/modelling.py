@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import impute, places, recode
 from ..sources import standins
+from ..sources.sinks import materialised
+from .once import once
 
 
 def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State aggregate from the county-style pull."""
-    return places.state_aggregate(standins.places_county(spark, sf_dir))
+    """State aggregate from the county-style pull: a row per state, written once for all jobs
+    that join it, so the pull is pivoted once."""
+    return once(spark, ("states", sf_dir), lambda: materialised(
+        places.state_aggregate(standins.places_county(spark, sf_dir)), "state-table"))
 
 
 def join_states(cleaned: DataFrame, state_avg: DataFrame) -> DataFrame:
@@ -25,8 +29,10 @@ def join_states(cleaned: DataFrame, state_avg: DataFrame) -> DataFrame:
 
 
 def joined_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = recode.clean_survey(standins.respondents(spark, sf_dir))
-    return join_states(cleaned, state_table(spark, sf_dir))
+    """Cleaned respondents with their state's means, written once: the medians and the frame
+    that they fill both read it."""
+    return once(spark, ("joined", sf_dir), lambda: materialised(
+        join_states(recode.clean_survey(standins.respondents(spark, sf_dir)), state_table(spark, sf_dir)), "joined-frame"))
 
 
 def imputed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +46,11 @@ def modelling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.dropna(subset=fixed.FEATURE_COLUMNS + fixed.TARGET_COLUMNS)
 
 
+def written_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modelling frame, written once: ranks, splits and risk tables read it several times."""
+    return once(spark, ("modelling", sf_dir), lambda: materialised(modelling_frame(spark, sf_dir), "modelling-frame"))
+
+
 def attrition_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows before and after each deletion step from one pass over the
     cleaned rows (A7): outcome listwise deletion, the inner state join, and

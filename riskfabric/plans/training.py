@@ -18,31 +18,14 @@ from ..session import shared_path
 from ..sources.sinks import materialised
 from . import evaluation, modelling
 from . import requests as requests_plan
-
-_MEMO: dict = {}
-
-
-def _once(spark: SparkSession, key: tuple, make):
-    """What ``make`` gives, made once per application; an earlier application's results go."""
-    app = spark.sparkContext.applicationId
-    if _MEMO.get("app") != app:
-        _MEMO.clear()
-        _MEMO["app"] = app
-    if key not in _MEMO:
-        _MEMO[key] = make()
-    return _MEMO[key]
-
-
-def forget() -> None:
-    """Make everything anew from here on (cold measurements, changed inputs)."""
-    _MEMO.clear()
+from .once import forget, once  # noqa: F401
 
 
 def eval_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modelling frame + quartile + held-out flag, written to the shared folder
     because several jobs read it."""
-    return _once(spark, ("frame", sf_dir), lambda: materialised(
-        evaluation.evaluation_frame(modelling.modelling_frame(spark, sf_dir)), "evaluation-frame"))
+    return once(spark, ("frame", sf_dir), lambda: materialised(
+        evaluation.with_quartile_and_split(modelling.written_frame(spark, sf_dir)), "evaluation-frame"))
 
 
 def fitted(spark: SparkSession, sf_dir: str, rounds: int = fixed.GBT_ROUNDS,
@@ -51,13 +34,13 @@ def fitted(spark: SparkSession, sf_dir: str, rounds: int = fixed.GBT_ROUNDS,
     def make():
         train = eval_frame(spark, sf_dir).filter(~F.col("is_test"))
         return model.train_models(train, rounds=rounds, depth=depth), train.count()
-    return _once(spark, ("models", sf_dir, rounds, depth), make)
+    return once(spark, ("models", sf_dir, rounds, depth), make)
 
 
 def saved(spark: SparkSession, sf_dir: str) -> tuple[Forest, str]:
     """(model, the path that it was saved to)."""
     models, _ = fitted(spark, sf_dir)
-    return models, _once(spark, ("saved", models.key), lambda: model.save_models(models, shared_path(spark, "models")))
+    return models, once(spark, ("saved", models.key), lambda: model.save_models(models, shared_path(spark, "models")))
 
 
 def scored_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +59,7 @@ def heldout_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         test = eval_frame(spark, sf_dir).filter(F.col("is_test"))
         scored = model.score(models, test, ["resp_id", "quartile", *fixed.TARGET_COLUMNS])
         return materialised(model.long_predictions(scored, ["resp_id", "quartile"]), "heldout-scores")
-    return _once(spark, ("scores", sf_dir), make)
+    return once(spark, ("scores", sf_dir), make)
 
 
 def score_requests(models: Forest, resolved: DataFrame) -> DataFrame:
@@ -112,4 +95,4 @@ def model_importance(spark: SparkSession, sf_dir: str, method: str = "permutatio
         else:
             imp = model.shapley_importance(model.shapley(models, test))
         return materialised(imp, "importance")
-    return _once(spark, ("importance", sf_dir, method), make)
+    return once(spark, ("importance", sf_dir, method), make)

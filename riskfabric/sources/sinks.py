@@ -13,7 +13,11 @@ from ..session import shared_path
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> str:
     """Parquet sink; ``partition_by`` lays files out by key so later reads
-    prune directories (predictions by state)."""
+    prune directories (predictions by state).  Rows are clustered by key first:
+    a key with many rows is cut over several tasks and small keys share one, so
+    files are bounded by size and there are not as many as tasks times keys."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -139,3 +139,37 @@ def crosswalk_sql(source: str = "{part}") -> str:
 def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part", ["p_partkey"])
     return spark.sql(crosswalk_sql(), part=part)
+
+
+# ---------------------------------------------------------------------------
+# a stand-in model: a node table that a rule gives, so that scores can be checked without a fit
+# ---------------------------------------------------------------------------
+FOREST_TREES = 4
+#: A feature's split points: the middle one, and how far the others are from it.
+_SPLIT_AT = {"age_code": (7, 3), "income_code": (4, 2), "educa_code": (3, 1), "race_code": (4, 2), "sex_code": (1, 0),
+             "spatial_lack_insurance": (24, 2), "spatial_poor_mental_health": (23, 2), "bmi": (32, 8), "smoker_code": (2, 1),
+             "physical_activity_code": (1, 0), "heavy_drinking_code": (1, 0)}
+
+
+def forest_rows() -> list[tuple]:
+    """Nodes of four trees of three levels per outcome: (target, tree, node, feature, threshold,
+    default_left, left, right, value, cover).  Values and covers are sums of powers of two, so sums
+    of them are exact in any order."""
+    out = []
+    for t, target in enumerate(fixed.TARGET_COLUMNS):
+        for k in range(1, FOREST_TREES + 1):
+            cover = {0: 64.0}
+            for i in range(15):
+                if i not in cover:
+                    continue
+                value = ((7 * t + 3 * k + 5 * i) % 21 - 10) / 16
+                if i >= 7 or (i == 2 and (t + k) % 3 == 0):
+                    out.append((target, k, i, None, None, None, None, None, value, cover[i]))
+                    continue
+                feature = fixed.FEATURE_COLUMNS[(3 * t + 5 * k + 2 * i) % len(fixed.FEATURE_COLUMNS)]
+                middle, step = _SPLIT_AT[feature]
+                share = (1 + (t + k + i) % 3) / 4
+                cover[2 * i + 1], cover[2 * i + 2] = cover[i] * share, cover[i] * (1 - share)
+                out.append((target, k, i, feature, float(middle + ((t + i) % 3 - 1) * step), (t + k + i) % 2 == 0,
+                            2 * i + 1, 2 * i + 2, value, cover[i]))
+    return out

@@ -153,3 +153,41 @@ def test_fixed_tables_hold_these_entries():
     assert sorted(fixed.NATIONAL_PREVALENCE.values()) == [0.034, 0.07, 0.087, 0.12, 0.173]
     assert fixed.FEATURE_RENAME["_AGEG5YR"] == "age_code" and fixed.FEATURE_RENAME["_RFDRHV9"] == "heavy_drinking_code"
     assert (fixed.MIN_GROUP_N_FOR_MEDIAN, fixed.MIN_EQUITY_GROUP_N, fixed.MIN_MAP_SAMPLE_SIZE, fixed.GBT_ROUNDS, fixed.GBT_DEPTH) == (30, 10, 30, 200, 6)
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, tmp_path):
+    path = str(tmp_path / "survey")
+    spark.range(30_000).selectExpr("CAST(id % 5 AS INT) AS DIABETE4", "repeat('x', 60) AS pad", "CAST(id AS INT) AS _BMI5").repartition(3).write.parquet(path)
+    found, parts = [], set()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            raw = spark.read.parquet(path)
+            parts.add(raw.rdd.getNumPartitions())
+            found.append({r["resp_id"]: r["bmi_x100"] for r in survey.scan_survey(raw).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(parts) == 2 and found[0] == found[1] and sorted(found[0]) == list(range(30_000))
+
+
+def test_predictions_are_clustered_before_they_are_written(spark, tmp_path):
+    df = spark.range(4_000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'CA' ELSE 'S' || CAST(id % 30 AS STRING) END AS stateabbr").repartition(16)
+    path = sinks.write_table(df, str(tmp_path / "p"), partition_by=["stateabbr"])
+    files = [p for p in (tmp_path / "p").rglob("*.parquet")]
+    states = {p.parent.name for p in files}
+    assert len(states) == 11 and len(files) <= 2 * len(states)  # not a file per task and state
+    assert spark.read.parquet(path).count() == 4_000
+
+
+def test_state_choice_asks_the_written_pivot(spark, monkeypatch):
+    pivots = []
+    make = places.materialised
+    monkeypatch.setattr(places, "materialised", lambda df, name: pivots.append(name) or make(df, name))
+    raw = spark.createDataFrame([("21201", "MD", "ACCESS2", "7", 1), ("21201", "MD", "MHLTH", "3", 2)],
+                                "locationid string, stateabbr string, measureid string, data_value string, seq int")
+    resolved = places.resolve_state(places.pivot_places(raw))
+    assert pivots == ["pivoted-places"] and "Aggregate" not in resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert resolved.first()["state_source"] == "response"
