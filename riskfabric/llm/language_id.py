@@ -19,7 +19,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,7 +206,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, size=2 << 20):
+        for b in slices(batches, size=1 << 20):
             lang, score, unknown = held.value.place(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unknown, pa.float64())],
@@ -221,12 +220,13 @@ def language_of(docs: DataFrame, model: Model):
     ``und`` also where no reference has most of a text's letters."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def lang(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def lang(texts: pa.Array) -> pa.Array:
         out: list[str] = []
-        for b in slices([pa.RecordBatch.from_arrays([pa.array(texts.fillna(""), pa.string())], names=["text"])], size=2 << 20):
+        whole = pa.RecordBatch.from_arrays([pa.compute.fill_null(texts, "")], names=["text"])
+        for b in slices([whole], size=1 << 20):
             out += held.value.predict(b.column("text").to_pylist())[0]
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
     return lang
 
 

@@ -152,7 +152,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
     found = written(base.mapInArrow(_entries(min_chars), "h1 long, h2 long, doc_id long, tkey long, pos int"), "lines")
     order = ["h1", "h2", F.desc("doc_id"), "tkey", "pos"]
-    # reliable checkpoint: both passes see the same partitions, and a lost executor can't change them
+    # reliable checkpoint: both passes see the same partitions, and a lost executor can't change them (the
+    # lines were written before, since the ranges are drawn from a pass of their own)
     ordered = found.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
 
     ends = ordered.mapInArrow(_ends, "h1 long, h2 long, first_doc long, last_doc long, n_docs long").collect()
@@ -173,9 +174,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lengths = base.where("doc_id is not null").select(
         "doc_id", "tkey", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines")) \
         .dropDuplicates(["doc_id", "tkey"])
-    return lengths.join(dropped, ["doc_id", "tkey"], "left").select(
-        "doc_id", "tkey", F.col("n_lines").cast("long").alias("n_lines"), "positions") \
-        .mapInArrow(_bitmaps, "doc_id long, tkey long, n_lines long, n_dropped long, keep_bitmap binary")
+    # written: what reads the bitmaps then has one Python worker a task, not two
+    return written(lengths.join(dropped, ["doc_id", "tkey"], "left").select(
+        "doc_id", "tkey", F.col("n_lines").cast("long").alias("n_lines"), "positions")
+        .mapInArrow(_bitmaps, "doc_id long, tkey long, n_lines long, n_dropped long, keep_bitmap binary"), "bitmaps")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

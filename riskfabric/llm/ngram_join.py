@@ -234,44 +234,48 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["doc_id", "slice", "n", "u", "x1", "x2"])
 
 
-def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shared segments of the wanted documents of a slice, one row each."""
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared segments of a slice, its wanted documents' only."""
     for b in batches:
-        for frag, docs, u, grams, wanted in zip(*(b.column(c).to_pylist() for c in ("frag", "docs", "u", "grams", "wanted"))):
+        rows = []
+        for frag, part, docs, u, grams, wanted in zip(*(b.column(c).to_pylist() for c in ("frag", "slice", "docs", "u", "grams", "wanted"))):
             docs, u, flat = np.frombuffer(docs, np.int64), np.frombuffer(u, np.int32).astype(np.int64), np.frombuffer(grams, np.uint64)
             keep = np.isin(docs, np.array(wanted, np.int64)) & (u > 0)
             if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[keep]), _binary(flat[np.repeat(keep, u)], u[keep])], names=["doc_id", "grams"])
-
-
-def _cut_again(fragments: int):
-    """The wanted documents' rows, cut into the fragments of the second count."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _of_documents(batches):
-            if not b.num_rows:
-                continue
-            flat, n = _items(b.column("grams"))
-            row = np.repeat(np.arange(len(n)), n)
-            frag = ((flat >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
-            new = np.append(True, (frag[1:] != frag[:-1]) | (row[1:] != row[:-1]))
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(frag[at]), pa.array(b.column("doc_id").to_numpy()[row[at]]), _binary(flat, np.diff(np.append(at, len(flat))))],
-                names=["frag", "doc_id", "grams"])
-    return run
+                rows.append((frag, part, docs[keep].tobytes(), u[keep].astype(np.int32).tobytes(), flat[np.repeat(keep, u)].tobytes()))
+        if rows:
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
+                                             names=["frag", "slice", "docs", "u", "grams"])
 
 
 def _shared_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document and fragment: the n-grams that other documents have too, with their counts."""
+    """Per slice and fragment: the documents' n-grams that other wanted documents have too, with their counts."""
     for t in _by_key(batches, ["frag"]):
-        parts = [_items(c) for c in t.column("grams").chunks]
-        flat, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        docs, u = _ints(t.column("docs"), np.int64), [x.astype(np.int64) for x in _ints(t.column("u"), np.int32)]
+        flat = np.concatenate([_items(c)[0] for c in t.column("grams").chunks])
         df = _count_shared(flat)
-        u = _sums(df > 0, n)
-        hit = df > 0
-        yield from pa.table({"doc_id": t.column("doc_id").combine_chunks(), "u": pa.array(u), "seg": _binary(flat[hit], u),
-                             "df": _binary(df[hit].astype(np.int64), u)}).to_batches(max_chunksize=20_000)
+        at = 0
+        for i, (who, size) in enumerate(zip(docs, u)):
+            n = int(size.sum())
+            own, own_df, at = flat[at:at + n], df[at:at + n], at + n
+            hit = own_df > 0
+            yield pa.RecordBatch.from_arrays(
+                [t.column("slice").slice(i, 1).combine_chunks(), pa.array([who.tobytes()], pa.binary()),
+                 pa.array([_sums(hit, size).astype(np.int32).tobytes()], pa.binary()), pa.array([own[hit].tobytes()], pa.binary()),
+                 pa.array([own_df[hit].astype(np.int64).tobytes()], pa.binary())], names=["slice", "docs", "u", "grams", "df"])
+
+
+def _again_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a slice, each with its n-grams of all fragments."""
+    for t in _by_key(batches, ["slice"]):
+        who = np.concatenate([np.repeat(d, n) for d, n in zip(_ints(t.column("docs"), np.int64), _ints(t.column("u"), np.int32))])
+        flat, df = (np.concatenate(_ints(t.column(c), k)) for c, k in (("grams", np.uint64), ("df", np.int64)))
+        order = np.argsort(who, kind="stable")
+        ids, n = np.unique(who, return_counts=True)
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), _binary(flat[order], n), _binary(df[order], n)],
+                                             names=["doc_id", "u", "seg", "df"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,12 +393,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                    .select("doc_id", F.col("n").alias("size"), "u", "slices"), "ngram-reps")
 
     wanted = reps.select("doc_id", F.explode("slices").alias("slice")).groupBy("slice").agg(F.collect_list("doc_id").alias("wanted"))
-    items = reps.agg(F.sum("u")).first()[0] or 0
-    fragments = max(cores if chars > 1 << 20 else 2, -(-items // fragment_items))
     again = table.select("frag", "slice", "docs", "u", "grams").join(wanted, "slice") \
-        .mapInArrow(_cut_again(fragments), "frag int, doc_id long, grams binary")
-    table = written(again.repartitionById(fragments, "frag").sortWithinPartitions("frag").mapInArrow(
-        _shared_again, "doc_id long, u long, seg binary, df binary"), "ngram-again")
+        .mapInArrow(_wanted, "frag int, slice long, docs binary, u binary, grams binary") \
+        .repartition("frag").sortWithinPartitions("frag") \
+        .mapInArrow(_shared_again, "slice long, docs binary, u binary, grams binary, df binary")
+    table = written(again.repartition("slice").sortWithinPartitions("slice").mapInArrow(
+        _again_by_document, "doc_id long, u long, seg binary, df binary"), "ngram-again")
     whole = table.where("u > 0").groupBy("doc_id").agg(F.sum("u").alias("u"), F.collect_list("seg").alias("segs"),
                                                        F.collect_list("df").alias("dfs")) \
         .join(reps.select("doc_id", F.col("size").alias("n")), "doc_id").where(alive).select("doc_id", "n", "segs", "dfs")
