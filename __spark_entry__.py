@@ -284,7 +284,7 @@ SELECT imputation_tier AS tier, count(*) AS n_imputed,
        CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM imputed) AS share_of_rows
 FROM imputed WHERE income_code_imputed GROUP BY imputation_tier""")
 def a4_tier_usage(spark, sf_dir):
-    return impute.tier_usage(modelling.imputed_frame(spark, sf_dir))
+    return modelling.tier_usage(spark, sf_dir)
 
 
 # ---------------------------------------------------------------------------
@@ -386,7 +386,7 @@ _REQUIRED = fixed.FEATURE_COLUMNS + fixed.TARGET_COLUMNS
 
 @register("a5_missingness", OQ.missing_rows("imputed", _REQUIRED))
 def a5_missingness(spark, sf_dir):
-    return quality.missingness(modelling.imputed_frame(spark, sf_dir), _REQUIRED)
+    return modelling.missingness(spark, sf_dir)
 
 
 @register("a6_target_missingness_check", OQ.worst_check("clean_all", fixed.TARGET_COLUMNS))
@@ -397,8 +397,7 @@ def a6_target_missingness_check(spark, sf_dir):
 
 @register("a6_feature_missingness_check", OQ.worst_check("imputed", _REQUIRED))
 def a6_feature_missingness_check(spark, sf_dir):
-    rep = quality.missingness(modelling.imputed_frame(spark, sf_dir), _REQUIRED)
-    return quality.worst_column_checks(rep)
+    return quality.worst_column_checks(modelling.missingness(spark, sf_dir))
 
 
 @register("a7_attrition_ledger", """

@@ -72,8 +72,13 @@ def impute_income(df: DataFrame, min_n: int = fixed.MIN_GROUP_N_FOR_MEDIAN,
 def tier_usage(imputed: DataFrame) -> DataFrame:
     """How many rows each tier filled, and the share of all rows (A4).
     One aggregation; the total comes from the (at most four-row) result."""
-    counts = imputed.groupBy(F.col("imputation_tier").alias("tier")).agg(
-        F.count(F.lit(1)).alias("n_imputed"))
+    return tier_shares(imputed.groupBy(F.col("imputation_tier").alias("tier")).agg(
+        F.count(F.lit(1)).alias("n_imputed")))
+
+
+def tier_shares(counts: DataFrame) -> DataFrame:
+    """``tier, n_imputed`` of every tier (null: rows that had an income) -> those that filled
+    rows, with their share of all rows.  Four rows at most."""
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (counts.withColumn("_total", F.sum("n_imputed").over(everything))
             .filter(F.col("tier").isNotNull())

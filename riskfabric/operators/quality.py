@@ -1,12 +1,12 @@
 """Data-quality reports (A5-A7): missingness per column, the worst-column
-rules, and the attrition ledger.  Each is one aggregation pass over the
-table followed by an ``unpivot`` of the one-row result."""
+rules, and the attrition ledger.  Each is made from one row of counts, which
+is an aggregation of the table or was observed while the table was written."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,16 @@ def missingness(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Nulls and percent missing per column, most missing first (A5).
     Columns: column_name, n_missing, pct_missing, n_rows."""
     cols = list(columns)
-    one = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    return missing_report(df.agg(*missing_counts(cols)), cols)
+
+
+def missing_counts(cols: list[str]) -> list[Column]:
+    """The counts that ``missing_report`` reads: rows (``_n``) and nulls per column."""
+    return [F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]]
+
+
+def missing_report(one: DataFrame, cols: list[str]) -> DataFrame:
+    """One row of ``missing_counts`` -> the report's rows."""
     long = one.unpivot("_n", cols, "column_name", "n_missing")
     return long.select(
         "column_name", "n_missing",
