@@ -618,18 +618,42 @@ UNION ALL SELECT 'importance', (SELECT count(*) FROM perm_imp)
 UNION ALL SELECT 'precision_recall', (SELECT count(*) + 1 FROM pr_pts WHERE target = '{fixed.PRIMARY_TARGET}')""")
 def s7_reference_artifacts(spark, sf_dir):
     # all four artefacts written and scanned again
+    found = _scanned_artifacts(spark, sf_dir)
+    out = None
+    for name, table in sorted(found.items()):
+        part = table.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("s7_reference_contents", f"""
+SELECT 'equity' AS artifact, target AS name, "group" AS item, CAST(n AS DOUBLE) AS a, fpr AS b, fnr AS c FROM ({OQ.SELECTS["a10_equity_audit"]}) e
+UNION ALL SELECT 'importance', feature, target, importance, NULL, NULL FROM perm_imp
+UNION ALL SELECT 'precision_recall', target, CASE WHEN is_end THEN 'end' ELSE 'point' END, threshold, precision, recall
+FROM ({OQ.SELECTS["w2_pr_curve"]}) p WHERE target = '{fixed.PRIMARY_TARGET}'""")
+def s7_reference_contents(spark, sf_dir):
+    # the rows of the three tables as they are scanned again (the document's are in s9_reference_document)
+    found = _scanned_artifacts(spark, sf_dir)
+    null = F.lit(None).cast("double")
+    equity = found["equity"].select(F.lit("equity").alias("artifact"), F.col("target").alias("name"), F.col("group").alias("item"),
+                                    F.col("n").cast("double").alias("a"), F.col("fpr").alias("b"), F.col("fnr").alias("c"))
+    importance = found["importance"].select(F.lit("importance").alias("artifact"), F.col("feature").alias("name"), F.col("target").alias("item"),
+                                            F.col("importance").alias("a"), null.alias("b"), null.alias("c"))
+    curve = found["precision_recall"].select(
+        F.lit("precision_recall").alias("artifact"), F.col("target").alias("name"),
+        F.when(F.col("is_end"), F.lit("end")).otherwise(F.lit("point")).alias("item"),
+        F.col("threshold").alias("a"), F.col("precision").alias("b"), F.col("recall").alias("c"))
+    return equity.unionByName(importance).unionByName(curve)
+
+
+def _scanned_artifacts(spark, sf_dir):
     base = shared_path(spark, "eval")
     _reference_document(spark, sf_dir).write.mode("overwrite").text(f"{base}/eval_metrics")
     scores = _heldout_scores(spark, sf_dir)
     sinks.write_table(metrics.equity_audit(scores), f"{base}/equity")
     sinks.write_table(metrics.pr_curve(scores).filter(F.col("target") == fixed.PRIMARY_TARGET), f"{base}/precision_recall")
     sinks.write_table(_reference_importance(spark, sf_dir), f"{base}/importance")
-    found = survey.read_eval_artifacts(spark, base)
-    out = None
-    for name, table in sorted(found.items()):
-        part = table.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return survey.read_eval_artifacts(spark, base)
 
 
 @register("m6_reference_shapley_values", "SELECT * FROM sh_phi")
