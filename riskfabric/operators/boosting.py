@@ -28,8 +28,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from ..sources.sinks import materialised
+from ..session import ensure_checkpoint_dir, shared_path
+from ..sources.sinks import remove, write_table
 from .forest import Forest
 
 LEARNING_RATE, MAX_BINS, MIN_CHILD_ROWS, MIN_CHILD_WEIGHT, MIN_GAIN = 0.1, 254, 20, 1e-3, 1e-9
@@ -194,7 +194,9 @@ def train_forest(train: DataFrame, features: list[str], targets: list[str], roun
     offset = np.concatenate([[0], np.cumsum(missing + 1)]).astype(np.int64)
     cuts = [np.append(e, np.inf) for e in edges]
     wanted = max(math.ceil(n / MAX_PARTITION_ROWS), min(math.ceil(n / PARTITION_ROWS), spark.sparkContext.defaultParallelism))
-    packed = materialised(given.repartition(wanted).mapInArrow(_packed(edges, len(targets)), "n int, data binary"), "training-blocks")
+    path = write_table(given.repartition(wanted).mapInArrow(_packed(edges, len(targets)), "n int, data binary"),
+                       shared_path(spark, "training-blocks"))
+    packed = spark.read.schema("n int, data binary").parquet(path)
 
     share = np.clip(np.array([counts[t] / n for t in targets]), 1e-6, 1 - 1e-6)
     base = np.log(share / (1 - share))
@@ -207,7 +209,7 @@ def train_forest(train: DataFrame, features: list[str], targets: list[str], roun
     blocks = packed.rdd.coalesce(wanted).map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
     out = Forest(features, targets, rounds + 1, depth)
     out.there[:, 0, 0], out.value[:, 0, 0], out.cover[:, 0, 0] = True, base, n
-    nodes = 2 ** (depth + 1) - 1
+    nodes, kept = 2 ** (depth + 1) - 1, None
     for k in range(1, rounds + 1):
         feature, cut = np.full((n_targets, nodes), -1, np.int16), np.zeros((n_targets, nodes), np.int16)
         default_left, value = np.zeros((n_targets, nodes), bool), np.zeros((n_targets, nodes))
@@ -236,6 +238,10 @@ def train_forest(train: DataFrame, features: list[str], targets: list[str], roun
             if older is not None:
                 older.unpersist()
                 older = None
+                if blocks.isCheckpointed():  # nothing reads the blocks of before any more
+                    if kept:
+                        remove(spark, kept)
+                    kept = blocks.getCheckpointFile()
             first = (1 << level) - 1
             if level == 0:
                 out.there[:, k, 0], out.cover[:, k, 0] = True, found["total"][:, 0, 2]
@@ -254,4 +260,7 @@ def train_forest(train: DataFrame, features: list[str], targets: list[str], roun
                 break
         update = _update(trees, levels, missing)
     blocks.unpersist()
+    for scratch in (kept, path):
+        if scratch:
+            remove(spark, scratch)
     return out

@@ -4,7 +4,7 @@ never on a machine-local path."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
@@ -33,6 +33,12 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or checkpoint of ours that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def eval_document(summary: DataFrame, operating_point_row, n_train: int, n_test: int,
                   backend: str, primary_display: str) -> DataFrame:
     """The evaluation document as one JSON row (S9): counts, one map per
