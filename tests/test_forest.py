@@ -160,6 +160,17 @@ def test_partitions_do_not_change_the_fit(spark, monkeypatch):
     assert (one.feature == many.feature).all() and np.allclose(one.value, many.value, atol=1e-9)
 
 
+def test_leaves_are_bounded_by_the_greatest_gains(spark):
+    _, df = table(spark)
+    whole = boosting.train_forest(df, FEATURES, TARGETS, rounds=1, depth=3)
+    small = boosting.train_forest(df, FEATURES, TARGETS, rounds=1, depth=3, max_leaves=3)
+    for t in range(2):
+        assert (small.there[t, 1] & (small.feature[t, 1] < 0)).sum() == 3
+        assert small.feature[t, 1, 0] == whole.feature[t, 1, 0]
+        (split,) = [i for i in (1, 2) if small.feature[t, 1, i] >= 0]  # one of the two nodes of the second level
+        assert small.feature[t, 1, split] == whole.feature[t, 1, split]
+
+
 def test_missing_values_learn_their_side(spark):
     rows = [(i, None if i % 3 == 0 else float(i % 7), int(i % 3 == 0)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, a double, t int")
