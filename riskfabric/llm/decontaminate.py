@@ -322,7 +322,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Null and empty texts hold nothing; items of one word (or one character of a
     script without spaces) are not looked for; items repeated with one id are one item for each text.  Rows
-    repeated each have their rows.  No items, or no documents: no rows.
+    repeated each have their rows; other columns play no part.  No items, or no documents: no rows.
     """
     spark = docs.sparkSession
     items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))

@@ -205,7 +205,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
-    """One row per input row: ``doc_id, n_lines, n_dropped, kept_sha256``."""
+    """One row per input row: ``doc_id, n_lines, n_dropped, kept_sha256``.  A null text is one
+    empty line; a row without an id keeps all lines; other columns play no part."""
     base = id_and_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
     maps = line_bitmaps(docs, id_col, text_col, **rule)
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1

@@ -121,7 +121,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     document count by their majority, 1 on a tie; null ids and labels are
     ignored.  A null host or path is a site of its own.  A null or empty text
     has all statistics 0.  Without labels every text has probability 0.5.
-    Repeated rows each have a row.
+    Repeated rows each have a row and each count for their site.  Other columns play no part.
     """
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),

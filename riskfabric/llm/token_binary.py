@@ -192,7 +192,7 @@ def write_token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Encode every whole text, append ``end_id`` and write the images; returns the
     written table ``part, shard, part_start, n_ids, image``, whose ids follow each
     other by (part, shard).  Null and empty texts have the end id alone; rows
-    without an id come first; rows repeated are each written."""
+    without an id come first; rows repeated are each written; other columns play no part."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     base = id_and_text(docs, id_col, text_col)
     # texts are dealt out before they are encoded: the sampling for the ranges then only scans

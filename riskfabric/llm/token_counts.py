@@ -36,7 +36,8 @@ def rank_encoding(path: str) -> tiktoken.Encoding:
 
 
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens`` of every row; null and empty texts have no tokens."""
+    """``doc_id, n_tokens`` of every row, repeated ones too; null and empty texts have no tokens.
+    Other columns play no part."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
