@@ -22,6 +22,8 @@ WHITE_BYTES = WHITE.encode()
 
 #: Rows of one Arrow batch are worked on in slices of about this many bytes of text.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def text_of(text_col: str) -> Column:
@@ -143,7 +145,8 @@ def chunks(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that the
-    functions of Python stages import there wherever the driver was started."""
+    functions of Python stages import there wherever the driver was started,
+    and bound the Arrow batches of the session."""
     sc = spark.sparkContext
     if getattr(sc, "_package_shipped", None) != sc.applicationId:
         root = Path(__file__).resolve().parents[1]
@@ -152,4 +155,6 @@ def ship_package(spark: SparkSession) -> None:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(str(archive))
+        # texts are long: what a batch holds, in the JVM and in a worker, doesn't follow its number of rows
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         sc._package_shipped = sc.applicationId

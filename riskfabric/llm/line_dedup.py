@@ -180,15 +180,26 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .mapInArrow(_bitmaps, "doc_id long, tkey long, n_lines long, n_dropped long, keep_bitmap binary"), "bitmaps")
 
 
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps as arrays that expressions read."""
+    for b in batches:
+        keep = [read_bitmap(m, n) for m, n in zip(b.column("keep_bitmap").to_pylist(), b.column("n_lines").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(keep, pa.list_(pa.bool_()))],
+                                         names=["doc_id", "tkey", "keep"])
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines gone from its text; all columns and rows stay.
-    Texts that lose nothing, null ones included, stay as they are."""
-    cut = F.udf(keep_lines, "string", useArrow=True)
+    Texts that lose nothing, null ones included, stay as they are.  Only bitmaps pass through
+    Python; texts are cut by expressions."""
+    masks = bitmaps.where("n_dropped > 0").select("doc_id", "tkey", "n_lines", "keep_bitmap") \
+        .mapInArrow(_masks, "doc_id long, tkey long, keep array<boolean>")
     rows = packed(docs).withColumn("doc_id", F.col(f"doc.`{id_col}`").cast("long")) \
         .withColumn("tkey", F.xxhash64(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit(""))))
-    joined = rows.join(bitmaps.where("n_dropped > 0"), ["doc_id", "tkey"], "left")
+    joined = rows.join(masks, ["doc_id", "tkey"], "left")
     text = F.col(f"doc.`{text_col}`")
-    text = F.when(F.col("keep_bitmap").isNull(), text).otherwise(cut(text, F.col("keep_bitmap"), F.col("n_lines")))
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: F.get(F.col("keep"), i))
+    text = F.when(F.col("keep").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
