@@ -63,13 +63,17 @@ def give_back() -> None:
 _HELD: dict = {}
 
 
-def held(owner: str, key, make):
-    """What an operator keeps in a worker from task to task, made once.  Operators follow each
-    other in the same workers, so what another one has kept goes."""
+def enter(owner: str) -> None:
+    """Operators follow each other in the same workers: what another one has kept goes."""
     if _HELD.get("owner") != owner:
         _HELD.clear()
         _HELD["owner"] = owner
         give_back()
+
+
+def held(owner: str, key, make):
+    """What an operator keeps in a worker from task to task, made once."""
+    enter(owner)
     if key not in _HELD:
         _HELD[key] = make()
     return _HELD[key]

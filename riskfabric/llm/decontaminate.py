@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, TwoGenerations, chunks, id_and_text, slices, written
+from ._common import SLICE_BYTES, TwoGenerations, chunks, enter, id_and_text, slices, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6     # share of an item's own score
@@ -343,6 +343,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         held = spark.sparkContext.broadcast(Index(block, of_all))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
             index, known = held.value, TwoGenerations(400_000)
             for b in slices(batches):
                 known.begin()

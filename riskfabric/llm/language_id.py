@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import id_and_text, slices
+from ._common import enter, id_and_text, slices
 
 SEGMENT = 256
 PART = 1 << 20  # characters of a long text that are worked on at once
@@ -206,6 +206,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         for b in slices(batches, size=1 << 20):
             lang, score, unknown = held.value.place(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -222,6 +223,7 @@ def language_of(docs: DataFrame, model: Model):
 
     @F.arrow_udf("string")
     def lang(texts: pa.Array) -> pa.Array:
+        enter("language_id")
         out: list[str] = []
         whole = pa.RecordBatch.from_arrays([pa.compute.fill_null(texts, "")], names=["text"])
         for b in slices([whole], size=1 << 20):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE_BYTES, id_and_text, packed, slices, written
+from ._common import WHITE_BYTES, enter, id_and_text, packed, slices, written
 
 _MASK = (1 << 63) - 1
 
@@ -34,6 +34,7 @@ def line_key(line: bytes) -> bytes:
 
 def _entries(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("line_dedup")
         for b in slices(batches):
             h1, h2, doc, tkey, pos = [], [], [], [], []
             texts = b.column("text").cast(pa.binary()).to_pylist()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import TwoGenerations, give_back, id_and_text, slices, written
+from ._common import TwoGenerations, enter, give_back, id_and_text, slices, written
 from .components import connected_components
 
 WORDS = 5
@@ -100,6 +100,7 @@ def _segments(fragments: int):
     costs no more than a multiple of its n-grams.  The first fragment's row also has the ids
     and set signatures of all documents of the slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram_join")
         part, number = TaskContext.get().partitionId(), 0
         for b in slices(batches, size=2 << 20):
             _WORDS.begin()
