@@ -14,6 +14,7 @@ by position.  Words and texts never leave their task, so nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import itertools
@@ -36,6 +37,8 @@ from ._common import SLICE_BYTES, TwoGenerations, held, id_and_text, slices, wor
 LONG_WORD = 1000
 #: Words of a text that are worked on at once; longer texts go in several rounds.
 ROUND_WORDS = 1 << 19
+#: Bytes of text whose words are held at once.
+WORK_BYTES = 2 << 20
 #: Token positions of a recursive query: all steps' rows are held until it ends.
 QUERY_POSITIONS = 1 << 18
 
@@ -66,10 +69,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
-    """The pre-tokenizer's pattern; the same without the code points that only this engine counts
-    as letters or numbers; and these code points.  The two engines may know different versions of
-    Unicode; texts that hold such code points need the second, slower pattern to be cut alike."""
+@functools.cache
+def word_patterns() -> tuple[str, str]:
+    """The pre-tokenizer's pattern without the code points that only this engine counts as letters
+    or numbers, and a pattern of these code points.  The two engines may know different versions
+    of Unicode; texts that hold such code points need this slower pattern to be cut alike.  The
+    driver finds them for all tasks."""
     odd = ""
     codes = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
     pattern = public_tokenizers.PATTERN
@@ -87,15 +92,16 @@ def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
             without = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
             pattern = pattern.replace(name, f"[{name}--[{without}]]")
             odd += without
-    return regex.compile(public_tokenizers.PATTERN), regex.compile(pattern, regex.V1), re.compile(f"[{odd}]" if odd else r"(?!)")
+    return pattern, f"[{odd}]" if odd else r"(?!)"
 
 
 class Bpe:
     """The vocabulary's tables in an in-process DuckDB, and the words met so far."""
 
-    def __init__(self, path: str, memory_mb: int = 400):
+    def __init__(self, path: str, memory_mb: int = 400, patterns: tuple[str, str] | None = None):
         self.ranks = ranks = load_ranks(path)
-        self.pattern, self.careful, self.odd = word_patterns()
+        careful, odd = patterns or word_patterns()
+        self.pattern, self.careful, self.odd = regex.compile(public_tokenizers.PATTERN), regex.compile(careful, regex.V1), re.compile(odd)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, token = [], [], []
         for word, rank in ranks.items():
@@ -116,7 +122,7 @@ class Bpe:
         self.digits = np.zeros(max(ranks.values()) + 1, f"S{width}")
         for rank in ranks.values():
             self.digits[rank] = b"%d," % rank
-        self.words = TwoGenerations(200_000)
+        self.words = TwoGenerations(120_000)
 
     def _table(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
@@ -222,8 +228,8 @@ class Bpe:
             yield list(range(len(texts))), self.encode([self.cut(t).findall(t) for t in texts])
 
 
-def bpe(path: str, memory_mb: int = 400) -> Bpe:
-    return held("byte_bpe", (path, memory_mb), lambda: Bpe(path, memory_mb))
+def bpe(path: str, memory_mb: int = 400, patterns: tuple[str, str] | None = None) -> Bpe:
+    return held("byte_bpe", (path, memory_mb), lambda: Bpe(path, memory_mb, patterns))
 
 
 def default_ranks() -> str:
@@ -233,10 +239,11 @@ def default_ranks() -> str:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
     """``doc_id, ids`` (array of int) of every row's whole text; null and empty texts have none."""
     path, mb = ranks or default_ranks(), worker_mb(docs.sparkSession)
+    patterns = word_patterns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path, mb)
-        for b in slices(batches):
+        coder = bpe(path, mb, patterns)
+        for b in slices(batches, size=WORK_BYTES):
             texts = b.column("text").to_pylist()
             got: list[list] = [[] for _ in texts]
             for who, ids in coder.rounds(texts):
@@ -251,9 +258,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """``doc_id, bytes`` from ``doc_id, ids``; an id outside the vocabulary raises."""
     path, mb = ranks or default_ranks(), worker_mb(encoded.sparkSession)
+    patterns = word_patterns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path, mb)
+        coder = bpe(path, mb, patterns)
         top = max(coder.ranks.values())
         for b in batches:
             ids = [np.array(x if x is not None else [], np.int64) for x in b.column("ids").to_pylist()]
@@ -269,10 +277,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.  Null counts
     as empty (no tokens); repeated rows each have a row; other columns play no part."""
     path, mb = ranks or default_ranks(), worker_mb(docs.sparkSession)
+    patterns = word_patterns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path, mb)
-        for b in slices(batches):
+        coder = bpe(path, mb, patterns)
+        for b in slices(batches, size=WORK_BYTES):
             texts = b.column("text").to_pylist()
             count = [0] * len(texts)
             of_ids, of_bytes = [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]

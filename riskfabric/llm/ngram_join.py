@@ -102,7 +102,7 @@ def _segments(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("ngram_join")
         part, number = TaskContext.get().partitionId(), 0
-        for b in slices(batches, size=2 << 20):
+        for b in slices(batches, size=3 << 19):
             _WORDS.begin()
             ids, sets = [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
