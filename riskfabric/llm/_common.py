@@ -80,14 +80,14 @@ def held(owner: str, key, make):
 
 
 def worker_mb(spark: SparkSession) -> int:
-    """MB that a task may let an engine of its own hold: an eighth of its share of the
+    """MB that a task may let an engine of its own hold: a sixteenth of its share of the
     executor's heap, which is a part of what the executor has beside it."""
     conf = spark.sparkContext.getConf()
     local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
     size = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
     mb = int(size[:-1]) * {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1 << 20}[size[-1]] if size[-1] in "kmgt" else int(size) / (1 << 20)
     slots = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return max(64, min(400, int(mb / (8 * max(1, slots)))))
+    return max(64, min(400, int(mb / (16 * max(1, slots)))))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

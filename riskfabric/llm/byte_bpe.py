@@ -40,7 +40,7 @@ ROUND_WORDS = 1 << 19
 #: Bytes of text whose words are held at once.
 WORK_BYTES = 2 << 20
 #: Token positions of a recursive query: all steps' rows are held until it ends.
-QUERY_POSITIONS = 1 << 18
+QUERY_POSITIONS = 1 << 17
 
 _ENCODE = """
 WITH RECURSIVE step(word, pos, tok, nxt, merged, done) AS (
