@@ -38,9 +38,9 @@ LONG_WORD = 1000
 #: Words of a text that are worked on at once; longer texts go in several rounds.
 ROUND_WORDS = 1 << 19
 #: Bytes of text whose words are held at once.
-WORK_BYTES = 2 << 20
+WORK_BYTES = SLICE_BYTES
 #: Token positions of a recursive query: all steps' rows are held until it ends.
-QUERY_POSITIONS = 1 << 17
+QUERY_POSITIONS = 1 << 18
 
 _ENCODE = """
 WITH RECURSIVE step(word, pos, tok, nxt, merged, done) AS (
@@ -122,7 +122,7 @@ class Bpe:
         self.digits = np.zeros(max(ranks.values()) + 1, f"S{width}")
         for rank in ranks.values():
             self.digits[rank] = b"%d," % rank
-        self.words = TwoGenerations(120_000)
+        self.words = TwoGenerations(200_000)
 
     def _table(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
