@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from riskfabric.functions import fixed
 from riskfabric.operators import boosting, forest, metrics, model
@@ -231,3 +232,16 @@ def test_auc_on_a_planted_signal(spark):
     long = scored.selectExpr("id", "stack(2, 't', t, pred_t, 'u', u, pred_u) as (target, y, p)")
     auc = {r.target: r.roc_auc for r in metrics.roc_auc(long).collect()}
     assert auc["t"] > 0.7 and auc["u"] > 0.55
+
+
+def test_the_driver_receives_one_array_an_outcome(spark, monkeypatch):
+    received, collect = [], RDD.collect
+
+    def counted(rdd):
+        got = collect(rdd)
+        received.append(len(got))
+        return got
+    monkeypatch.setattr(RDD, "collect", counted)
+    monkeypatch.setattr(boosting, "PARTITION_ROWS", 100)
+    boosting.train_forest(table(spark, 600)[1].repartition(6), FEATURES, TARGETS, rounds=2, depth=3)
+    assert received and max(received) == len(TARGETS)  # however many partitions there are
