@@ -1,14 +1,13 @@
 """Byte-level BPE as recursive DuckDB queries inside Spark tasks.
 
 A task cuts its texts with the pre-tokenizer's pattern and hands every
-distinct word it hasn't met to a recursive query.  The rows of the recursion
-are token positions: a row knows its token, the next one, and the rank that
-the merge table gives the two.  A step takes each word's lowest rank (the
-leftmost, on a tie), puts the merged token in, renumbers the positions behind
-it and looks up the two pairs that changed.  A word without a mergeable pair
-is done and leaves the recursion.  An ordered aggregation then lists a word's
-ids; another one decodes: ids join the vocabulary and their bytes are listed
-by position.  Words and texts never leave their task, so nothing is shuffled.
+distinct word it hasn't met to a recursive query.  A row of the recursion is a
+word: its tokens and the ranks that the merge table gives its pairs.  A step takes each word's
+lowest rank (the leftmost, on a tie), puts the merged token in and looks up
+the two pairs that changed.  A word without a mergeable pair is done and leaves
+the recursion with its ids.  An ordered aggregation decodes: ids join the vocabulary
+and their bytes are listed by position.  Words and texts never leave their
+task, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -32,31 +31,30 @@ from pyspark.sql import DataFrame
 
 from ._common import SLICE_BYTES, TwoGenerations, held, id_and_text, slices, worker_mb
 
-#: A step of the recursion rewrites all positions of a word. Words of more bytes than this (long
+#: A step of the recursion rewrites all tokens of a word. Words of more bytes than this (long
 #: unbroken runs) are contracted with a heap in the same order instead, which isn't quadratic.
 LONG_WORD = 1000
 #: Words of a text that are worked on at once; longer texts go in several rounds.
 ROUND_WORDS = 1 << 19
 #: Bytes of text whose words are held at once.
-WORK_BYTES = SLICE_BYTES
-#: Token positions of a recursive query: all steps' rows are held until it ends.
+WORK_BYTES = SLICE_BYTES // 2
+#: Tokens of a query, at its start: all steps' rows of a recursive query are held until it ends.
 QUERY_POSITIONS = 1 << 18
+#: The rank of a pair that nothing merges.
+NO_MERGE = (1 << 31) - 1
 
-_ENCODE = """
-WITH RECURSIVE step(word, pos, tok, nxt, merged, done) AS (
-  SELECT word, pos, tok, nxt, m.token, false FROM start LEFT JOIN merges m ON m.l = tok AND m.r = nxt
+# Tokens stand between two marks (-1), which no pair merges with, so every pair has neighbours.
+_ENCODE = f"""
+WITH RECURSIVE step(word, toks, ranks, best) AS (
+  SELECT word, toks, ranks, list_min(ranks) FROM start
   UNION ALL
-  (WITH live AS (SELECT * FROM step WHERE NOT done),
-   best AS (SELECT word, min((merged::BIGINT << 32) + pos) AS b FROM live WHERE merged IS NOT NULL GROUP BY word),
-   placed AS (SELECT live.*, (b >> 32)::INTEGER AS new, (b & 4294967295)::INTEGER AS p FROM live LEFT JOIN best USING (word)),
-   changed AS (SELECT word, least(pos, p) AS pos, CASE WHEN pos > p THEN new ELSE tok END AS tok,
-     CASE WHEN pos < p THEN new ELSE nxt END AS nxt FROM placed WHERE pos = p + 1 OR pos = p - 1)
-   SELECT word, pos, tok, nxt, m.token, false FROM changed LEFT JOIN merges m ON m.l = tok AND m.r = nxt
-   UNION ALL
-   SELECT word, CASE WHEN pos > p THEN pos - 1 ELSE pos END, tok, nxt, merged, p IS NULL
-   FROM placed WHERE p IS NULL OR pos < p - 1 OR pos > p + 1)
+  (WITH found AS (SELECT word, toks, ranks, best, list_position(ranks, best) AS p FROM step WHERE best < {NO_MERGE}),
+   placed AS (SELECT word, toks[:p - 1] || [best] || toks[p + 2:] AS toks,
+     ranks[:p - 2] || [coalesce(a.token, {NO_MERGE}), coalesce(b.token, {NO_MERGE})] || ranks[p + 2:] AS ranks
+     FROM found LEFT JOIN merges a ON a.l = toks[p - 1] AND a.r = best LEFT JOIN merges b ON b.l = best AND b.r = toks[p + 2])
+   SELECT word, toks, ranks, list_min(ranks) FROM placed)
 )
-SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+SELECT word, toks AS ids FROM step WHERE best = {NO_MERGE} ORDER BY word
 """
 
 _DECODE = """
@@ -95,6 +93,11 @@ def word_patterns() -> tuple[str, str]:
     return pattern, f"[{odd}]" if odd else r"(?!)"
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The pattern for texts of ASCII alone, in the classes of Python's own, faster engine."""
+    return pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+
+
 class Bpe:
     """The vocabulary's tables in an in-process DuckDB, and the words met so far."""
 
@@ -102,7 +105,9 @@ class Bpe:
         self.ranks = ranks = load_ranks(path)
         careful, odd = patterns or word_patterns()
         self.pattern, self.careful, self.odd = regex.compile(public_tokenizers.PATTERN), regex.compile(careful, regex.V1), re.compile(odd)
+        self.plain = re.compile(ascii_pattern(public_tokenizers.PATTERN), re.ASCII)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.pair = np.array([[ranks.get(bytes([i, j]), NO_MERGE) for j in range(256)] for i in range(256)], np.int32)
         left, right, token = [], [], []
         for word, rank in ranks.items():
             for i in range(1, len(word)):
@@ -137,17 +142,20 @@ class Bpe:
         cut = np.flatnonzero(np.diff(np.cumsum(n) // QUERY_POSITIONS)) + 1
         if len(cut):
             return [x for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(words)]) for x in self.contract(words[a:b])]
-        ends = np.cumsum(n)
-        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        nxt = np.empty_like(tok)
-        nxt[:-1], nxt[ends - 1] = tok[1:], -1
-        pos = np.arange(len(tok)) - np.repeat(ends - n, n)
-        self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), n),
-                                            "pos": pos.astype(np.int32), "tok": tok, "nxt": nxt}))
+        ends = np.cumsum(n + 2)
+        data, inside = np.zeros(ends[-1], np.uint8), np.ones(ends[-1], bool)
+        inside[ends - 1] = inside[ends - n - 2] = False
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        tok = np.where(inside, self.byte[data], -1).astype(np.int32)
+        rank = np.where(inside[:-1] & inside[1:], self.pair[data[:-1], data[1:]], NO_MERGE).astype(np.int32)
+        at = np.concatenate([[0], ends]).astype(np.int32)
+        self.db.register("start", pa.table({
+            "word": np.arange(len(words), dtype=np.int32), "toks": pa.ListArray.from_arrays(at, tok),
+            "ranks": pa.ListArray.from_arrays(at - np.arange(len(at), dtype=np.int32), np.delete(rank, ends[:-1] - 1))}))
         lists = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("start")
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return [flat[a + 1:b - 1] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
     def contract_long(self, word: bytes) -> np.ndarray:
         """The same contractions of one long word from a heap of (rank, position)."""
@@ -193,6 +201,9 @@ class Bpe:
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         """The bytes of lists of ids, by the ordered aggregation."""
         n = np.array([len(x) for x in docs], np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(n) // QUERY_POSITIONS)) + 1
+        if len(cut):
+            return [x for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(docs)]) for x in self.decode(docs[a:b])]
         out = [b""] * len(docs)
         if not n.sum():
             return out
@@ -215,8 +226,10 @@ class Bpe:
         cells = self.digits[ids].view(np.uint8)
         return cells[cells != 0].tobytes()
 
-    def cut(self, text: str) -> regex.Pattern:
-        return self.pattern if text.isascii() or not self.odd.search(text) else self.careful
+    def cut(self, text: str) -> re.Pattern | regex.Pattern:
+        if text.isascii():
+            return self.plain
+        return self.careful if self.odd.search(text) else self.pattern
 
     def rounds(self, texts: list[str]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         """(documents, their ids): short texts together, a long one in several rounds."""

@@ -67,6 +67,35 @@ def test_a_text_in_several_rounds(shipped, reference, monkeypatch):
     assert len(rounds) > 3 and np.concatenate(rounds).tolist() == reference.encode_ordinary(text)
 
 
+def test_ascii_pattern_cuts_as_the_full_one(coder):
+    r = random.Random(3)
+    for _ in range(2000):
+        text = "".join(chr(r.choice([r.randrange(128), *map(ord, " \n\t\x1c'")])) for _ in range(r.randrange(40)))
+        assert coder.cut(text) is coder.plain
+        assert coder.plain.findall(text) == coder.pattern.findall(text)
+
+
+def test_queries_hold_a_bounded_number_of_tokens(shipped, reference, monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh  é,") for _ in range(r.randrange(60))) for _ in range(60)]
+    coder = byte_bpe.Bpe(byte_bpe.default_ranks())
+    sizes, own = [], coder.db
+
+    class Recorded:
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+        def register(self, name, table):
+            sizes.append(len(table.column("toks").combine_chunks().values) if name == "start" else table.num_rows)
+            return own.register(name, table)
+    coder.db = Recorded()
+    monkeypatch.setattr(byte_bpe, "QUERY_POSITIONS", 100)
+    ids = coder.encode([coder.cut(t).findall(t) for t in texts])
+    assert [x.tolist() for x in ids] == [reference.encode_ordinary(t) for t in texts]
+    assert coder.decode(ids) == [t.encode() for t in texts]
+    assert len(sizes) > 6 and max(sizes) <= 300
+
+
 def test_empty_tables(no_docs):
     assert byte_bpe.round_trip(no_docs).count() == 0
     assert token_counts.length_report(token_counts.length_histogram(token_counts.encoded_lengths(no_docs))).count() == 0
