@@ -245,3 +245,54 @@ def test_the_driver_receives_one_array_an_outcome(spark, monkeypatch):
     monkeypatch.setattr(boosting, "PARTITION_ROWS", 100)
     boosting.train_forest(table(spark, 600)[1].repartition(6), FEATURES, TARGETS, rounds=2, depth=3)
     assert received and max(received) == len(TARGETS)  # however many partitions there are
+
+
+def test_rows_are_added_up_and_looked_up_by_joint_codes():
+    r = np.random.default_rng(4)
+    width = np.array([14, 9, 7, 255, 3, 51, 5, 3])
+    groups = forest.joint_features(width)
+    assert sorted(j for g in groups for j in g) == list(range(8)) and len(groups) <= 4
+    assert all(math.prod(int(width[j]) for j in g) <= forest.JOINT_BINS for g in groups)
+    bins = np.stack([r.integers(0, w, 700) for w in width]).astype(np.uint8)
+    y, margin = r.integers(0, 2, (1, 700)).astype(np.uint8), r.normal(size=(1, 700))
+    feature, cut, default_left = np.full((1, 15), -1, np.int16), np.zeros((1, 15), np.int16), np.zeros((1, 15), bool)
+    for i, (j, c, left) in {0: (3, 120, True), 1: (0, 6, False), 2: (5, 49, True), 4: (3, 60, False)}.items():
+        feature[0, i], cut[0, i], default_left[0, i] = j, c, left
+    value = r.normal(size=(1, 15))
+    trees, slots = (feature, cut, default_left, value), np.array([[-1, -1, 0, 1, -1, -1, 2, -1]])
+    offset = np.concatenate([[0], np.cumsum(width)])
+
+    def node(row, level):
+        i = 0
+        for _ in range(level):
+            j = feature[0, i]
+            if j < 0:
+                break
+            b = bins[j, row]
+            i = 2 * i + (1 if (default_left[0, i] if b == width[j] - 1 else b <= cut[0, i]) else 2)
+        return i
+    codes = boosting.joint_codes(bins, groups, width)
+    block = codes, y, margin
+    got = dict(boosting._histograms(trees, 3, slots, offset, groups)(5, [block, block]))
+    p = 1 / (1 + np.exp(-margin[0]))
+    want = np.zeros((3, 3, offset[-1]))
+    for row in range(700):
+        i = node(row, 3)
+        s = slots[0, i - 7] if i >= 7 else -1
+        for j in range(8):
+            if s >= 0:
+                want[:, s, offset[j] + bins[j, row]] += 2 * np.array([y[0, row] - p[row], p[row] * (1 - p[row]), 1])
+    assert got[0][0] == 5 and want[2].any() and np.allclose(got[0][1], want, atol=1e-9)
+    (_, _, after), = boosting._update(trees, 3, groups, width)([block])
+    assert np.allclose(after[0], margin[0] + [value[0, node(row, 3)] for row in range(700)])
+
+
+def test_scores_take_one_table_a_group():
+    f = grown(7, trees=3, depth=4)
+    work = forest.Compiled(f)
+    assert len(work.masks) == len(work.groups) < len(f.features)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(forest, "joint_features", lambda width: [[j] for j in range(len(width))])
+        alone = forest.Compiled(f)
+    x = some_rows(500, 9)
+    assert len(alone.masks) == len(f.features) and (work.margins(x) == alone.margins(x)).all()
