@@ -109,6 +109,21 @@ _SAME = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: b if b in _SAME else 256 + k - len([x for x in _SAME if x < b]) for k, b in enumerate(range(256))}
 
 
+class Known(TwoGenerations):
+    """What ``make`` gives for each key, made when it is first asked for: a token costs one look-up."""
+
+    def __init__(self, limit: int, make):
+        super().__init__(limit)
+        self.make = make
+
+    def __missing__(self, key) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes white-space-separated words, each once while it stays cached.
 
@@ -118,37 +133,29 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocab_size = self.tokenizer.get_vocab_size()
-        self.words, self.pieces = TwoGenerations(200_000), TwoGenerations(150_000)
+        self.model, self.vocab_size = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        self.words, self.pieces = Known(200_000, self._word), Known(150_000, self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        # nothing is left to normalise or to cut in such a piece: it goes to the tokenizer's model
+        chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+        found = self.model.tokenize(chars)
+        return array("I", [t.id for t in found]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = _PLAIN.fullmatch(text)
+        if m:
+            core, marks = m.groups()
+            return self.pieces[core.lower()] + self.pieces[marks] if marks else self.pieces[core.lower()]
+        coded, = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", coded.ids).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         self.words.begin()
         self.pieces.begin()
-        cut, other = {}, []
-        for w in self.words.missing(words):
-            text = w.decode()
-            m = _PLAIN.fullmatch(text)
-            if m:
-                cut[w] = (m[1].lower(), m[2])
-            else:
-                other.append((w, text))
-        pieces, model = self.pieces, self.tokenizer.model
-        for p in pieces.missing({p for pair in cut.values() for p in pair if p}):
-            # nothing is left to normalise or to cut in such a piece: it goes to the tokenizer's model
-            found = model.tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))
-            pieces[p] = array("I", [t.id for t in found]).tobytes()
-        for w, (core, marks) in cut.items():
-            self.words[w] = pieces[core] + pieces[marks] if marks else pieces[core]
-        for i in range(0, len(other), 4096):
-            coded = self.tokenizer.encode_batch_fast([t for _, t in other[i:i + 4096]], add_special_tokens=False)
-            for (w, _), e in zip(other[i:i + 4096], coded):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
         get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        return [np.frombuffer(b"".join(map(get, t.split())), "<u4") for t in texts]
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -158,3 +158,20 @@ def test_token_binary_round_trip(shipped, edge_rows):
 def test_token_binary_puts_rows_without_id_first(shipped):
     df = make(shipped, [(2, "b"), (None, "a b"), (1, "c")], extra=False)
     assert [r["doc_id"] for r in token_binary.read_documents(token_binary.write_token_ids(df)).orderBy("start").collect()] == [None, 1, 2]
+
+
+def test_a_word_is_coded_once_while_it_stays_cached(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = token_binary.WordEncoder(path)
+    asked = []
+    enc.words.make = lambda w, make=enc.words.make: asked.append(w) or make(w)
+    texts = [b"Some words, some Words", "words été Ünder été! 12.5".encode(), b"", b"some words,"]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    assert sorted(asked) == sorted(set(b" ".join(texts).split()))  # one look-up a token makes each word once
+    enc.words.limit = 1
+    assert [x.tolist() for x in enc.encode(texts)] == want and len(asked) == len(set(asked))  # from the old generation
+    assert [x.tolist() for x in enc.encode([b"other"])] == [plain.encode("other", add_special_tokens=False).ids]
+    enc.words.begin()
+    assert [x.tolist() for x in enc.encode(texts)] == want  # gone, and made again
