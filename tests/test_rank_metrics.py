@@ -30,6 +30,25 @@ def test_n6_sizes(spark):
     assert [c for _, c in sizes] == [2, 1, 1, 2]
 
 
+def test_the_frame_is_not_broadcast_for_its_quartiles(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS resp_id", "CAST(id % 3 AS DOUBLE) AS v", "id * 7 AS other") \
+        .write.parquet(str(tmp_path / "frame"))
+    df = spark.read.parquet(str(tmp_path / "frame"))  # small files, so their size alone would let Spark broadcast it
+    got = rank.disadvantage_quartile(df, "v")
+    plan = got._jdf.queryExecution().sparkPlan()
+
+    def sent(node):
+        """Output columns of every broadcast side."""
+        found = []
+        if node.nodeName().startswith("BroadcastHashJoin"):
+            side = node.left() if "BuildLeft" in node.buildSide().toString() else node.right()
+            found.append(side.output().mkString(","))
+        children = node.children()
+        return found + [x for i in range(children.size()) for x in sent(children.apply(i))]
+    assert sent(plan) and not [c for c in sent(plan) if "resp_id" in c or "_id#" in c]
+    assert sorted(r["count"] for r in got.groupBy("quartile").count().collect()) == [750] * 4
+
+
 def test_rank_is_partition_independent(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "resp_id long, v double")
     a = {r.resp_id: r.rank for r in rank.rank_first(df, ["v", "resp_id"], num_partitions=3).collect()}
