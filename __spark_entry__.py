@@ -729,7 +729,8 @@ def m4_node_table_scores(spark, sf_dir):
 def m6_node_table_shapley(spark, sf_dir):
     test = training.eval_frame(spark, sf_dir).filter(F.col("is_test"))
     # many values are sums of powers of two, which nine digits would halve: rounded a little beside them
-    phi = X.round_half_even(F.col("phi") + F.lit(3e-10), 9) + F.lit(0.0)
+    # (rint is half to even, as bround is, which makes a decimal of every value)
+    phi = F.rint((F.col("phi") + F.lit(3e-10)) * F.lit(1e9)) / F.lit(1e9) + F.lit(0.0)
     return model.shapley(_standin_forest(), test).select("resp_id", "feature", "target", phi.alias("phi"))
 
 
