@@ -37,7 +37,9 @@ LONG_WORD = 1000
 #: Words of a text that are worked on at once; longer texts go in several rounds.
 ROUND_WORDS = 1 << 19
 #: Bytes of text whose words are held at once.
-WORK_BYTES = SLICE_BYTES // 2
+WORK_BYTES = SLICE_BYTES // 4
+#: Words met whose ids a worker keeps, and as many of an older generation.
+KEPT_WORDS = 100_000
 #: Tokens of a query, at its start: all steps' rows of a recursive query are held until it ends.
 QUERY_POSITIONS = 1 << 18
 #: The rank of a pair that nothing merges.
@@ -127,7 +129,7 @@ class Bpe:
         self.digits = np.zeros(max(ranks.values()) + 1, f"S{width}")
         for rank in ranks.values():
             self.digits[rank] = b"%d," % rank
-        self.words = TwoGenerations(200_000)
+        self.words = TwoGenerations(KEPT_WORDS)
 
     def _table(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)

@@ -175,3 +175,12 @@ def test_a_word_is_coded_once_while_it_stays_cached(monkeypatch):
     assert [x.tolist() for x in enc.encode([b"other"])] == [plain.encode("other", add_special_tokens=False).ids]
     enc.words.begin()
     assert [x.tolist() for x in enc.encode(texts)] == want  # gone, and made again
+
+
+def test_a_worker_keeps_a_bounded_number_of_words():
+    coder = byte_bpe.Bpe(byte_bpe.default_ranks())
+    for k in range(5):
+        lot = [f"{i:06x}" for i in range(k * 60_000, (k + 1) * 60_000)]
+        ids = coder.encode([lot])[0]
+        assert coder.decode([ids])[0].decode() == "".join(lot)
+        assert len(coder.words) + len(coder.words.old) <= 250_000  # two generations and what one slice adds
