@@ -296,3 +296,20 @@ def test_scores_take_one_table_a_group():
         alone = forest.Compiled(f)
     x = some_rows(500, 9)
     assert len(alone.masks) == len(f.features) and (work.margins(x) == alone.margins(x)).all()
+
+
+def test_the_smaller_child_is_summed(spark, monkeypatch):
+    levels, summed = [], boosting._summed
+
+    def seen(*args):
+        got = summed(*args)
+        levels.append(got[:, 2].sum(axis=2))  # rows by outcome and node: each is in one bin of the only feature
+        return got
+    monkeypatch.setattr(boosting, "_summed", seen)
+    f = boosting.train_forest(spark.createDataFrame([(float(i % 5), int(i % 5 == 4 or i % 11 == 0)) for i in range(900)], "a double, t int"),
+                              ["a"], ["t"], rounds=2, depth=3)
+    cover = f.cover[0]
+    for k, got in ((1, levels[:3]), (2, levels[3:])):
+        for level, rows in enumerate(got[1:], 1):
+            split = [i for i in range((1 << level >> 1) - 1, (1 << level) - 1) if f.feature[0, k, i] >= 0]
+            assert rows[0].tolist() == [min(cover[k, 2 * i + 1], cover[k, 2 * i + 2]) for i in split]
