@@ -14,6 +14,7 @@ lowest bit of the AND over the features, so no task walks nodes row by row.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Iterator
@@ -26,10 +27,10 @@ from pyspark.sql import types as T
 
 SCHEMA = "target string, tree int, node int, feature string, threshold double, default_left boolean, " \
          "left int, right int, value double, cover double"
-#: Leaves of a tree are bits of one machine word.
+#: Leaves of a tree are bits of one machine word (of half a word where no tree has more than 32).
 MAX_DEPTH = 6
-#: Rows that are scored at once.
-CHUNK_ROWS = 8192
+#: Rows that are scored at once (an Arrow batch of the default size is one chunk).
+CHUNK_ROWS = 1 << 14
 #: Joint bins of a group of features at most (a code fits two bytes; tables of so many stay in the processor's cache).
 JOINT_BINS = 1 << 11
 
@@ -121,28 +122,36 @@ class Compiled:
         self.offset = np.concatenate([[0], np.cumsum(self.n_bins)]).astype(np.int64)
         shape = f.feature.shape[:2]
         leaves = 1 << d
-        every = np.uint64((1 << leaves) - 1 if leaves < 64 else 0xFFFFFFFFFFFFFFFF)
-        masks = np.full((*shape, int(self.offset[-1])), every, np.uint64)
-        self.leaf_value, used = np.zeros((*shape, leaves)), np.zeros((*shape, len(f.features)), bool)
+        # a tree's leaves are numbered from left to right: so many are to the left of each place of a whole level d
+        nodes = np.arange(f.feature.shape[2])
+        level = np.array([int(i + 1).bit_length() - 1 for i in nodes])
+        width = leaves >> level
+        first = (nodes + 1 - (1 << level)) * width
+        ends = f.there & (f.feature < 0)
+        before = np.zeros((*shape, leaves + 1), np.int64)
+        for i in nodes.tolist():
+            before[:, :, first[i] + 1:] += ends[:, :, i, None]
+        kind = np.uint32 if before.max() <= 32 else np.uint64
+        every = kind(np.iinfo(kind).max)
+        masks = np.full((*shape, int(self.offset[-1])), every, kind)
+        self.leaf_value, used = np.zeros((*shape, min(leaves, 32 if kind is np.uint32 else 64))), np.zeros((*shape, len(f.features)), bool)
         for t, k, i in zip(*(x.tolist() for x in np.nonzero(f.there))):
-            level = (i + 1).bit_length() - 1
-            width = leaves >> level
-            first = (i + 1 - (1 << level)) * width
+            low, middle = before[t, k, first[i]], before[t, k, first[i] + width[i] // 2]
             j = f.feature[t, k, i]
             if j < 0:
-                self.leaf_value[t, k, first:first + width] = f.value[t, k, i]
+                self.leaf_value[t, k, low] = f.value[t, k, i]
                 continue
             used[t, k, j] = True
-            gone = np.uint64(((1 << (width // 2)) - 1) << first) ^ every  # the leaves to the left go
+            gone = kind(((1 << int(middle - low)) - 1) << int(low)) ^ every  # the leaves to the left go
             at, end = int(self.offset[j]), int(self.offset[j + 1])
             b = int(np.searchsorted(self.cuts[j], f.threshold[t, k, i]))
             masks[t, k, at + b + 1:end - 1] &= gone
             if not f.default_left[t, k, i]:
                 masks[t, k, end - 1] &= gone
-        self.groups = joint_features(self.n_bins)
+        self.groups, self.splits, self.shares = joint_features(self.n_bins), used, {}
         self.used, self.masks = np.stack([used[:, :, g].any(axis=2) for g in self.groups], axis=2), []
         for group in self.groups:
-            joint = np.full((*shape, 1), every, np.uint64)
+            joint = np.full((*shape, 1), every, kind)
             for j in group:
                 own = masks[:, :, self.offset[j]:self.offset[j + 1]]
                 joint = np.bitwise_and(joint[:, :, :, None], own[:, :, None, :]).reshape(*shape, -1)
@@ -182,31 +191,67 @@ class Compiled:
                 self.leaf_sums(codes, t, out[t, a:a + CHUNK_ROWS])
         return out
 
+    def swapped(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """(features, targets, rows): the margins of rows ``x`` with one feature at a time taken from ``z``, as
+        ``margins`` has them of such rows.  What the other groups leave of a tree is looked up once a row, and
+        a tree that doesn't split on the feature isn't asked again."""
+        places, others = self.places(x), self.places(z)
+        codes, home, moved = [self.joint(places, g) for g in self.groups], {}, {}
+        for g, group in enumerate(self.groups):
+            stride = 1
+            for j in reversed(group):
+                home[j], moved[j] = g, codes[g] + (others[j] - places[j]) * stride
+                stride *= self.n_bins[j]
+        out = np.zeros((len(places), len(self.forest.targets), len(x)))
+        for t in range(out.shape[1]):
+            for k in range(self.forest.n_trees):
+                value, found = self.leaf_value[t, k], {g: self.masks[g][t, k].take(codes[g]) for g in np.flatnonzero(self.used[t, k]).tolist()}
+                if not found:
+                    out[:, t] += value[0]
+                    continue
+                rest = {g: [m for h, m in found.items() if h != g] for g in found}
+                rest = {g: functools.reduce(np.bitwise_and, m) if m else None for g, m in rest.items()}
+                g, first = next(iter(found.items()))
+                same = value.take(lowest(first.copy() if rest[g] is None else first & rest[g]))
+                for j in range(len(places)):
+                    if self.splits[t, k, j]:
+                        left = self.masks[home[j]][t, k].take(moved[j])
+                        if rest[home[j]] is not None:
+                            left &= rest[home[j]]
+                        out[j, t] += value.take(lowest(left))
+                    else:
+                        out[j, t] += same
+        return out
+
+    def leaf_shares(self, t: int, k: int) -> list:
+        """A tree's leaves for ``contributions``, made once in a worker: of each, its path's features with the
+        bit that each bin gives a row's pattern, and by feature what it receives for each pattern."""
+        if (t, k) not in self.shares:
+            out, table = [], leaf_table(self.forest, t, k)
+            if table is not None:
+                players, share, allowed, value = table
+                gain = coalition_gains(share) * value[:, None, None]
+                for leaf in range(len(value)):
+                    own = [j for j in players[leaf].tolist() if j >= 0]
+                    bits = [(j, allowed(leaf, slot, self.cuts[j]).astype(np.uint8) << slot) for slot, j in enumerate(own)]
+                    met = slice(gain.shape[1] - (1 << len(own)), None)  # slots without a feature always hold
+                    out.append((bits, [(j, gain[leaf, met, slot].copy()) for slot, j in enumerate(own)]))
+            self.shares[t, k] = out
+        return self.shares[t, k]
+
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """(targets, rows, features): Shapley values of each row's margin against the forest's mean,
         features that are out of a coalition being averaged over by the nodes' covers."""
         f = self.forest
-        out = np.zeros((len(f.targets), len(x), len(f.features)))
-        places = self.places(x)
+        out = np.zeros((len(f.targets), len(f.features), len(x)))
+        bins = [p - self.offset[j] for j, p in enumerate(self.places(x))]
         for t in range(len(f.targets)):
             for k in range(f.n_trees):
-                table = leaf_table(f, t, k)
-                if table is None:
-                    continue
-                players, share, allowed, value = table
-                gain = coalition_gains(share) * value[:, None, None]
-                for leaf in range(len(value)):
-                    which = np.zeros(len(x), np.int64)
-                    for slot, j in enumerate(players[leaf]):
-                        if j >= 0:
-                            ok = allowed(leaf, slot, self.cuts[j])
-                            which |= ok.take(places[j] - self.offset[j]).astype(np.int64) << slot
-                        else:
-                            which |= 1 << slot
-                    for slot, j in enumerate(players[leaf]):
-                        if j >= 0:
-                            out[t, :, j] += gain[leaf, :, slot].take(which)
-        return out
+                for bits, gains in self.leaf_shares(t, k):
+                    which = functools.reduce(np.bitwise_or, [bit.take(bins[j]) for j, bit in bits]).astype(np.intp)
+                    for j, gain in gains:
+                        out[t, j] += gain.take(which)
+        return out.transpose(0, 2, 1)
 
 
 def leaf_table(f: Forest, t: int, k: int):
@@ -316,6 +361,29 @@ def score(forest: Forest, df: DataFrame, keep: list[str], margins: bool = False)
     return given.mapInArrow(run, schema)
 
 
+def swapped_right(forest: Forest, pairs: DataFrame, targets: list[str], threshold: float) -> DataFrame:
+    """``_feature`` and per target ``_c_<target>``, a row per feature and task: how many rows of ``pairs`` are on the
+    right side of ``threshold`` once the feature is taken from ``_d_<feature>``.  Missing outcomes are never right."""
+    features, at = forest.features, [forest.targets.index(t) for t in targets]
+    given = pairs.select(*[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate([
+        *targets, *features, *[f"_d_{f}" for f in features]])])
+    shared, n = pairs.sparkSession.sparkContext.broadcast(forest), len(features)
+    names = ["_feature", *[f"_c_{t}" for t in targets]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, some, right = compiled(shared.value), False, np.zeros((n, len(targets)), np.int64)
+        for b in batches:
+            x = _inputs(b, b.num_columns)
+            for a in range(0, len(x), CHUNK_ROWS):
+                y, own, donor = np.split(x[a:a + CHUNK_ROWS], [len(targets), len(targets) + n], axis=1)
+                sure = 1.0 / (1.0 + np.exp(-work.swapped(own, donor)[:, at])) > threshold
+                right += (sure == y.T[None]).sum(axis=2)
+            some |= len(x) > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(features), *[pa.array(c) for c in right.T.copy()]], names=names)
+    return given.mapInArrow(run, ", ".join(["_feature string", *[f"`{c}` long" for c in names[1:]]]))
+
+
 def shapley(forest: Forest, df: DataFrame, id_col: str = "resp_id") -> DataFrame:
     """``<id>, feature, target, phi`` (M6): exact Shapley values of every row's margin.  A row's
     values sum to its margin minus the forest's mean margin over the training rows' paths.
@@ -333,7 +401,7 @@ def shapley(forest: Forest, df: DataFrame, id_col: str = "resp_id") -> DataFrame
         for b in batches:
             if b.num_rows:
                 for t, phi in zip(targets, work.contributions(_inputs(b, n))):
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t] * b.num_rows), *[pa.array(c) for c in phi.T.copy()]],
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t] * b.num_rows), *[pa.array(c) for c in phi.T]],
                                                      names=[f.name for f in schema])
     wide = given.mapInArrow(run, schema)
     items = [F.struct(F.lit(c).alias("feature"), F.col(f"_phi{j}").alias("phi")) for j, c in enumerate(features)]

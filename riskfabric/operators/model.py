@@ -71,10 +71,25 @@ def fit_imputers(train: DataFrame) -> list[ImputerModel]:
 # permutation importance (M5)
 # ---------------------------------------------------------------------------
 Scorer = Callable[[DataFrame, list[str]], DataFrame]
+#: Rows of a shuffle that a task scores.
+PAIR_ROWS = 1 << 16
+
+
+class ForestScorer:
+    """Scores of a forest, and those of rows with one feature at a time taken from another row."""
+
+    def __init__(self, models: Forest):
+        self.models = models
+
+    def __call__(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        return score(self.models, df, keep)
+
+    def swapped_right(self, pairs: DataFrame, targets: list[str]) -> DataFrame:
+        return forest.swapped_right(self.models, pairs, targets, fixed.DECISION_THRESHOLD)
 
 
 def gbt_scorer(models: Forest) -> Scorer:
-    return lambda df, keep: score(models, df, keep)
+    return ForestScorer(models)
 
 
 def expression_scorer(exprs: dict[str, Column]) -> Scorer:
@@ -101,7 +116,8 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
 
     Rows are numbered once, in id order, and written.  Shuffle k is a bijection of these
     positions (``shuffle_terms``), so nothing is sorted: a repeat joins the rows with themselves on
-    a computed position, and of each pair come one variant per feature, all scored in bulk.
+    a computed position, and of each pair come one variant per feature, all scored in bulk; a forest
+    scores them from the pair (``forest.Compiled.swapped``) and counts in the task.
     Columns: feature, target, importance, method (no rows where nothing is held out)."""
     base_cols = [id_col, *features, *targets]
     h = _numbered(heldout, base_cols, id_col)
@@ -112,19 +128,24 @@ def permutation_importance(heldout: DataFrame, scorer: Scorer, repeats: int = fi
     b = base.first()
     n = int(b["_n"])
     donors = h.select(F.col("_place").alias("_donor"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    variants = [F.struct(F.lit(f).alias("_feature"),
-                         *[(F.col(f"_d_{g}") if g == f else F.col(g)).alias(g) for g in features])
-                for f in features]
-    long = None
+    # a task scores bounded many pairs: by their bytes alone, a join would leave too few tasks for the scoring
+    parts, pairs = math.ceil(max(n, 1) / PAIR_ROWS), None
+    donors = donors.repartition(parts, "_donor")
     for k in range(repeats):
         mul, add = shuffle_terms(k, max(n, 1))
-        paired = h.withColumn("_donor", (F.col("_place") * F.lit(mul) + F.lit(add)) % F.lit(max(n, 1))).join(donors, "_donor")
-        part = paired.select(id_col, *targets, F.explode(F.array(*variants)).alias("_v")).select(id_col, *targets, "_v.*")
-        long = part if long is None else long.unionByName(part)
-    scored = scorer(long, [id_col, "_feature", *targets])
-    right = [F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
-             .alias(f"_c_{t}") for t in targets]
-    perm = scored.groupBy("_feature").agg(F.count(F.lit(1)).alias("_rows"), *right)
+        part = h.withColumn("_donor", (F.col("_place") * F.lit(mul) + F.lit(add)) % F.lit(max(n, 1))) \
+            .repartition(parts, "_donor").join(donors, "_donor")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    if isinstance(scorer, ForestScorer) and set(features) == set(scorer.models.features):
+        perm = scorer.swapped_right(pairs, targets).groupBy("_feature").agg(*[F.sum(f"_c_{t}").alias(f"_c_{t}") for t in targets])
+    else:
+        variants = [F.struct(F.lit(f).alias("_feature"),
+                             *[(F.col(f"_d_{g}") if g == f else F.col(g)).alias(g) for g in features])
+                    for f in features]
+        long = pairs.select(id_col, *targets, F.explode(F.array(*variants)).alias("_v")).select(id_col, *targets, "_v.*")
+        right = [F.count_if((F.col(f"pred_{t}") > fixed.DECISION_THRESHOLD).cast("int") == F.col(t))
+                 .alias(f"_c_{t}") for t in targets]
+        perm = scorer(long, [id_col, "_feature", *targets]).groupBy("_feature").agg(*right)
     n_rows = F.lit(n)
     items = [F.struct(F.lit(t).alias("target"), F.col(f"_c_{t}").alias("_c"),
                       F.lit(int(b[f"_b_{t}"])).alias("_b"))

@@ -313,3 +313,42 @@ def test_the_smaller_child_is_summed(spark, monkeypatch):
         for level, rows in enumerate(got[1:], 1):
             split = [i for i in range((1 << level >> 1) - 1, (1 << level) - 1) if f.feature[0, k, i] >= 0]
             assert rows[0].tolist() == [min(cover[k, 2 * i + 1], cover[k, 2 * i + 2]) for i in split]
+
+
+def test_swapped_features_are_scored_as_rows_that_hold_them():
+    f = grown(5, trees=5, depth=4)
+    x, z = some_rows(300, 2), some_rows(300, 3)
+    got = forest.Compiled(f).swapped(x, z)
+    for j in range(len(f.features)):
+        row = x.copy()
+        row[:, j] = z[:, j]
+        assert (got[j] == forest.Compiled(f).margins(row)).all()
+
+
+def test_permutation_importance_of_a_forest_needs_no_row_per_feature(spark, monkeypatch):
+    f = grown(6, trees=5, depth=4)
+    x = some_rows(400, 8)
+    rows = [(i, *[None if math.isnan(v) else float(v) for v in row], *[None if i % 9 == t else (i + t) % 2 for t in range(len(f.targets))])
+            for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(["id long", *[f"{c} double" for c in f.features], *[f"{t} int" for t in f.targets]]))
+    scored, score = [], model.score
+
+    def seen(models, rows, keep):
+        scored.append(rows)
+        return score(models, rows, keep)
+
+    def importance(scorer):
+        got = model.permutation_importance(df, scorer, 3, f.features, f.targets, "id").collect()
+        return {(r["feature"], r["target"]): r["importance"] for r in got}
+    plain = importance(lambda rows, keep: score(f, rows, keep))
+    monkeypatch.setattr(model, "score", seen)
+    assert importance(model.gbt_scorer(f)) == plain and len(plain) == len(f.features) * len(f.targets) and any(plain.values())
+    assert len(scored) == 1  # the baseline
+
+
+def test_leaves_of_a_forest_are_worked_out_once_for_shapley_values(monkeypatch):
+    f, asked, gains = grown(7, trees=3, depth=4), [], forest.coalition_gains
+    monkeypatch.setattr(forest, "coalition_gains", lambda share: asked.append(len(share)) or gains(share))
+    work = forest.Compiled(f)
+    first, again = (work.contributions(some_rows(50, seed)) for seed in (1, 1))
+    assert (first == again).all() and len(asked) <= f.n_trees * len(f.targets)
